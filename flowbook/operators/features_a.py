@@ -132,8 +132,27 @@ def _set_a_plus(m: MarketColumns, x293: Column) -> list[tuple[str, Column]]:
     ]
 
 
-FEATURES_A = [n for n, _ in _set_a(MarketColumns())]
-FEATURES_A_PLUS = [n for n, _ in _set_a_plus(MarketColumns(), F.lit(0.0))]
+# Output column names of set A and set A+, in output order.
+FEATURES_A = [
+    "bid_ask_interaction", "bid_buy_interaction", "bid_sell_interaction", "ask_buy_interaction",
+    "ask_sell_interaction", "volume_weighted_sell", "buy_sell_ratio", "selling_pressure", "log_volume",
+    "effective_spread_proxy", "bid_ask_imbalance", "order_flow_imbalance", "liquidity_ratio",
+    "net_order_flow", "normalized_net_flow", "buying_pressure", "volume_weighted_buy", "total_depth",
+    "depth_imbalance", "relative_spread", "log_depth", "kyle_lambda", "flow_toxicity",
+    "aggressive_flow_ratio", "volume_depth_ratio", "activity_intensity", "log_buy_qty", "log_sell_qty",
+    "log_bid_qty", "log_ask_qty", "realized_spread_proxy", "price_impact_proxy", "quote_volatility_proxy",
+    "flow_depth_interaction", "imbalance_volume_interaction", "depth_volume_interaction", "buy_sell_spread",
+    "bid_ask_spread", "trade_informativeness", "execution_shortfall_proxy", "adverse_selection_proxy",
+    "fill_probability", "execution_rate", "market_efficiency", "sqrt_volume", "sqrt_depth", "volume_squared",
+    "imbalance_squared", "bid_ratio", "ask_ratio", "buy_ratio", "sell_ratio", "liquidity_consumption",
+    "market_stress", "depth_depletion", "net_buying_ratio", "directional_volume", "signed_volume",
+]
+FEATURES_A_PLUS = [
+    "ask_buy_interaction_x_X293", "sqrt_volume_div_log_volume", "sqrt_volume_div_activity_intensity",
+    "sqrt_volume_mul_fill_probability", "volume_div_sqrt_volume", "sqrt_volume_div_fill_probability",
+    "sqrt_volume_mul_activity_intensity", "sqrt_volume_div_log_sell_qty", "log_buy_qty_mul_sqrt_volume",
+    "sqrt_volume_mul_log_buy_qty", "log_volume_mul_sqrt_volume",
+]
 
 
 def add_features_a(

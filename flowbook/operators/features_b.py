@@ -70,7 +70,15 @@ def _set_b(m: MarketColumns) -> list[tuple[str, Column]]:
     ]
 
 
-FEATURES_B = [n for n, _ in _set_b(MarketColumns())]
+# Output column names of set B, in output order.
+FEATURES_B = [
+    "bid_ask_spread", "bid_ask_ratio", "total_liquidity", "liquidity_imbalance", "normalized_spread",
+    "buy_sell_ratio", "net_order_flow", "order_flow_imbalance", "volume_participation", "aggressive_ratio",
+    "buy_pressure", "sell_pressure", "net_pressure", "pressure_ratio", "depth_ratio", "bid_depth_ratio",
+    "ask_depth_ratio", "depth_imbalance", "kyle_lambda", "amihud_illiquidity", "liquidity_consumption",
+    "price_efficiency", "execution_quality", "pin_proxy", "order_toxicity", "bid_momentum", "ask_momentum",
+    "liquidity_adjusted_volume", "log_volume", "log_liquidity", "log_spread",
+]
 
 
 def add_features_b(df: DataFrame, cols: MarketColumns = MarketColumns(), sanitize: bool = True) -> DataFrame:
