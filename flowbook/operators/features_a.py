@@ -36,7 +36,7 @@ class MarketColumns:
 
 
 def _set_a(m: MarketColumns) -> list[tuple[str, Column]]:
-    b, a, p, s, v = (F.col(c) for c in m.names())
+    b, a, p, s, v = (F.col(c).cast("double") for c in m.names())
     e = F.lit(EPS_A)
     nof = p - s
     td = b + a
@@ -108,7 +108,7 @@ def _set_a(m: MarketColumns) -> list[tuple[str, Column]]:
 
 
 def _set_a_plus(m: MarketColumns, x293: Column) -> list[tuple[str, Column]]:
-    b, a, p, s, v = (F.col(c) for c in m.names())
+    b, a, p, s, v = (F.col(c).cast("double") for c in m.names())
     e = F.lit(EPS_A)
     e6 = F.lit(EPS_A_PLUS)
     sqrt_v = F.sqrt(v)

@@ -19,7 +19,7 @@ EPS_B = 1e-8
 
 
 def _set_b(m: MarketColumns) -> list[tuple[str, Column]]:
-    b, a, p, s, v = (F.col(c) for c in m.names())
+    b, a, p, s, v = (F.col(c).cast("double") for c in m.names())
     e = F.lit(EPS_B)
     one = F.lit(1.0)
     sp = a - b

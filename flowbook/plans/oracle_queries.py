@@ -38,3 +38,172 @@ fa AS (SELECT l_returnflag,
 SELECT l_returnflag, count(*) AS n,
   {_bulk_sums}
 FROM fa GROUP BY l_returnflag"""
+
+
+# ------------------------------------------------------------------ cleaning
+MARKET = ["bid_qty", "ask_qty", "buy_qty", "sell_qty", "volume"]
+MARKET_L = MARKET + ["label"]
+
+
+def dirty_cols(cols: list[str], dirty: list[str]) -> str:
+    out = []
+    for c in cols:
+        if c in dirty:
+            out.append(f"CASE WHEN row_id % 50 = 0 THEN NULL WHEN row_id % 51 = 0 THEN 'inf'::DOUBLE "
+                       f"WHEN row_id % 53 = 0 THEN 'nan'::DOUBLE ELSE {c} END AS {c}")
+        else:
+            out.append(c)
+    return ", ".join(out)
+
+
+def r6all(cols: list[str]) -> str:
+    return ", ".join(f"{O.r6(f'CAST({c} AS DOUBLE)')} AS {c}" for c in cols)
+
+
+ME = O.with_views(O.MARKET_EVENTS)
+COLQ = '"column"'
+EV_COLS = ["row_id", "ts"] + MARKET_L
+
+
+def dirty_view(dirty: list[str]) -> str:
+    return f"{ME}, d AS (SELECT {dirty_cols(EV_COLS, dirty)} FROM market_events)"
+
+
+def fin_or_null(c: str) -> str:
+    return f"CASE WHEN isfinite({c}) THEN {c} END"
+
+
+SQL["inf_to_null"] = f"""{dirty_view(['bid_qty', 'volume'])}
+SELECT row_id, {", ".join(f"{O.r6(fin_or_null(c))} AS {c}" for c in MARKET_L)} FROM d"""
+
+SQL["null_profile"] = f"""{dirty_view(['bid_qty', 'buy_qty', 'label'])},
+p AS ({" UNION ALL ".join(
+    f"SELECT '{c}' AS {COLQ}, count_if(NOT coalesce(isfinite({c}), false)) AS nulls FROM d" for c in MARKET_L)}
+  UNION ALL SELECT 'row_id', count_if(row_id IS NULL) FROM d
+  UNION ALL SELECT 'ts', count_if(ts IS NULL) FROM d)
+SELECT "column", nulls FROM p WHERE nulls > 0"""
+
+SQL["drop_null_columns"] = f"""{ME}
+SELECT row_id, ts, {r6all(['bid_qty', 'buy_qty', 'volume', 'label'])} FROM market_events"""
+
+SQL["drop_inf_columns"] = f"""{ME}
+SELECT row_id, ts, {r6all(MARKET_L)},
+  {O.r6("CASE WHEN row_id % 50 <> 0 THEN ask_qty END")} AS x_partial,
+  CAST(NULL AS DOUBLE) AS x_empty,
+  {O.r6("CAST(row_id % 17 AS DOUBLE) * 0.25")} AS x_signal
+FROM market_events"""
+
+SQL["drop_all_null_columns"] = f"""{ME}
+SELECT row_id, ts, {r6all(MARKET_L)},
+  {O.r6("CASE WHEN row_id % 50 <> 0 THEN ask_qty END")} AS x_partial,
+  {O.r6("CAST(row_id % 17 AS DOUBLE) * 0.25")} AS x_signal
+FROM market_events"""
+
+SQL["drop_null_rows"] = f"""{dirty_view(['bid_qty', 'label'])}
+SELECT row_id, {r6all(MARKET_L)} FROM d
+WHERE bid_qty IS NOT NULL AND NOT isnan(bid_qty) AND label IS NOT NULL AND NOT isnan(label)"""
+
+SQL["fill_null"] = f"""{dirty_view(['bid_qty', 'volume'])}
+SELECT row_id, {", ".join(f"{O.r6(f'CASE WHEN {c} IS NULL OR isnan({c}) THEN 0.0 ELSE {c} END')} AS {c}" for c in MARKET_L)}
+FROM d"""
+
+SQL["sanitize"] = f"""{dirty_view(['bid_qty', 'sell_qty', 'label'])}
+SELECT row_id, {", ".join(f"{O.r6(O.fin(c))} AS {c}" for c in MARKET_L)} FROM d"""
+
+SQL["finite_label"] = f"""{dirty_view(['label'])}
+SELECT row_id, {r6all(MARKET_L)} FROM d WHERE isfinite(label)"""
+
+SQL["align_columns"] = f"""{O.with_views(O.MARKET_LINEITEM)}
+SELECT {r6all(MARKET_L)} FROM market_lineitem"""
+
+
+def _narrow_case(c: str, kind: str) -> str:
+    if kind == "int":
+        return (f"CASE WHEN min({c}) > -128 AND max({c}) < 127 THEN 'tinyint' "
+                f"WHEN min({c}) > -32768 AND max({c}) < 32767 THEN 'smallint' "
+                f"WHEN min({c}) > -2147483648 AND max({c}) < 2147483647 THEN 'int' ELSE 'bigint' END")
+    fmax = "3.4028234663852886e38"
+    return f"CASE WHEN min({c}) > -{fmax} AND max({c}) < {fmax} THEN 'float' ELSE 'double' END"
+
+
+_NARROW = [("event_id", "bigint", "int"), ("user_id", "bigint", "int"), ("value", "double", "float"),
+           ("small_int", "int", "int"), ("value_e6", "double", "float"), ("value_e40", "double", "float")]
+SQL["narrow_types"] = """WITH n AS (
+  SELECT event_id, user_id, value, CAST(event_id % 100 AS INTEGER) AS small_int,
+         value * 1e6 AS value_e6, value * 1e40 AS value_e40 FROM events)
+""" + " UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", CAST(min({c}) AS DOUBLE) AS min, CAST(max({c}) AS DOUBLE) AS max, "
+    f"'{t}' AS from_type, {_narrow_case(c, k)} AS to_type FROM n" for c, t, k in _NARROW)
+
+SQL["category_to_int"] = """SELECT CAST(CAST(l_linenumber AS VARCHAR) AS INTEGER) AS cat, count(*) AS n
+FROM lineitem GROUP BY 1"""
+
+SQL["policy_p1"] = f"""{ME}
+SELECT row_id, ts, {r6all(['bid_qty', 'buy_qty', 'volume'])} FROM market_events"""
+
+_p2_src = f"""{ME},
+src AS (
+  SELECT row_id, ts,
+    CASE WHEN row_id % 50 = 0 OR row_id % 51 = 0 OR row_id % 53 = 0 THEN NULL ELSE bid_qty END AS bid_qty,
+    ask_qty, buy_qty, sell_qty, volume, label,
+    CAST(row_id % 17 AS DOUBLE) * 0.25 AS x_signal
+  FROM market_events),
+clean AS (SELECT * FROM src WHERE bid_qty IS NOT NULL)"""
+_p2_feats = O.features_a_exprs() + O.features_a_plus_exprs("x_signal")
+SQL["policy_p2"] = f"""{_p2_src}
+SELECT row_id, {O.select_features(_p2_feats)}, {", ".join(f"{O.r6(O.fin(c))} AS {c}" for c in MARKET_L)}
+FROM clean"""
+
+# ------------------------------------------------------------------ row statistics
+_XS = "list_filter(x, lambda v: v IS NOT NULL AND NOT isnan(v))"
+
+
+def row_stat_exprs(x: str = "x") -> list[tuple[str, str]]:
+    xs = _XS.replace("x,", f"{x},", 1)
+    mean = f"list_avg({xs})"
+    return [
+        ("x_stat_mean", mean),
+        ("x_stat_std", f"list_aggregate({xs}, 'stddev_samp')"),
+        ("x_stat_range", f"list_max({xs}) - list_min({xs})"),
+        ("x_stat_median", f"list_aggregate({xs}, 'quantile_cont', 0.5)"),
+        ("x_stat_p25", f"list_aggregate({xs}, 'quantile_cont', 0.25)"),
+        ("x_stat_p75", f"list_aggregate({xs}, 'quantile_cont', 0.75)"),
+        ("x_stat_above_mean_count", f"CAST(len(list_filter({xs}, lambda v: v > {mean})) AS DOUBLE)"),
+        ("x_stat_idx_max", f"CAST(list_position({x}, list_max({xs})) AS DOUBLE)"),
+        ("x_stat_idx_min", f"CAST(list_position({x}, list_min({xs})) AS DOUBLE)"),
+    ]
+
+
+SIG = O.with_views(O.SIGNALS)
+SQL["row_stats"] = f"""{SIG}
+SELECT row_id, {", ".join(f"{O.r6(O.fin(e))} AS {n}" for n, e in row_stat_exprs()[:7])} FROM signals"""
+
+SQL["row_argext"] = f"""{SIG}
+SELECT row_id, {", ".join(f"{O.r6(O.fin(e))} AS {n}" for n, e in row_stat_exprs()[7:])} FROM signals"""
+
+_MS = f"""{O.with_views(O.MARKET_EVENTS, O.SIGNALS)},
+ms AS (SELECT m.*, s.x FROM market_events m JOIN signals s USING (row_id)),
+st AS (SELECT *, {", ".join(f"{O.fin(e)} AS {n}" for n, e in row_stat_exprs())} FROM ms)"""
+
+
+def _ln(m: str) -> str:
+    return f"(CASE WHEN {m} > 0 THEN ln({m}) END)"
+
+
+SQL["log_interactions"] = f"""{_MS}
+SELECT row_id, {", ".join(
+    f"{O.r6(O.fin(f'x[{i + 1}] * {_ln(m)}'))} AS X{i + 1}_log_x_{m}"
+    for m in ["volume", "buy_qty", "sell_qty", "x_stat_mean", "x_stat_median"] for i in range(64))}
+FROM st"""
+
+_B_FLOAT = ", ".join(f"CAST({c} AS FLOAT) AS {c}" for c in MARKET_L)
+SQL["policy_p3"] = f"""{O.with_views(O.MARKET_EVENTS, O.SIGNALS)},
+ms AS (SELECT CAST(m.row_id AS SMALLINT) AS row_id, {_B_FLOAT.replace('CAST(', 'CAST(m.')},
+          list_transform(s.x, lambda v: CASE WHEN isfinite(v) THEN v ELSE 0.0 END) AS x
+       FROM market_events m JOIN signals s USING (row_id)),
+f AS (SELECT row_id, {", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in MARKET_L)}, x FROM ms
+      WHERE isfinite(label))
+SELECT row_id, {", ".join(f"{O.r6(O.fin(c))} AS {c}" for c in MARKET_L)},
+  {O.select_features(O.features_b_exprs())},
+  {", ".join(f"{O.r6(O.fin(e))} AS {n}" for n, e in row_stat_exprs())}
+FROM f"""

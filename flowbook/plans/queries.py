@@ -69,3 +69,159 @@ def q_features_a_bulk(spark: SparkSession, sf: str) -> DataFrame:
     agg = df.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"),
                                          *[F.sum(c).alias(f"sum_{c}") for c in FEATURES_A])
     return agg.select("l_returnflag", "n", *[sig(f"sum_{c}").alias(f"sum_{c}") for c in FEATURES_A])
+
+
+# ------------------------------------------------------------------ cleaning
+from flowbook.functions import arrays as AR  # noqa: E402
+from flowbook.operators import clean as C  # noqa: E402
+from flowbook.operators.rowstats import STAT_COLS, add_log_interactions, add_row_stats  # noqa: E402
+from flowbook.plans import policies as P  # noqa: E402
+
+MARKET = ["bid_qty", "ask_qty", "buy_qty", "sell_qty", "volume"]
+MARKET_L = MARKET + ["label"]
+
+
+def _r6_all(df: DataFrame, cols: list[str], keys: list[str] = ["row_id"]) -> DataFrame:  # noqa: B006
+    return df.select(*keys, *[r6(F.col(c).cast("double")).alias(c) for c in cols])
+
+
+def _odd_columns(spark: SparkSession, sf: str) -> DataFrame:
+    """market_events plus columns with injected inf / missing / all-missing values."""
+    rid = F.col("row_id")
+    return V.market_events(spark, sf).select(
+        "*",
+        F.when(rid % 51 == 0, F.lit(float("inf"))).otherwise(F.col("bid_qty")).alias("x_inf"),
+        F.when(rid % 50 != 0, F.col("ask_qty")).alias("x_partial"),
+        F.lit(None).cast("double").alias("x_empty"),
+        F.lit(float("nan")).alias("x_nan_all"),
+        ((rid % 17).cast("double") * F.lit(0.25)).alias("x_signal"),
+    )
+
+
+@register("inf_to_null")
+def q_inf_to_null(spark, sf):
+    df = C.inf_to_null(V.dirty(V.market_events(spark, sf), ["bid_qty", "volume"]))
+    return _r6_all(df, MARKET_L)
+
+
+@register("null_profile")
+def q_null_profile(spark, sf):
+    df = C.inf_to_null(V.dirty(V.market_events(spark, sf), ["bid_qty", "buy_qty", "label"]))
+    return C.null_profile(df)
+
+
+@register("drop_null_columns")
+def q_drop_null_columns(spark, sf):
+    train = C.inf_to_null(V.dirty(V.market_events(spark, sf), ["ask_qty", "sell_qty"]))
+    valid = V.market_events(spark, sf)
+    _, v = C.drop_columns_by_profile(C.null_profile(train), train, valid)
+    return _r6_all(v, [c for c in v.columns if c not in ("row_id", "ts")], ["row_id", "ts"])
+
+
+@register("drop_inf_columns")
+def q_drop_inf_columns(spark, sf):
+    df = C.drop_inf_columns(_odd_columns(spark, sf).drop("x_nan_all"))
+    return _r6_all(df, [c for c in df.columns if c not in ("row_id", "ts")], ["row_id", "ts"])
+
+
+@register("drop_all_null_columns")
+def q_drop_all_null_columns(spark, sf):
+    df = C.drop_all_null_columns(_odd_columns(spark, sf).drop("x_inf"))
+    return _r6_all(df, [c for c in df.columns if c not in ("row_id", "ts")], ["row_id", "ts"])
+
+
+@register("drop_null_rows")
+def q_drop_null_rows(spark, sf):
+    df = C.drop_null_rows(V.dirty(V.market_events(spark, sf), ["bid_qty", "label"]))
+    return _r6_all(df, MARKET_L)
+
+
+@register("fill_null")
+def q_fill_null(spark, sf):
+    df = C.fill_null(V.dirty(V.market_events(spark, sf), ["bid_qty", "volume"]), 0.0)
+    return _r6_all(df, MARKET_L)
+
+
+@register("sanitize")
+def q_sanitize(spark, sf):
+    df = C.sanitize(V.dirty(V.market_events(spark, sf), ["bid_qty", "sell_qty", "label"]))
+    return _r6_all(df, MARKET_L)
+
+
+@register("finite_label")
+def q_finite_label(spark, sf):
+    df = C.finite_label(V.dirty(V.market_events(spark, sf), ["label"]))
+    return _r6_all(df, MARKET_L)
+
+
+@register("align_columns")
+def q_align_columns(spark, sf):
+    template = V.market_events(spark, sf).drop("row_id", "ts")
+    df = C.align_columns(V.market_lineitem(spark, sf), template.columns)
+    return df.select(*[r6(c).alias(c) for c in df.columns])
+
+
+def _narrow_input(spark, sf):
+    ev = V.table(spark, sf, "events")
+    return ev.select(
+        "event_id", "user_id", "value",
+        (F.col("event_id") % 100).cast("int").alias("small_int"),
+        (F.col("value") * F.lit(1e6)).alias("value_e6"),
+        (F.col("value") * F.lit(1e40)).alias("value_e40"),
+    )
+
+
+@register("narrow_types")
+def q_narrow_types(spark, sf):
+    report, _ = C.narrow_types(_narrow_input(spark, sf))
+    return report
+
+
+@register("category_to_int")
+def q_category_to_int(spark, sf):
+    li = V.table(spark, sf, "lineitem").select(F.col("l_linenumber").cast("string").alias("cat"))
+    return C.category_to_int(li, ["cat"]).groupBy("cat").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("policy_p1")
+def q_policy_p1(spark, sf):
+    train = V.dirty(V.market_events(spark, sf), ["ask_qty", "sell_qty"])
+    res = P.policy_p1(train, V.market_events(spark, sf))
+    return _r6_all(res.features, [c for c in res.features.columns if c not in ("row_id", "ts")], ["row_id", "ts"])
+
+
+@register("policy_p2")
+def q_policy_p2(spark, sf):
+    src = V.dirty(_odd_columns(spark, sf).drop("x_partial", "x_nan_all"), ["bid_qty"])
+    src = src.withColumn("bid_qty", F.when(~F.isnan("bid_qty") & (F.abs("bid_qty") < F.lit(float("inf"))), F.col("bid_qty")))
+    out = P.policy_p2(src, x293="x_signal")
+    return _r6_all(out, FEATURES_A + FEATURES_A_PLUS + MARKET_L)
+
+
+@register("policy_p3")
+def q_policy_p3(spark, sf):
+    df = V.market_signals(spark, sf)
+    base = ["row_id"] + MARKET + ["x", "label", "bid_qty"]
+    out = P.policy_p3(df, base, train=True)
+    return _r6_all(out, MARKET_L + FEATURES_B + STAT_COLS)
+
+
+# ------------------------------------------------------------------ row statistics
+@register("row_stats")
+def q_row_stats(spark, sf):
+    return _r6_all(add_row_stats(V.signals(spark, sf)), STAT_COLS[:7])
+
+
+@register("row_argext")
+def q_row_argext(spark, sf):
+    return _r6_all(add_row_stats(V.signals(spark, sf)), ["x_stat_idx_max", "x_stat_idx_min"])
+
+
+@register("log_interactions")
+def q_log_interactions(spark, sf):
+    df = add_log_interactions(add_row_stats(V.market_signals(spark, sf)))
+    cols = []
+    for m in ["volume", "buy_qty", "sell_qty", "x_stat_mean", "x_stat_median"]:
+        arr = f"x_log_x_{m}"
+        cols += [r6(F.col(arr)[i]).alias(n) for i, n in enumerate(AR.names_of(df, arr))]
+    return df.select("row_id", *cols)
