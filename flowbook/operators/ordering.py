@@ -13,9 +13,10 @@ through one task.  Instead:
    written as a higher-order ``aggregate`` over the split array (JVM-side,
    O(log B) per row).  Because the split points are fixed literals, the
    bucket of a row never changes on recomputation (executor loss, AQE);
-4. per-bucket counts (map-side partial aggregate, B rows) -> running sum in
-   a window over those B rows -> offsets, broadcast (size bounded by B);
-5. ``offset + row_number() over (partition by bucket order by key) - 1``.
+4. per-bucket counts (key-only scan, map-side partial aggregate; at most B
+   rows reach the driver) -> prefix sums -> a constant offsets array;
+5. ``offsets[bucket] + row_number() over (partition by bucket order by key) - 1``:
+   one shuffle (hash on bucket), no join.
 
 Ties in a leading key (e.g. one timestamp holding a third of all rows) are
 still split across buckets because split points are whole key tuples; the
@@ -125,21 +126,26 @@ def with_position(
     key_types = [df.select(kc).schema[0].dataType for kc in key_cols]
     splits = (_split_tuples(df.select(*key_cols), n, buckets, oversample, seed) if buckets > 1 else [])
     bcol = "_bucket"
-    key = F.struct(*[_orderable(df, c).alias(f"k{i}") for i, c in enumerate(order)])
-    keyed = df.withColumn(bcol, _bucket_expr(key_types, key, splits))
-    counts = keyed.groupBy(bcol).agg(F.count(F.lit(1)).alias("_cnt"))
-    # B rows at most: a running sum over them is a tiny single-partition window.
-    offsets = counts.select(
-        bcol,
-        (F.sum("_cnt").over(Window.orderBy(bcol).rowsBetween(Window.unboundedPreceding, 0))
-         - F.col("_cnt")).alias("_offset"),
-    )
+
+    def bucket_of() -> Column:
+        key = F.struct(*[_orderable(df, c).alias(f"k{i}") for i, c in enumerate(order)])
+        return _bucket_expr(key_types, key, splits)
+
+    # per-bucket counts: a key-only scan with map-side partial counts; at most
+    # B rows reach the driver, where the prefix sums are formed
+    counts = {int(r[0]): int(r[1]) for r in
+              df.select(bucket_of().alias(bcol)).groupBy(bcol).count().collect()}
+    offsets, run = [], 0
+    for b in range(len(splits) + 1):
+        offsets.append(run)
+        run += counts.get(b, 0)
+    off_col = F.from_json(F.lit(json.dumps(offsets)), T.ArrayType(T.LongType(), False))
     w = Window.partitionBy(bcol).orderBy(*[F.col(c).asc_nulls_first() for c in order])
-    ranked = keyed.withColumn("_rn", F.row_number().over(w))
     out = (
-        ranked.join(F.broadcast(offsets), bcol, "inner")
-        .withColumn(pos_col, (F.col("_offset") + F.col("_rn") - F.lit(1)).cast("long"))
-        .drop(bcol, "_rn", "_offset")
+        df.withColumn(bcol, bucket_of())
+        .withColumn(pos_col, (F.element_at(off_col, F.col(bcol) + F.lit(1))
+                              + F.row_number().over(w) - F.lit(1)).cast("long"))
+        .drop(bcol)
     )
     return Positioned(out, n, len(splits) + 1)
 

@@ -207,3 +207,149 @@ SELECT row_id, {", ".join(f"{O.r6(O.fin(c))} AS {c}" for c in MARKET_L)},
   {O.select_features(O.features_b_exprs())},
   {", ".join(f"{O.r6(O.fin(e))} AS {n}" for n, e in row_stat_exprs())}
 FROM f"""
+
+
+# ------------------------------------------------------------------ ordering
+POS = "(row_number() OVER (ORDER BY ts, row_id) - 1)"
+
+SQL["sort_by_time"] = f"{ME}\nSELECT row_id, ts FROM market_events"
+SQL["global_position"] = f"{ME}\nSELECT row_id, ts, {POS} AS pos FROM market_events"
+SQL["chrono_split"] = f"""{ME}
+SELECT row_id, CASE WHEN {POS} < CAST(floor(count(*) OVER () * 0.8) AS BIGINT) THEN 'train' ELSE 'valid' END AS split
+FROM market_events"""
+SQL["random_split"] = f"""{ME}
+SELECT row_id, CASE WHEN row_number() OVER (ORDER BY md5(CAST(row_id AS VARCHAR) || ':42'), row_id) - 1
+       < CAST(ceil(count(*) OVER () * 0.3) AS BIGINT) THEN 'test' ELSE 'train' END AS split
+FROM market_events"""
+
+
+def fold_sql(pos: str, n: str, k: int = 5) -> str:
+    q = f"({n} // {k})"
+    r = f"({n} % {k})"
+    big = f"({r} * ({q} + 1))"
+    return (f"CAST(CASE WHEN {pos} < {big} THEN {pos} // ({q} + 1) "
+            f"ELSE {r} + ({pos} - {big}) // {q} END AS INTEGER)")
+
+
+SQL["contiguous_kfold"] = f"""{ME},
+p AS (SELECT row_id, {POS} AS pos, count(*) OVER () AS n FROM market_events)
+SELECT row_id, {fold_sql('pos', 'n')} AS fold FROM p"""
+SQL["shuffled_kfold"] = f"""{ME},
+p AS (SELECT row_id, row_number() OVER (ORDER BY md5(CAST(row_id AS VARCHAR) || ':37'), row_id) - 1 AS pos,
+             count(*) OVER () AS n FROM market_events)
+SELECT row_id, {fold_sql('pos', 'n')} AS fold FROM p"""
+SQL["fold_filter"] = f"""{ME},
+p AS (SELECT row_id, label, {POS} AS pos, count(*) OVER () AS n FROM market_events)
+SELECT row_id, {r6all(['label'])} FROM p WHERE {fold_sql('pos', 'n')} = 4"""
+SQL["top_k"] = f"""{ME}
+SELECT row_id, {r6all(['label'])} FROM market_events ORDER BY label DESC, row_id LIMIT 80"""
+
+_RES = f"""{ME},
+r AS (SELECT *, abs(label - avg(label) OVER ()) AS residual FROM market_events)"""
+SQL["nth_largest"] = f"""{_RES},
+k AS (SELECT greatest(1, CAST(floor(0.001 * count(*)) AS BIGINT)) AS n_out FROM r)
+SELECT (SELECT n_out FROM k) AS n_out,
+       {O.r6("(SELECT min(residual) FROM (SELECT residual FROM r ORDER BY residual DESC LIMIT (SELECT n_out FROM k)))")} AS threshold"""
+
+# ------------------------------------------------------------------ scaling
+def _nz(x: str) -> str:
+    return f"(CASE WHEN {x} IS NULL OR abs({x}) < 2.220446049250313e-15 THEN 1.0 ELSE {x} END)"
+
+
+_TRAIN = f"""{ME},
+p AS (SELECT *, {POS} AS pos, count(*) OVER () AS n FROM market_events),
+st AS (SELECT {", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in MARKET_L)}
+       FROM p WHERE pos < CAST(floor(n * 0.8) AS BIGINT))"""
+SQL["standardize"] = f"""{_TRAIN}
+SELECT row_id, {", ".join(f"{O.r6(f'({c} - m_{c}) / {_nz(f's_{c}')}')} AS {c}" for c in MARKET_L)}
+FROM market_events, st"""
+
+SQL["label_scale_roundtrip"] = f"""{ME},
+st AS (SELECT avg(label) AS m, stddev_pop(label) AS s FROM market_events),
+z AS (SELECT row_id, (label - m) / {_nz('s')} AS label_z, m, s FROM market_events, st)
+SELECT row_id, {O.r6('label_z')} AS label_z, {O.r6(f"label_z * {_nz('s')} + m")} AS label_back FROM z"""
+
+SQL["minmax_scale"] = f"""{ME},
+st AS (SELECT {", ".join(f"min({c}) AS a_{c}, max({c}) AS b_{c}" for c in MARKET_L)} FROM market_events)
+SELECT row_id, {", ".join(f"{O.r6(f'({c} - a_{c}) / {_nz(f'(b_{c} - a_{c})')}')} AS {c}" for c in MARKET_L)}
+FROM market_events, st"""
+
+SQL["robust_scale"] = f"""{ME},
+st AS (SELECT {", ".join(f"quantile_cont({c}, 0.5) AS md_{c}, quantile_cont({c}, 0.25) AS q1_{c}, quantile_cont({c}, 0.75) AS q3_{c}" for c in MARKET)}
+       FROM market_events)
+SELECT row_id, {", ".join(f"{O.r6(f'({c} - md_{c}) / {_nz(f'(q3_{c} - q1_{c})')}')} AS {c}" for c in MARKET)}
+FROM market_events, st"""
+
+# ------------------------------------------------------------------ metrics
+_PRED = f"""{ME},
+pr AS (SELECT *, (buy_qty - sell_qty) / (volume + 2.0) AS prediction FROM market_events)"""
+
+
+def metric_sql(t: str = "label", p: str = "prediction") -> str:
+    sse = f"sum(({t} - {p}) * ({t} - {p}))"
+    sst = f"(var_pop({t}) * count({t}))"
+    return ", ".join([
+        f"{O.r6(f'covar_pop({t}, {p}) / (stddev_pop({t}) * stddev_pop({p}))')} AS pearson",
+        f"{O.r6(f'CASE WHEN {sst} > 0 THEN 1.0 - {sse} / {sst} WHEN {sse} = 0 THEN 1.0 ELSE 0.0 END')} AS r2",
+        f"{O.r6(f'avg(abs({t} - {p}))')} AS mae",
+        f"{O.r6(f'sqrt(avg(({t} - {p}) * ({t} - {p})))')} AS rmse",
+        f"{O.r6(f'avg(({t} - {p}) * ({t} - {p}))')} AS mse",
+        "count(*) AS n",
+    ])
+
+
+SQL["regression_metrics"] = f"{_PRED}\nSELECT {metric_sql()} FROM pr"
+SQL["metrics_by_fold"] = f"""{_PRED},
+p AS (SELECT *, {POS} AS pos, count(*) OVER () AS n_all FROM pr),
+f AS (SELECT *, {fold_sql('pos', 'n_all')} AS fold FROM p)
+SELECT fold, {metric_sql()} FROM f GROUP BY fold"""
+SQL["batch_mean_loss"] = f"""{_PRED},
+p AS (SELECT *, {POS} AS pos FROM pr),
+b AS (SELECT pos // 256 AS batch_id, avg((label - prediction) * (label - prediction)) AS bl FROM p GROUP BY 1)
+SELECT {O.r6('avg(bl)')} AS loss, count(*) AS batches FROM b"""
+
+_ATTACH = f"""{_PRED},
+ids AS (SELECT {POS} + 1 AS "ID", prediction FROM pr),
+tmpl AS (SELECT event_id + 1 AS "ID", value AS template_prediction FROM events),
+j AS (SELECT t."ID", i.prediction, t.template_prediction FROM tmpl t LEFT JOIN ids i ON t."ID" = i."ID")"""
+SQL["attach_predictions"] = f"""{_ATTACH}
+SELECT "ID", {O.r6('prediction')} AS prediction, {O.r6('template_prediction')} AS template_prediction FROM j"""
+SQL["prediction_correlation"] = f"""{_ATTACH}
+SELECT {O.r6('covar_pop(template_prediction, prediction) / (stddev_pop(template_prediction) * stddev_pop(prediction))')} AS pearson,
+       count(*) AS n
+FROM j WHERE prediction IS NOT NULL AND template_prediction IS NOT NULL"""
+
+# ------------------------------------------------------------------ weights
+SQL["time_decay_weights"] = f"""{ME},
+p AS (SELECT row_id, {POS} AS pos, count(*) OVER () AS n FROM market_events),
+f AS (SELECT *, {fold_sql('pos', 'n')} AS fold FROM p),
+t AS (SELECT row_id, row_number() OVER (ORDER BY pos) - 1 AS tp, count(*) OVER () AS nt FROM f WHERE fold <> 4),
+w AS (SELECT row_id, pow(0.95, 1.0 - tp / (nt - 1.0)) AS w, nt FROM t)
+SELECT row_id, {O.r6('w * nt / sum(w) OVER ()')} AS weight FROM w"""
+
+SQL["outlier_downweight"] = f"""{_RES},
+p AS (SELECT row_id, residual, {POS} AS pos, count(*) OVER () AS n FROM r),
+w0 AS (SELECT row_id, residual, pow(0.95, 1.0 - pos / (n - 1.0)) AS w, n FROM p),
+w1 AS (SELECT row_id, residual, w * n / sum(w) OVER () AS weight FROM w0),
+k AS (SELECT greatest(1, CAST(floor(0.001 * count(*)) AS BIGINT)) AS n_out FROM w1),
+thr AS (SELECT min(residual) AS t FROM (SELECT residual FROM w1 ORDER BY residual DESC LIMIT (SELECT n_out FROM k))),
+mm AS (SELECT min(residual) AS lo, max(residual) AS hi FROM w1, thr WHERE residual >= t)
+SELECT row_id, {O.r6('CASE WHEN residual >= t THEN weight * (0.8 - 0.6 * ((residual - lo) / (hi - lo + 1e-8))) ELSE weight END')} AS weight
+FROM w1, thr, mm"""
+
+# ------------------------------------------------------------------ selection / ridge
+_FA = f"""{ME},
+fa AS (SELECT label, {", ".join(f"{O.fin(x)} AS {n}" for n, x in O.features_a_exprs())} FROM market_events),
+u AS (UNPIVOT fa ON {", ".join(n for n, _ in O.features_a_exprs())} INTO NAME feature VALUE v),
+r AS (SELECT feature, covar_pop(v, label) / (stddev_pop(v) * stddev_pop(label)) AS r, count(*) AS n
+      FROM u GROUP BY feature)"""
+SQL["f_score_top_k"] = f"""{_FA}
+SELECT feature, {sig('r * r / (1.0 - r * r) * (n - 2)', 6)} AS f_score FROM r
+WHERE isfinite(r * r / (1.0 - r * r))
+ORDER BY r * r / (1.0 - r * r) * (n - 2) DESC, feature LIMIT 20"""
+
+SQL["ridge_head"] = f"""{ME},
+s AS (SELECT covar_pop(buy_qty, label) * count(*) AS sxy, var_pop(buy_qty) * count(*) AS sxx,
+             avg(buy_qty) AS mx, avg(label) AS my FROM market_events),
+w AS (SELECT sxy / (sxx + 0.1) AS coef, mx, my FROM s)
+SELECT {sig('coef', 6)} AS coef, {sig('my - coef * mx', 6)} AS intercept FROM w"""

@@ -225,3 +225,180 @@ def q_log_interactions(spark, sf):
         arr = f"x_log_x_{m}"
         cols += [r6(F.col(arr)[i]).alias(n) for i, n in enumerate(AR.names_of(df, arr))]
     return df.select("row_id", *cols)
+
+
+# ------------------------------------------------------------------ ordering
+from flowbook.operators import ordering as O  # noqa: E402
+from flowbook.operators import scaling as S  # noqa: E402
+from flowbook.operators import metrics as M  # noqa: E402
+from flowbook.operators import weights as W  # noqa: E402
+from flowbook.operators.selection import f_score_top_k  # noqa: E402
+from flowbook.operators.scoring import attach_predictions  # noqa: E402
+from flowbook.operators.models import fit_ridge  # noqa: E402
+
+ORDER = ["ts", "row_id"]
+
+
+@register("sort_by_time")
+def q_sort_by_time(spark, sf):
+    return O.sort_by_time(V.market_events(spark, sf)).select("row_id", "ts")
+
+
+@register("global_position")
+def q_global_position(spark, sf):
+    return O.global_position(V.market_events(spark, sf).select("row_id", "ts"), ORDER)
+
+
+@register("chrono_split")
+def q_chrono_split(spark, sf):
+    tr, va, _ = O.chrono_split(V.market_events(spark, sf).select("row_id", "ts"), 0.8, ORDER)
+    return tr.select("row_id", F.lit("train").alias("split")).unionByName(va.select("row_id", F.lit("valid").alias("split")))
+
+
+@register("random_split")
+def q_random_split(spark, sf):
+    return O.random_split(V.market_events(spark, sf).select("row_id"), 0.3, seed=42).select("row_id", "split")
+
+
+@register("contiguous_kfold")
+def q_contiguous_kfold(spark, sf):
+    return O.contiguous_kfold(V.market_events(spark, sf).select("row_id", "ts"), 5, ORDER).df.select("row_id", "fold")
+
+
+@register("shuffled_kfold")
+def q_shuffled_kfold(spark, sf):
+    return O.shuffled_kfold(V.market_events(spark, sf).select("row_id"), 5, seed=37).select("row_id", "fold")
+
+
+@register("fold_filter")
+def q_fold_filter(spark, sf):
+    folds = O.contiguous_kfold(V.market_events(spark, sf), 5, ORDER).df
+    return _r6_all(O.fold_filter(folds, 4), ["label"])
+
+
+@register("top_k")
+def q_top_k(spark, sf):
+    return _r6_all(O.top_k(V.market_events(spark, sf), "label", 80, tiebreak="row_id"), ["label"])
+
+
+def _residual(df: DataFrame) -> DataFrame:
+    mean = df.agg(F.avg("label").alias("m")).first()["m"]
+    return df.withColumn("residual", F.abs(F.col("label") - F.lit(mean)))
+
+
+@register("nth_largest")
+def q_nth_largest(spark, sf):
+    df = _residual(V.market_events(spark, sf))
+    thr, n_out = W.outlier_threshold(df, "residual", 0.001)
+    return spark.range(1).select(F.lit(n_out).cast("long").alias("n_out"), r6(F.lit(thr)).alias("threshold"))
+
+
+# ------------------------------------------------------------------ scaling
+@register("standardize")
+def q_standardize(spark, sf):
+    df = V.market_events(spark, sf)
+    train, _, _ = O.chrono_split(df, 0.8, ORDER)
+    model = S.standard_fit(train, MARKET_L)
+    return _r6_all(model.transform(df.select("row_id", *MARKET_L)), MARKET_L)
+
+
+@register("label_scale_roundtrip")
+def q_label_scale_roundtrip(spark, sf):
+    df, model = S.scale_label(V.market_events(spark, sf), "label", out="label_z")
+    back = S.unscale(df, model, "label_z", "label", out="label_back")
+    return _r6_all(back, ["label_z", "label_back"])
+
+
+@register("minmax_scale")
+def q_minmax_scale(spark, sf):
+    df = V.market_events(spark, sf)
+    return _r6_all(S.minmax_fit(df, MARKET_L).transform(df.select("row_id", *MARKET_L)), MARKET_L)
+
+
+@register("robust_scale")
+def q_robust_scale(spark, sf):
+    df = V.market_events(spark, sf)
+    return _r6_all(S.robust_fit(df, MARKET).transform(df.select("row_id", *MARKET)), MARKET)
+
+
+# ------------------------------------------------------------------ metrics
+def _predicted(spark, sf) -> DataFrame:
+    """market_events with a deterministic stand-in prediction."""
+    df = V.market_events(spark, sf)
+    return df.withColumn("prediction", (F.col("buy_qty") - F.col("sell_qty")) / (F.col("volume") + F.lit(2.0)))
+
+
+METRIC_COLS = ["pearson", "r2", "mae", "rmse", "mse"]
+
+
+@register("regression_metrics")
+def q_regression_metrics(spark, sf):
+    ev = M.evaluation(_predicted(spark, sf), "label", "prediction")
+    return ev.select(*[r6(c).alias(c) for c in METRIC_COLS], "n")
+
+
+@register("metrics_by_fold")
+def q_metrics_by_fold(spark, sf):
+    folds = O.contiguous_kfold(_predicted(spark, sf), 5, ORDER).df
+    ev = M.evaluation(folds, "label", "prediction", by=["fold"])
+    return ev.select("fold", *[r6(c).alias(c) for c in METRIC_COLS], "n")
+
+
+@register("batch_mean_loss")
+def q_batch_mean_loss(spark, sf):
+    df = O.global_position(_predicted(spark, sf), ORDER)
+    loss = (F.col("label") - F.col("prediction")) * (F.col("label") - F.col("prediction"))
+    out = M.batch_mean_loss(df, loss, "pos", 256)
+    return out.select(r6("loss").alias("loss"), "batches")
+
+
+def _template(spark, sf) -> DataFrame:
+    """A previous-prediction file derived from events: ID = event_id + 1."""
+    return V.table(spark, sf, "events").select((F.col("event_id") + F.lit(1)).alias("ID"),
+                                                F.col("value").alias("prediction"))
+
+
+@register("attach_predictions")
+def q_attach_predictions(spark, sf):
+    out = attach_predictions(_predicted(spark, sf), _template(spark, sf), ORDER)
+    return out.select("ID", r6("prediction").alias("prediction"), r6("template_prediction").alias("template_prediction"))
+
+
+@register("prediction_correlation")
+def q_prediction_correlation(spark, sf):
+    cur = attach_predictions(_predicted(spark, sf), _template(spark, sf), ORDER)
+    return M.prediction_correlation(cur.select("ID", "template_prediction"), cur.select("ID", "prediction"),
+                                    prev_col="template_prediction").select(r6("pearson").alias("pearson"), "n")
+
+
+# ------------------------------------------------------------------ weights
+@register("time_decay_weights")
+def q_time_decay_weights(spark, sf):
+    p = O.contiguous_kfold(V.market_events(spark, sf).select("row_id", "ts"), 5, ORDER)
+    start, end = O.fold_bounds(p.n, 5)[4]
+    train = O.fold_filter(p.df, 4).where("false").unionByName(p.df.where(F.col("fold") != 4))
+    w = train.withColumn("weight", W.decay_weight_expr(W.train_positions(F.col("pos"), start, end), p.n - (end - start)))
+    return _r6_all(w, ["weight"])
+
+
+@register("outlier_downweight")
+def q_outlier_downweight(spark, sf):
+    p = O.with_position(_residual(V.market_events(spark, sf)), ORDER)
+    base = W.time_decay_weights(p.df, "pos", p.n)
+    return _r6_all(W.downweight_outliers(base, "residual", "weight", 0.001, n=p.n), ["weight"])
+
+
+# ------------------------------------------------------------------ selection / linear head
+@register("f_score_top_k")
+def q_f_score_top_k(spark, sf):
+    df = add_features_a(V.market_events(spark, sf))
+    top = f_score_top_k(df, FEATURES_A, "label", 20)
+    return top.select("feature", sig("f_score", 6).alias("f_score"))
+
+
+@register("ridge_head")
+def q_ridge_head(spark, sf):
+    model = fit_ridge(V.market_events(spark, sf), ["buy_qty"], "label", alpha=0.1)
+    lr = model.stages[-1]
+    return spark.range(1).select(sig(F.lit(float(lr.coefficients[0])), 6).alias("coef"),
+                                 sig(F.lit(float(lr.intercept)), 6).alias("intercept"))
