@@ -10,6 +10,7 @@ when the setting is absent (local tests).
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -78,3 +79,19 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     """Reliable checkpoint into the shared folder (never localCheckpoint)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=eager)
+
+
+_SHIPPED: set[int] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``flowbook`` importable in Python workers (what ``--py-files``
+    does): zip the package once per session and ``addPyFile`` it."""
+    key = id(spark.sparkContext)
+    if key in _SHIPPED:
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    out = tempfile.mkdtemp(prefix="flowbook-pkg-", dir="/tmp")
+    archive = shutil.make_archive(os.path.join(out, "flowbook"), "zip", root_dir=root, base_dir="flowbook")
+    spark.sparkContext.addPyFile(archive)
+    _SHIPPED.add(key)
