@@ -9,6 +9,7 @@ column-pruned Parquet scan, so total I/O stays one pass over the data.
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterable
 
@@ -20,6 +21,8 @@ from pyspark.sql import types as T
 from flowbook.functions.numeric import INF, finite_or_null, finite_or_zero
 
 PROFILE_CHUNK = 256
+# above this many columns, per-column aggregates give way to one vector sum
+VECTOR_PROFILE_MIN = 32
 
 
 def _is_fractional(dt: T.DataType) -> bool:
@@ -82,24 +85,68 @@ def _chunked_agg(df: DataFrame, exprs: list[tuple[str, Column]]) -> dict[str, ob
     return out
 
 
-def null_counts(df: DataFrame, cols: Iterable[str] | None = None) -> dict[str, int]:
-    """Missing (NULL/NaN) count per column in one pass (chunked when wide)."""
+def _flag_vector_sums(df: DataFrame, cols: list[str], flag) -> Column:
+    """Column-wise sums of a 0/1 flag over all rows as one ``array<double>``:
+    the flags of a row form one array, summed by ``Summarizer`` (a single
+    vectorised aggregate, no per-column aggregate functions)."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+    arr = F.array(*[F.col(c).cast("double") for c in cols])
+    flags = F.transform(arr, lambda v: F.when(flag(v), F.lit(1.0)).otherwise(F.lit(0.0)))
+    summed = df.select(array_to_vector(flags).alias("_f")).select(Summarizer.sum(F.col("_f")).alias("_s"))
+    return summed.select(vector_to_array("_s").alias("_s"))
+
+
+def _missing_flag(inf_as_missing: bool):
+    if inf_as_missing:
+        return lambda v: F.coalesce(~(F.abs(v) < F.lit(INF)), F.lit(True))
+    return lambda v: v.isNull() | F.isnan(v)
+
+
+def _missing_long(df: DataFrame, cols: list[str], inf_as_missing: bool = False) -> DataFrame:
+    """``(column, nulls)`` for every column in ``cols`` (one pass).  Numeric
+    columns of a wide table use the vector route, others ``count_if``."""
     fields = {f.name: f.dataType for f in df.schema.fields}
+    numeric = [c for c in cols if _is_numeric(fields[c]) and not isinstance(fields[c], T.BooleanType)]
+    spark = df.sparkSession
+    parts = []
+    if len(numeric) >= VECTOR_PROFILE_MIN:
+        sums = _flag_vector_sums(df, numeric, _missing_flag(inf_as_missing))
+        names = F.from_json(F.lit(json.dumps(numeric)), T.ArrayType(T.StringType()))
+        parts.append(sums.select(F.explode(F.arrays_zip(names.alias("column"), F.col("_s").alias("nulls"))).alias("z"))
+                     .select(F.col("z.column").alias("column"), F.col("z.nulls").cast("long").alias("nulls")))
+        rest = [c for c in cols if c not in set(numeric)]
+    else:
+        rest = list(cols)
+    if rest:
+        def miss(c: str) -> Column:
+            if inf_as_missing and _is_fractional(fields[c]):
+                return F.coalesce(~(F.abs(F.col(c)) < F.lit(INF)), F.lit(True))
+            return _missing(c, fields[c])
+        wide = df.agg(*[F.count_if(miss(c)).alias(c) for c in rest])
+        parts.append(wide.unpivot([], rest, "column", "nulls"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out if parts else spark.createDataFrame([], "column string, nulls long")
+
+
+def null_counts(df: DataFrame, cols: Iterable[str] | None = None, inf_as_missing: bool = False) -> dict[str, int]:
+    """Missing (NULL/NaN, optionally +/-inf) count per column in one pass;
+    the result is bounded by the table width."""
     cols = list(cols) if cols is not None else df.columns
-    res = _chunked_agg(df, [(c, F.count_if(_missing(c, fields[c]))) for c in cols])
-    return {c: int(v) for c, v in res.items()}
+    if not cols:
+        return {}
+    return {r["column"]: int(r["nulls"]) for r in _missing_long(df, cols, inf_as_missing).collect()}
 
 
-def null_profile(df: DataFrame, cols: Iterable[str] | None = None) -> DataFrame:
+def null_profile(df: DataFrame, cols: Iterable[str] | None = None, inf_as_missing: bool = False) -> DataFrame:
     """``(column, nulls)`` for columns with at least one missing value,
-    most-missing first (ties by name).  Stays a DataFrame: the one-row count
-    vector is unpivoted in Spark."""
-    fields = {f.name: f.dataType for f in df.schema.fields}
+    most-missing first (ties by name).  Stays a DataFrame."""
     cols = list(cols) if cols is not None else df.columns
     if not cols:
         return df.sparkSession.createDataFrame([], "column string, nulls long")
-    wide = df.agg(*[F.count_if(_missing(c, fields[c])).alias(c) for c in cols])
-    long = wide.unpivot([], cols, "column", "nulls")
+    long = _missing_long(df, cols, inf_as_missing)
     return long.where(F.col("nulls") > 0).orderBy(F.col("nulls").desc(), F.col("column").asc())
 
 
@@ -124,6 +171,11 @@ def drop_columns_by_profile(profile: DataFrame, *dfs: DataFrame) -> list[DataFra
 
 def inf_columns(df: DataFrame) -> list[str]:
     frac = [f.name for f in df.schema.fields if _is_fractional(f.dataType)]
+    if not frac:
+        return []
+    if len(frac) >= VECTOR_PROFILE_MIN:
+        sums = _flag_vector_sums(df, frac, lambda v: F.coalesce(F.abs(v) == F.lit(INF), F.lit(False))).first()["_s"]
+        return [c for c, v in zip(frac, sums) if v > 0]
     res = _chunked_agg(df, [(c, F.max((F.abs(F.col(c)) == F.lit(INF)).cast("int"))) for c in frac])
     return [c for c in frac if (res[c] or 0) > 0]
 
@@ -134,9 +186,9 @@ def drop_inf_columns(df: DataFrame) -> DataFrame:
 
 
 def all_null_columns(df: DataFrame) -> list[str]:
-    fields = {f.name: f.dataType for f in df.schema.fields}
-    res = _chunked_agg(df, [(c, F.count_if(~_missing(c, fields[c]))) for c in df.columns])
-    return [c for c in df.columns if int(res[c]) == 0]
+    counts = null_counts(df)
+    n = df.count()
+    return [c for c in df.columns if counts.get(c, 0) == n]
 
 
 def drop_all_null_columns(df: DataFrame) -> DataFrame:
@@ -242,3 +294,21 @@ def category_to_int(df: DataFrame, cols: Iterable[str]) -> DataFrame:
     text under ANSI, as the reference does)."""
     target = set(cols)
     return df.select(*[F.col(c).cast("int").alias(c) if c in target else F.col(c) for c in df.columns])
+
+
+def array_null_profile(df: DataFrame, x: str = "x", inf_as_missing: bool = False) -> DataFrame:
+    """C2 over a packed signal array: ``(column, nulls)`` per element name,
+    from one vector-sum aggregate (the array layout of wide tables)."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    from flowbook.functions.arrays import names_of
+    names = names_of(df, x)
+    flag = _missing_flag(inf_as_missing)
+    flags = F.transform(F.col(x), lambda v: F.when(flag(v), F.lit(1.0)).otherwise(F.lit(0.0)))
+    sums = (df.select(array_to_vector(flags).alias("_f")).select(Summarizer.sum(F.col("_f")).alias("_s"))
+            .select(vector_to_array("_s").alias("_s")))
+    lit_names = F.from_json(F.lit(json.dumps(names)), T.ArrayType(T.StringType()))
+    long = (sums.select(F.explode(F.arrays_zip(lit_names.alias("column"), F.col("_s").alias("nulls"))).alias("z"))
+            .select(F.col("z.column").alias("column"), F.col("z.nulls").cast("long").alias("nulls")))
+    return long.where(F.col("nulls") > 0).orderBy(F.col("nulls").desc(), F.col("column").asc())

@@ -49,7 +49,7 @@ def final_gbt(label: str = "label", features: str = "features", weight: str | No
     each round is a distributed job."""
     kw = dict(labelCol=label, featuresCol=features, maxIter=max_iter, maxDepth=min(max_depth, 30),
               stepSize=0.02213, subsamplingRate=0.3, featureSubsetStrategy="0.3628",
-              minInstancesPerNode=16, seed=seed, maxBins=64, cacheNodeIds=True, checkpointInterval=10)
+              minInstancesPerNode=16, seed=seed, maxBins=64, checkpointInterval=10)
     if weight:
         kw["weightCol"] = weight
     if validation_col:

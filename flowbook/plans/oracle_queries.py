@@ -353,3 +353,31 @@ s AS (SELECT covar_pop(buy_qty, label) * count(*) AS sxy, var_pop(buy_qty) * cou
              avg(buy_qty) AS mx, avg(label) AS my FROM market_events),
 w AS (SELECT sxy / (sxx + 0.1) AS coef, mx, my FROM s)
 SELECT {sig('coef', 6)} AS coef, {sig('my - coef * mx', 6)} AS intercept FROM w"""
+
+
+# streaming parity: the stream must produce exactly the batch result
+SQL["features_a_stream"] = SQL["features_a"]
+
+_bulk_b_feats = ",\n    ".join(f"{O.fin(x)} AS {n}" for n, x in O.features_b_exprs())
+_bulk_b_sums = ",\n  ".join(f"{sig(f'sum({n})')} AS sum_{n}" for n, _ in O.features_b_exprs())
+SQL["features_b_bulk"] = f"""{O.with_views(O.MARKET_LINEITEM)},
+fb AS (SELECT l_returnflag,
+    {_bulk_b_feats}
+  FROM market_lineitem)
+SELECT l_returnflag, count(*) AS n,
+  {_bulk_b_sums}
+FROM fb GROUP BY l_returnflag"""
+
+
+def _wide_col(i: int) -> str:
+    c = f"CASE WHEN (event_id + {i}) % {i + 7} <> 0 THEN value * {float(i)} END"
+    if i % 7 == 3:
+        c = f"CASE WHEN event_id % 101 = {i % 101} THEN 'inf'::DOUBLE ELSE {c} END"
+    return c
+
+
+SQL["wide_profile"] = ("WITH w AS (SELECT " + ", ".join(f"{_wide_col(i)} AS X{i}" for i in range(1, 897)) +
+                       " FROM events), p AS (" +
+                       " UNION ALL ".join(f"SELECT 'X{i}' AS {COLQ}, count_if(NOT coalesce(isfinite(X{i}), false)) AS nulls FROM w"
+                                          for i in range(1, 897)) +
+                       ") SELECT " + COLQ + ", nulls FROM p WHERE nulls > 0")

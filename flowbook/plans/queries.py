@@ -402,3 +402,158 @@ def q_ridge_head(spark, sf):
     lr = model.stages[-1]
     return spark.range(1).select(sig(F.lit(float(lr.coefficients[0])), 6).alias("coef"),
                                  sig(F.lit(float(lr.intercept)), 6).alias("intercept"))
+
+
+# ------------------------------------------------------------------ models (rows-only checks)
+from flowbook.operators.models import assemble, quick_forest  # noqa: E402
+from flowbook.operators.scoring import numpy_batch_scorer  # noqa: E402
+from flowbook.plans import pipelines as PL  # noqa: E402
+
+MODEL_FEATURES = MARKET + FEATURES_B
+_OOF_CACHE: dict[str, PL.OOFResult] = {}
+
+
+def _market_b(spark, sf) -> DataFrame:
+    return add_features_b(V.market_events(spark, sf))
+
+
+def _lineitem_b(spark, sf) -> DataFrame:
+    return add_features_b(V.market_lineitem(spark, sf))
+
+
+def _oof(spark, sf) -> PL.OOFResult:
+    if sf not in _OOF_CACHE:
+        _OOF_CACHE[sf] = PL.oof_training(_market_b(spark, sf), MODEL_FEATURES, "label", k=5)
+    return _OOF_CACHE[sf]
+
+
+@register("forest_residuals")
+def q_forest_residuals(spark, sf):
+    p = O.with_position(_market_b(spark, sf), ORDER)
+    df = assemble(W.time_decay_weights(p.df, "pos", p.n), MODEL_FEATURES)
+    model = quick_forest("label").fit(df)
+    out = model.transform(df).select("row_id", F.abs(F.col("label") - F.col("prediction")).alias("residual"))
+    return _r6_all(out, ["residual"])
+
+
+@register("gbt_oof")
+def q_gbt_oof(spark, sf):
+    return _r6_all(_oof(spark, sf).oof, ["label", "prediction"], ["row_id", "fold"])
+
+
+@register("fold_ensemble")
+def q_fold_ensemble(spark, sf):
+    scored = PL.ensemble_scores(_oof(spark, sf).models, _lineitem_b(spark, sf), MODEL_FEATURES)
+    return scored.select("l_returnflag", r6("prediction").alias("prediction"))
+
+
+@register("refit_score")
+def q_refit_score(spark, sf):
+    scored = PL.refit_scaled(_market_b(spark, sf), _lineitem_b(spark, sf), MODEL_FEATURES)
+    return scored.select("l_returnflag", r6("prediction").alias("prediction"))
+
+
+@register("shap_importance")
+def q_shap_importance(spark, sf):
+    train, _, _ = O.chrono_split(_market_b(spark, sf), 0.8, ORDER)
+    sel = PL.shap_selection(train, MODEL_FEATURES, "label", k=30, max_iter=100, max_depth=6)
+    return sel.importance.select("feature", r6("importance").alias("importance"))
+
+
+def _split_a(spark, sf):
+    df = O.random_split(add_features_a(V.market_events(spark, sf)), 0.3, seed=42)
+    return df.where(F.col("split") == "train"), df.where(F.col("split") == "test")
+
+
+@register("pca_ridge")
+def q_pca_ridge(spark, sf):
+    train, test = _split_a(spark, sf)
+    scored, _ = PL.latent_ridge(train.drop("split"), test, FEATURES_A, "label", k=8, keys=["row_id"])
+    return scored.select("row_id", r6("prediction").alias("prediction"))
+
+
+@register("reconstruction_loss")
+def q_reconstruction_loss(spark, sf):
+    train, test = _split_a(spark, sf)
+    _, loss = PL.latent_ridge(train.drop("split"), test, FEATURES_A, "label", k=8)
+    return loss.select(*[r6(c).alias(c) for c in ["pred_mse", "recon_mse", "loss"]])
+
+
+@register("batch_scoring")
+def q_batch_scoring(spark, sf):
+    from flowbook.operators.models import fit_ridge
+    lr = fit_ridge(V.market_events(spark, sf), MARKET, "label", alpha=0.1).stages[-1]
+    coef = [float(c) for c in lr.coefficients]
+    icpt = float(lr.intercept)
+
+    def predict(x):
+        import numpy as np
+        return x @ np.asarray(coef) + icpt
+
+    scorer = numpy_batch_scorer(predict, len(MARKET))
+    df = V.market_lineitem(spark, sf)
+    return df.select("l_returnflag", r6(scorer(F.array(*[F.col(c) for c in MARKET]))).alias("prediction"))
+
+
+@register("features_a_stream")
+def q_features_a_stream(spark, sf):
+    """Set A through Structured Streaming (file source -> feature projection ->
+    memory sink); must equal the batch result."""
+    import uuid
+
+    from flowbook.session import scratch_path
+    from flowbook.streaming.features import read_market_stream, stream_features
+    src = scratch_path(spark, "market-events-src")
+    batch = V.market_events(spark, sf)
+    batch.write.mode("overwrite").parquet(src)
+    stream = read_market_stream(spark, src, batch.schema, max_files_per_trigger=1)
+    feats = stream_features(stream, "a").select("row_id", *[r6(c).alias(c) for c in FEATURES_A])
+    name = f"features_a_stream_{uuid.uuid4().hex[:8]}"
+    q = (feats.writeStream.format("memory").queryName(name)
+         .option("checkpointLocation", scratch_path(spark, "stream-ckpt")).trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.table(name)
+
+
+# ------------------------------------------------------------------ bulk / wide workloads
+@register("features_b_bulk")
+def q_features_b_bulk(spark, sf):
+    """Set B over every lineitem row, summed per return flag."""
+    df = add_features_b(V.market_lineitem(spark, sf))
+    agg = df.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"),
+                                         *[F.sum(c).alias(f"sum_{c}") for c in FEATURES_B])
+    return agg.select("l_returnflag", "n", *[sig(f"sum_{c}").alias(f"sum_{c}") for c in FEATURES_B])
+
+
+WIDE = 896
+
+
+def wide_events(spark, sf, width: int = WIDE) -> DataFrame:
+    """A wide table derived from events: ``X1..X{width}``, column i is
+    ``value * i`` with NULL where ``(event_id + i) % (i + 7) = 0``; every
+    seventh column (i % 7 = 3) is +inf where ``event_id % 101 = i % 101``.
+    Built as SQL text: one call instead of thousands of Column objects."""
+    exprs = []
+    for i in range(1, width + 1):
+        c = f"CASE WHEN (event_id + {i}) % {i + 7} <> 0 THEN value * {float(i)}D END"
+        if i % 7 == 3:
+            c = f"CASE WHEN event_id % 101 = {i % 101} THEN double('inf') ELSE {c} END"
+        exprs.append(f"{c} AS X{i}")
+    return V.table(spark, sf, "events").selectExpr("event_id", *exprs)
+
+
+def wide_signals(spark, sf, width: int = WIDE) -> DataFrame:
+    """The same wide block in the array layout: one higher-order expression
+    builds ``x`` (names ``X1..X{width}`` in its metadata)."""
+    def elem(i):
+        v = F.when((F.col("event_id") + i) % (i + F.lit(7)) != 0, F.col("value") * i.cast("double"))
+        return F.when((i % 7 == 3) & (F.col("event_id") % 101 == i % 101), F.lit(float("inf"))).otherwise(v)
+    x = F.transform(F.sequence(F.lit(1), F.lit(width)), elem)
+    return V.table(spark, sf, "events").select("event_id", AR.with_names(x, "x", [f"X{i}" for i in range(1, width + 1)]))
+
+
+@register("wide_profile")
+def q_wide_profile(spark, sf):
+    """C1+C2 over ~900 signal columns held as one array: a single vectorised
+    aggregate pass, then the count vector is zipped with the names."""
+    return C.array_null_profile(wide_signals(spark, sf), "x", inf_as_missing=True)
