@@ -51,8 +51,17 @@ def nan_to_null(c: str | Column) -> Column:
 
 
 def r6(c: str | Column, places: int = 6) -> Column:
-    """Round for cross-engine comparison; ``+ 0.0`` folds -0.0 into 0.0."""
-    return F.round(col(c), places) + F.lit(0.0)
+    """Round half away from zero at ``places`` decimals, computed as
+    ``round(x * 10^p) / 10^p`` in plain double arithmetic (the usual SQL
+    engine formula; ``F.round`` goes through BigDecimal per value).
+    ``rint`` rounds ties to even, so exact .5 ties are pushed away from zero.
+    ``+ 0.0`` folds -0.0 into 0.0."""
+    m = F.lit(float(10 ** places))
+    y = col(c) * m
+    z = F.abs(y)
+    r = F.rint(z)
+    away = r + F.when(z - r == F.lit(0.5), F.lit(1.0)).otherwise(F.lit(0.0))
+    return F.signum(y) * away / m + F.lit(0.0)
 
 
 def safe_ln(c: str | Column) -> Column:

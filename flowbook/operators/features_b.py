@@ -91,5 +91,10 @@ def add_features_b(df: DataFrame, cols: MarketColumns = MarketColumns(), sanitiz
     def out(c: str) -> Column:
         return finite_or_zero(F.col(c)).alias(c) if sanitize and c in market else F.col(c)
 
-    return df.select(*[out(c) for c in keep],
-                     *[(finite_or_zero(e) if sanitize else e).alias(n) for n, e in feats])
+    # two projections: formulas once, then the sanitiser over their results
+    # (a formula referenced twice is not inlined by CollapseProject, so the
+    # generated code stays small enough for whole-stage codegen)
+    raw = df.select(*[F.col(c) for c in keep], *[e.alias(n) for n, e in feats])
+    if not sanitize:
+        return raw
+    return raw.select(*[out(c) for c in keep], *[finite_or_zero(F.col(n)).alias(n) for n, _ in feats])

@@ -235,42 +235,93 @@ def top_k(df: DataFrame, by: str, k: int, tiebreak: str | None = None) -> DataFr
     return df.orderBy(*keys).limit(k)
 
 
-def kth_smallest(df: DataFrame, c: str, r: int, n: int | None = None, rel_err: float = 1e-3,
-                 direct_limit: int = 100_000) -> float | None:
-    """Exact value at 0-based rank ``r`` of column ``c`` (NULL/NaN excluded).
-
-    Iteratively brackets the rank with ``approxQuantile`` and narrows the
-    candidate set by counting; a hot value that spans the rank is returned
-    without gathering its rows.  Only a candidate set of at most
-    ``direct_limit`` values is ever ordered in one place.
+def kth_values(df: DataFrame, c: str, ranks: list[int], n: int | None = None, rel_err: float = 1e-3,
+               direct_limit: int = 20_000) -> dict[int, float | None]:
+    """Exact values at 0-based ascending ranks of column ``c`` (NULL/NaN
+    excluded), for several ranks at once.
+
+    One ``approxQuantile`` pass proposes a candidate per rank and one counting
+    pass checks all candidates (``count(c < a)``, ``count(c <= a)``); a hot
+    value spanning the rank is accepted without touching its rows.  Ranks
+    that miss narrow to a bracket around their candidate and repeat; a bracket
+    of at most ``direct_limit`` values is resolved with ``orderBy().offset(r)
+    .limit(1)``, which returns one row.  Nothing unbounded reaches the driver.
     """
     col = F.col(c)
     base = df.select(col.cast("double").alias(c)).where(col.isNotNull() & ~F.isnan(col))
-    lo: float | None = None
-    hi: float | None = None
     if n is None:
         n = base.count()
-    if r < 0 or r >= n:
-        return None
-    for _ in range(64):
-        sub = base
+    out: dict[int, float | None] = {r: None for r in ranks if r < 0 or r >= n}
+    # state per rank: (relative rank, bracket size, lo, hi)
+    todo = {r: (r, n, None, None) for r in set(ranks) if 0 <= r < n}
+
+    def sub_of(lo, hi):
+        s = base
         if lo is not None:
-            sub = sub.where(col > F.lit(lo))
+            s = s.where(col > F.lit(lo))
         if hi is not None:
-            sub = sub.where(col < F.lit(hi))
-        if n <= direct_limit:
-            rows = sub.orderBy(col.asc()).limit(r + 1).collect()
-            return float(rows[-1][0])
-        a = sub.approxQuantile(c, [min(1.0, (r + 0.5) / n)], rel_err)[0]
-        cnt = sub.agg(F.count_if(col < F.lit(a)).alias("lt"), F.count_if(col <= F.lit(a)).alias("le")).first()
-        lt, le = int(cnt["lt"]), int(cnt["le"])
-        if lt <= r < le:
-            return float(a)
-        if r < lt:
-            hi, n = a, lt
-        else:
-            lo, r, n = a, r - le, n - le
-    raise RuntimeError("kth_smallest did not converge")
+            s = s.where(col < F.lit(hi))
+        return s
+
+    for _ in range(64):
+        if not todo:
+            return out
+        direct = {r: st for r, st in todo.items() if st[1] <= direct_limit}
+        for r, (rr, _, lo, hi) in direct.items():
+            row = sub_of(lo, hi).orderBy(col.asc()).offset(rr).limit(1).collect()
+            out[r] = float(row[0][0])
+            del todo[r]
+        if not todo:
+            return out
+        # per rank three probes (p - 2e, p, p + 2e): one approxQuantile job per
+        # distinct bracket, then one counting job for every probe
+        cands: dict[int, list[float]] = {}
+        by_bracket: dict[tuple, list[int]] = {}
+        for r, (rr, size, lo, hi) in todo.items():
+            by_bracket.setdefault((lo, hi, size), []).append(r)
+        for (lo, hi, size), rs in by_bracket.items():
+            probs = []
+            for r in rs:
+                p = (todo[r][0] + 0.5) / size
+                probs += [max(0.0, p - 2 * rel_err), min(1.0, p), min(1.0, p + 2 * rel_err)]
+            got = sub_of(lo, hi).approxQuantile(c, probs, rel_err)
+            for i, r in enumerate(rs):
+                cands[r] = sorted(set(got[3 * i:3 * i + 3]))
+        aggs = []
+        for r, cs in cands.items():
+            rr, size, lo, hi = todo[r]
+            inside = F.lit(True)
+            if lo is not None:
+                inside = inside & (col > F.lit(lo))
+            if hi is not None:
+                inside = inside & (col < F.lit(hi))
+            for j, a in enumerate(cs):
+                aggs += [F.count_if(inside & (col < F.lit(a))).alias(f"lt{r}_{j}"),
+                         F.count_if(inside & (col <= F.lit(a))).alias(f"le{r}_{j}")]
+        cnt = base.agg(*aggs).first()
+        for r, cs in cands.items():
+            rr, size, lo, hi = todo[r]
+            new_lo, off, new_hi, top = lo, 0, hi, size
+            for j, a in enumerate(cs):
+                lt, le = int(cnt[f"lt{r}_{j}"]), int(cnt[f"le{r}_{j}"])
+                if lt <= rr < le:
+                    out[r] = float(a)
+                    break
+                if le <= rr and le >= off:
+                    new_lo, off = a, le
+                if lt > rr and lt <= top:
+                    new_hi, top = a, lt
+            else:
+                todo[r] = (rr - off, top - off, new_lo, new_hi)
+                continue
+            del todo[r]
+    raise RuntimeError("kth_values did not converge")
+
+
+def kth_smallest(df: DataFrame, c: str, r: int, n: int | None = None, rel_err: float = 1e-3,
+                 direct_limit: int = 20_000) -> float | None:
+    """Exact value at 0-based rank ``r`` of column ``c`` (see ``kth_values``)."""
+    return kth_values(df, c, [r], n, rel_err, direct_limit)[r]
 
 
 def nth_largest(df: DataFrame, c: str, k: int, n: int | None = None) -> float | None:

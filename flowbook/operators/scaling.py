@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowbook.operators.clean import numeric_columns
-from flowbook.operators.ordering import kth_smallest
+from flowbook.operators.ordering import kth_values
 
 
 def _nonzero(scale: float | None) -> float:
@@ -85,32 +85,37 @@ def minmax_fit(df: DataFrame, cols: Iterable[str] | None = None) -> ScalerModel:
     return m
 
 
-def exact_quantile(df: DataFrame, c: str, q: float, n: int | None = None) -> float | None:
-    """Linear-interpolated quantile computed exactly and distributed."""
+def exact_quantiles(df: DataFrame, c: str, qs: list[float], n: int | None = None) -> list[float | None]:
+    """Linear-interpolated quantiles, exact and distributed (all ranks of all
+    ``qs`` resolved together by ``kth_values``)."""
     col = F.col(c)
     if n is None:
         n = df.where(col.isNotNull() & ~F.isnan(col.cast("double"))).count()
     if n == 0:
-        return None
-    h = (n - 1) * q
-    lo_i = int(h // 1)
-    hi_i = min(lo_i + 1, n - 1)
-    a = kth_smallest(df, c, lo_i, n=n)
-    b = a if hi_i == lo_i or h == lo_i else kth_smallest(df, c, hi_i, n=n)
-    return a + (b - a) * (h - lo_i)
+        return [None for _ in qs]
+    spots = []
+    for q in qs:
+        h = (n - 1) * q
+        lo_i = int(h // 1)
+        spots.append((h, lo_i, min(lo_i + 1, n - 1)))
+    vals = kth_values(df, c, sorted({i for _, a, b in spots for i in (a, b)}), n=n)
+    return [vals[a] + (vals[b] - vals[a]) * (h - a) for h, a, b in spots]
+
+
+def exact_quantile(df: DataFrame, c: str, q: float, n: int | None = None) -> float | None:
+    return exact_quantiles(df, c, [q], n)[0]
 
 
 def robust_fit(df: DataFrame, cols: Iterable[str] | None = None,
                quantile_range: tuple[float, float] = (25.0, 75.0)) -> ScalerModel:
     """(x - median) / IQR with exact quantiles; zero IQR -> scale 1."""
     cols = _cols(df, cols)
+    counts = df.agg(*[F.count_if(F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))).alias(f"n{i}")
+                      for i, c in enumerate(cols)]).first()
     m = ScalerModel()
-    for c in cols:
-        col = F.col(c).cast("double")
-        n = df.where(col.isNotNull() & ~F.isnan(col)).count()
-        med = exact_quantile(df, c, 0.5, n)
-        q1 = exact_quantile(df, c, quantile_range[0] / 100.0, n)
-        q3 = exact_quantile(df, c, quantile_range[1] / 100.0, n)
+    for i, c in enumerate(cols):
+        med, q1, q3 = exact_quantiles(df, c, [0.5, quantile_range[0] / 100.0, quantile_range[1] / 100.0],
+                                      int(counts[f"n{i}"]))
         m.center[c] = med if med is not None else 0.0
         m.scale[c] = _nonzero(None if q1 is None else q3 - q1)
     return m

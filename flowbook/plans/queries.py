@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from flowbook.functions.numeric import r6
 from flowbook.operators.features_a import FEATURES_A, FEATURES_A_PLUS, add_features_a
 from flowbook.operators.features_b import FEATURES_B, add_features_b
+from flowbook.session import tune_session
 from flowbook.sources import adapters as V
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,7 +25,12 @@ REGISTRY: dict[str, Query] = {}
 
 def register(name: str):
     def deco(fn: Query) -> Query:
-        REGISTRY[name] = fn
+        def run(spark: SparkSession, sf: str) -> DataFrame:
+            tune_session(spark)
+            return fn(spark, sf)
+        run.__name__ = fn.__name__
+        run.__doc__ = fn.__doc__
+        REGISTRY[name] = run
         return fn
     return deco
 

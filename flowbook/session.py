@@ -45,10 +45,32 @@ def get_session(
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    tune_session(spark)
     ensure_checkpoint_dir(spark)
     return spark
 
 
+# Runtime SQL settings the feature maps rely on for speed.  Wide projections
+# (58-100 formulas) generate Java methods beyond HotSpot's 8000-byte JIT
+# limit; capping whole-stage methods there makes Spark fall back to
+# per-operator code with split methods, which the JIT does compile.
+RECOMMENDED_SQL_CONF = {
+    "spark.sql.codegen.hugeMethodLimit": "8000",
+}
+
+
+def tune_session(spark: SparkSession) -> SparkSession:
+    """Apply ``RECOMMENDED_SQL_CONF`` entries the user has not set."""
+    for k, v in RECOMMENDED_SQL_CONF.items():
+        try:
+            current = spark.conf.get(k, None)
+        except Exception:  # noqa: BLE001
+            current = None
+        if current is None or current == "65535":
+            spark.conf.set(k, v)
+    return spark
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder, creating a local one only if
     the session has none configured (tests / single machine)."""
