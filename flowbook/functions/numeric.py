@@ -64,6 +64,22 @@ def r6(c: str | Column, places: int = 6) -> Column:
     return F.signum(y) * away / m + F.lit(0.0)
 
 
+def r6_sql(expr: str, places: int = 6) -> str:
+    """SQL text of ``r6`` (same formula), for wide projections built with one
+    ``selectExpr`` call instead of thousands of Column objects."""
+    m = f"{float(10 ** places)!r}D"
+    y = f"(CAST({expr} AS DOUBLE) * {m})"
+    z = f"abs({y})"
+    return (f"(signum({y}) * (rint({z}) + CASE WHEN {z} - rint({z}) = 0.5D THEN 1.0D ELSE 0.0D END)"
+            f" / {m} + 0.0D)")
+
+
+def round_columns(df, cols: list[str], keys: list[str] | None = None, places: int = 6):
+    """Project ``keys`` plus ``r6`` of each column in ``cols`` (one call)."""
+    q = lambda c: "`" + c.replace("`", "``") + "`"
+    return df.selectExpr(*[q(k) for k in (keys or [])], *[f"{r6_sql(q(c), places)} AS {q(c)}" for c in cols])
+
+
 def safe_ln(c: str | Column) -> Column:
     """Natural log that is NULL (not an error) for non-positive input."""
     c = col(c)

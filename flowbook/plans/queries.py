@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowbook.functions.numeric import r6
+from flowbook.functions.numeric import r6, r6_sql, round_columns
 from flowbook.operators.features_a import FEATURES_A, FEATURES_A_PLUS, add_features_a
 from flowbook.operators.features_b import FEATURES_B, add_features_b
 from flowbook.session import tune_session
@@ -50,21 +50,19 @@ def sig(c: Column | str, digits: int = 9) -> Column:
 # ------------------------------------------------------------------ features
 @register("features_a")
 def q_features_a(spark: SparkSession, sf: str) -> DataFrame:
-    df = add_features_a(V.market_events(spark, sf))
-    return df.select("row_id", *[r6(c).alias(c) for c in FEATURES_A])
+    return round_columns(add_features_a(V.market_events(spark, sf)), FEATURES_A, ["row_id"])
 
 
 @register("features_a_plus")
 def q_features_a_plus(spark: SparkSession, sf: str) -> DataFrame:
     # bid_qty stands in for the X293 signal the A+ set needs
     df = add_features_a(V.market_events(spark, sf), plus=True, x293="bid_qty")
-    return df.select("row_id", *[r6(c).alias(c) for c in FEATURES_A_PLUS])
+    return round_columns(df, FEATURES_A_PLUS, ["row_id"])
 
 
 @register("features_b")
 def q_features_b(spark: SparkSession, sf: str) -> DataFrame:
-    df = add_features_b(V.market_events(spark, sf))
-    return df.select("row_id", *[r6(c).alias(c) for c in FEATURES_B])
+    return round_columns(add_features_b(V.market_events(spark, sf)), FEATURES_B, ["row_id"])
 
 
 @register("features_a_bulk")
@@ -88,7 +86,7 @@ MARKET_L = MARKET + ["label"]
 
 
 def _r6_all(df: DataFrame, cols: list[str], keys: list[str] = ["row_id"]) -> DataFrame:  # noqa: B006
-    return df.select(*keys, *[r6(F.col(c).cast("double")).alias(c) for c in cols])
+    return round_columns(df, cols, keys)
 
 
 def _odd_columns(spark: SparkSession, sf: str) -> DataFrame:
@@ -226,11 +224,11 @@ def q_row_argext(spark, sf):
 @register("log_interactions")
 def q_log_interactions(spark, sf):
     df = add_log_interactions(add_row_stats(V.market_signals(spark, sf)))
-    cols = []
+    exprs = []
     for m in ["volume", "buy_qty", "sell_qty", "x_stat_mean", "x_stat_median"]:
         arr = f"x_log_x_{m}"
-        cols += [r6(F.col(arr)[i]).alias(n) for i, n in enumerate(AR.names_of(df, arr))]
-    return df.select("row_id", *cols)
+        exprs += [f"{r6_sql(f'{arr}[{i}]')} AS `{n}`" for i, n in enumerate(AR.names_of(df, arr))]
+    return df.selectExpr("row_id", *exprs)
 
 
 # ------------------------------------------------------------------ ordering
