@@ -85,15 +85,25 @@ def _chunked_agg(df: DataFrame, exprs: list[tuple[str, Column]]) -> dict[str, ob
     return out
 
 
-def _flag_vector_sums(df: DataFrame, cols: list[str], flag) -> Column:
-    """Column-wise sums of a 0/1 flag over all rows as one ``array<double>``:
-    the flags of a row form one array, summed by ``Summarizer`` (a single
-    vectorised aggregate, no per-column aggregate functions)."""
+def _flag_sql(c: str, kind: str) -> str:
+    q = "`" + c.replace("`", "``") + "`"
+    v = f"CAST({q} AS DOUBLE)"
+    if kind == "missing_or_inf":
+        return f"CASE WHEN abs({v}) < double('inf') THEN 0.0D ELSE 1.0D END"
+    if kind == "inf":
+        return f"CASE WHEN abs({v}) = double('inf') THEN 1.0D ELSE 0.0D END"
+    return f"CASE WHEN {v} IS NULL OR isnan({v}) THEN 1.0D ELSE 0.0D END"
+
+
+def _flag_vector_sums(df: DataFrame, cols: list[str], kind: str) -> DataFrame:
+    """Column-wise sums of a 0/1 flag over all rows as one ``array<double>``.
+    The flags of a row are one array built from plain (codegen'd) CASE
+    expressions, summed by ``Summarizer``: a single vectorised aggregate
+    instead of one aggregate function per column."""
     from pyspark.ml.functions import array_to_vector, vector_to_array
     from pyspark.ml.stat import Summarizer
-    arr = F.array(*[F.col(c).cast("double") for c in cols])
-    flags = F.transform(arr, lambda v: F.when(flag(v), F.lit(1.0)).otherwise(F.lit(0.0)))
-    summed = df.select(array_to_vector(flags).alias("_f")).select(Summarizer.sum(F.col("_f")).alias("_s"))
+    flags = df.selectExpr("array(" + ", ".join(_flag_sql(c, kind) for c in cols) + ") AS _f")
+    summed = flags.select(array_to_vector("_f").alias("_f")).select(Summarizer.sum(F.col("_f")).alias("_s"))
     return summed.select(vector_to_array("_s").alias("_s"))
 
 
@@ -111,7 +121,7 @@ def _missing_long(df: DataFrame, cols: list[str], inf_as_missing: bool = False)
     spark = df.sparkSession
     parts = []
     if len(numeric) >= VECTOR_PROFILE_MIN:
-        sums = _flag_vector_sums(df, numeric, _missing_flag(inf_as_missing))
+        sums = _flag_vector_sums(df, numeric, "missing_or_inf" if inf_as_missing else "missing")
         names = F.from_json(F.lit(json.dumps(numeric)), T.ArrayType(T.StringType()))
         parts.append(sums.select(F.explode(F.arrays_zip(names.alias("column"), F.col("_s").alias("nulls"))).alias("z"))
                      .select(F.col("z.column").alias("column"), F.col("z.nulls").cast("long").alias("nulls")))
@@ -174,7 +184,7 @@ def inf_columns(df: DataFrame) -> list[str]:
     if not frac:
         return []
     if len(frac) >= VECTOR_PROFILE_MIN:
-        sums = _flag_vector_sums(df, frac, lambda v: F.coalesce(F.abs(v) == F.lit(INF), F.lit(False))).first()["_s"]
+        sums = _flag_vector_sums(df, frac, "inf").first()["_s"]
         return [c for c, v in zip(frac, sums) if v > 0]
     res = _chunked_agg(df, [(c, F.max((F.abs(F.col(c)) == F.lit(INF)).cast("int"))) for c in frac])
     return [c for c in frac if (res[c] or 0) > 0]

@@ -381,3 +381,5 @@ SQL["wide_profile"] = ("WITH w AS (SELECT " + ", ".join(f"{_wide_col(i)} AS X{i}
                        " UNION ALL ".join(f"SELECT 'X{i}' AS {COLQ}, count_if(NOT coalesce(isfinite(X{i}), false)) AS nulls FROM w"
                                           for i in range(1, 897)) +
                        ") SELECT " + COLQ + ", nulls FROM p WHERE nulls > 0")
+
+SQL["wide_profile_array"] = SQL["wide_profile"]

@@ -558,6 +558,12 @@ def wide_signals(spark, sf, width: int = WIDE) -> DataFrame:
 
 @register("wide_profile")
 def q_wide_profile(spark, sf):
-    """C1+C2 over ~900 signal columns held as one array: a single vectorised
-    aggregate pass, then the count vector is zipped with the names."""
+    """C1+C2 over ~900 columns: one vectorised aggregate pass over per-row
+    flag arrays, then the count vector is zipped with the names."""
+    return C.null_profile(wide_events(spark, sf), inf_as_missing=True)
+
+
+@register("wide_profile_array")
+def q_wide_profile_array(spark, sf):
+    """The same profile over the packed array layout of the signals."""
     return C.array_null_profile(wide_signals(spark, sf), "x", inf_as_missing=True)

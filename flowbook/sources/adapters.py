@@ -18,7 +18,17 @@ MARKET_COLS = ("bid_qty", "ask_qty", "buy_qty", "sell_qty", "volume")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return ensure_parallelism(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
+
+
+def ensure_parallelism(df: DataFrame) -> DataFrame:
+    """Spread a scan with fewer splits than the cluster's default parallelism
+    (a small file is one split) over that many partitions.  A no-op for
+    large inputs, which already have more splits than cores."""
+    par = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < par:
+        return df.repartition(par)
+    return df
 
 
 def _mod(c: str, m: int) -> Column:
