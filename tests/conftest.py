@@ -18,6 +18,7 @@ def spark():
     s = (SparkSession.builder.master("local[*]")
          .config("spark.sql.shuffle.partitions", "8")
          .config("spark.ui.enabled", "false")
+         .config("spark.driver.memory", "4g")
          .config("spark.sql.session.timeZone", "UTC")
          .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="flowbook-test-ckpt-", dir="/tmp"))
          .getOrCreate())
