@@ -85,25 +85,19 @@ def _chunked_agg(df: DataFrame, exprs: list[tuple[str, Column]]) -> dict[str, ob
     return out
 
 
-def _flag_sql(c: str, kind: str) -> str:
-    q = "`" + c.replace("`", "``") + "`"
-    v = f"CAST({q} AS DOUBLE)"
-    if kind == "missing_or_inf":
-        return f"CASE WHEN abs({v}) < double('inf') THEN 0.0D ELSE 1.0D END"
-    if kind == "inf":
-        return f"CASE WHEN abs({v}) = double('inf') THEN 1.0D ELSE 0.0D END"
-    return f"CASE WHEN {v} IS NULL OR isnan({v}) THEN 1.0D ELSE 0.0D END"
-
-
 def _flag_vector_sums(df: DataFrame, cols: list[str], kind: str) -> DataFrame:
     """Column-wise sums of a 0/1 flag over all rows as one ``array<double>``.
-    The flags of a row are one array built from plain (codegen'd) CASE
-    expressions, summed by ``Summarizer``: a single vectorised aggregate
-    instead of one aggregate function per column."""
+    The columns of a row are packed into one array, flagged by a single
+    higher-order ``transform`` and summed by ``Summarizer``: one vectorised
+    aggregate instead of one aggregate function per column, and a small plan
+    (no per-column expressions) however wide the table is."""
     from pyspark.ml.functions import array_to_vector, vector_to_array
     from pyspark.ml.stat import Summarizer
-    flags = df.selectExpr("array(" + ", ".join(_flag_sql(c, kind) for c in cols) + ") AS _f")
-    summed = flags.select(array_to_vector("_f").alias("_f")).select(Summarizer.sum(F.col("_f")).alias("_s"))
+    flag = {"missing_or_inf": _missing_flag(True), "missing": _missing_flag(False),
+            "inf": lambda v: F.coalesce(F.abs(v) == F.lit(INF), F.lit(False))}[kind]
+    arr = F.array(*[F.col(c).cast("double") for c in cols])
+    flags = F.transform(arr, lambda v: F.when(flag(v), F.lit(1.0)).otherwise(F.lit(0.0)))
+    summed = df.select(array_to_vector(flags).alias("_f")).select(Summarizer.sum(F.col("_f")).alias("_s"))
     return summed.select(vector_to_array("_s").alias("_s"))
 
 

@@ -16,13 +16,37 @@ from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowbook.operators.ordering import fold_bounds
 from flowbook.operators.weights import decay_weight_expr, downweight_outliers, train_positions
 
 
+def _mem_mb(text: str) -> int:
+    t = text.strip().lower()
+    mult = {"k": 1 / 1024, "m": 1, "g": 1024, "t": 1024 * 1024}
+    if t and t[-1] in mult:
+        return int(float(t[:-1]) * mult[t[-1]])
+    if t.endswith("b") and t[-2:-1] in mult:
+        return int(float(t[:-2]) * mult[t[-2]])
+    return int(float(t) / (1024 * 1024))
+
+
+def tree_memory_mb(spark: SparkSession | None = None, cap: int = 256) -> int:
+    """Per-task budget for tree split statistics (``maxMemoryInMB``): the
+    executor heap split over its concurrent tasks (x2 headroom), capped at
+    Spark's default.  In local mode all task threads share the driver heap."""
+    spark = spark or SparkSession.getActiveSession()
+    if spark is None:
+        return cap
+    conf = spark.sparkContext.getConf()
+    local = spark.sparkContext.master.startswith("local")
+    heap = _mem_mb(conf.get("spark.driver.memory" if local else "spark.executor.memory", "1g"))
+    cores = spark.sparkContext.defaultParallelism if local else int(conf.get("spark.executor.cores", "1"))
+    return int(max(16, min(cap, heap // (2 * max(1, cores)))))
+
+
 def assembler(features: list[str], out: str = "features") -> VectorAssembler:
     return VectorAssembler(inputCols=list(features), outputCol=out, handleInvalid="keep")
 
@@ -36,7 +60,8 @@ def selection_gbt(label: str = "label", features: str = "features", seed: int =
                   max_iter: int = 100, max_depth: int = 6) -> GBTRegressor:
     """Selection model: 100 trees, depth 6, rate 0.1, row/column sample 0.8."""
     return GBTRegressor(labelCol=label, featuresCol=features, maxIter=max_iter, maxDepth=max_depth,
-                        stepSize=0.1, subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=seed)
+                        stepSize=0.1, subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=seed,
+                        maxMemoryInMB=tree_memory_mb())
 
 
 def final_gbt(label: str = "label", features: str = "features", weight: str | None = "weight",
@@ -49,7 +74,8 @@ def final_gbt(label: str = "label", features: str = "features", weight: str | No
     each round is a distributed job."""
     kw = dict(labelCol=label, featuresCol=features, maxIter=max_iter, maxDepth=min(max_depth, 30),
               stepSize=0.02213, subsamplingRate=0.3, featureSubsetStrategy="0.3628",
-              minInstancesPerNode=16, seed=seed, maxBins=64, checkpointInterval=10)
+              minInstancesPerNode=16, seed=seed, maxBins=64, checkpointInterval=10,
+              maxMemoryInMB=tree_memory_mb())
     if weight:
         kw["weightCol"] = weight
     if validation_col:
@@ -60,7 +86,8 @@ def final_gbt(label: str = "label", features: str = "features", weight: str | No
 def quick_forest(label: str = "label", features: str = "features", weight: str | None = "weight",
                  seed: int = 37, num_trees: int = 50, max_depth: int = 10) -> RandomForestRegressor:
     """The quick forest used to score residuals (50 trees, depth 10)."""
-    kw = dict(labelCol=label, featuresCol=features, numTrees=num_trees, maxDepth=max_depth, seed=seed)
+    kw = dict(labelCol=label, featuresCol=features, numTrees=num_trees, maxDepth=max_depth, seed=seed,
+              maxMemoryInMB=tree_memory_mb())
     if weight:
         kw["weightCol"] = weight
     return RandomForestRegressor(**kw)
@@ -149,5 +176,5 @@ def fold_training(
             out = out.unionByName(p)
         res.oof = out
     finally:
-        pass
+        data.unpersist()
     return res
