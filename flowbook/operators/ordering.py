@@ -235,91 +235,117 @@ def top_k(df: DataFrame, by: str, k: int, tiebreak: str | None = None) -> DataFr
     return df.orderBy(*keys).limit(k)
 
 
-def kth_values(df: DataFrame, c: str, ranks: list[int], n: int | None = None, rel_err: float = 1e-3,
-               direct_limit: int = 20_000) -> dict[int, float | None]:
-    """Exact values at 0-based ascending ranks of column ``c`` (NULL/NaN
-    excluded), for several ranks at once.
-
-    One ``approxQuantile`` pass proposes a candidate per rank and one counting
-    pass checks all candidates (``count(c < a)``, ``count(c <= a)``); a hot
-    value spanning the rank is accepted without touching its rows.  Ranks
-    that miss narrow to a bracket around their candidate and repeat; a bracket
-    of at most ``direct_limit`` values is resolved with ``orderBy().offset(r)
-    .limit(1)``, which returns one row.  Nothing unbounded reaches the driver.
+def kth_values_multi(df: DataFrame, requests: dict[str, list[int]], ns: dict[str, int] | None = None,
+                     rel_err: float = 1e-3, direct_limit: int = 4096) -> dict[tuple[str, int], float | None]:
+    """Exact values at 0-based ascending ranks, for several columns and ranks
+    at once (NULL/NaN excluded per column).
+
+    Each round: per column one ``approxQuantile`` job proposes three probes
+    per rank (p - 2e, p, p + 2e); one counting job over the table checks every
+    probe of every column (``count(c < a)``, ``count(c <= a)``).  A probe whose
+    value spans the rank is the answer - a hot value is accepted without
+    touching its rows.  Otherwise the rank's bracket shrinks from both sides
+    to about 4e of its size.  Brackets of at most ``direct_limit`` values are
+    resolved together by one bounded collect per column.  Nothing unbounded
+    reaches the driver and no single task gathers a group.
     """
-    col = F.col(c)
-    base = df.select(col.cast("double").alias(c)).where(col.isNotNull() & ~F.isnan(col))
-    if n is None:
-        n = base.count()
-    out: dict[int, float | None] = {r: None for r in ranks if r < 0 or r >= n}
-    # state per rank: (relative rank, bracket size, lo, hi)
-    todo = {r: (r, n, None, None) for r in set(ranks) if 0 <= r < n}
+    def valid(c: str) -> Column:
+        x = F.col(c).cast("double")
+        return x.isNotNull() & ~F.isnan(x)
+
+    cols = list(requests)
+    if ns is None:
+        row = df.agg(*[F.count_if(valid(c)).alias(f"n{i}") for i, c in enumerate(cols)]).first()
+        ns = {c: int(row[f"n{i}"]) for i, c in enumerate(cols)}
+    out: dict[tuple[str, int], float | None] = {}
+    # state per (column, rank): (relative rank, bracket size, lo, hi); bounds exclusive
+    todo: dict[tuple[str, int], tuple] = {}
+    for c, ranks in requests.items():
+        for r in set(ranks):
+            if 0 <= r < ns[c]:
+                todo[(c, r)] = (r, ns[c], None, None)
+            else:
+                out[(c, r)] = None
 
-    def sub_of(lo, hi):
-        s = base
+    def inside(c: str, lo, hi) -> Column:
+        x = F.col(c).cast("double")
+        cond = valid(c)
         if lo is not None:
-            s = s.where(col > F.lit(lo))
+            cond = cond & (x > F.lit(lo))
         if hi is not None:
-            s = s.where(col < F.lit(hi))
-        return s
+            cond = cond & (x < F.lit(hi))
+        return cond
 
     for _ in range(64):
+        # small brackets: one bounded collect per column resolves them all
+        small: dict[str, list] = {}
+        for key, st in todo.items():
+            if st[1] <= direct_limit:
+                small.setdefault(key[0], []).append(key)
+        for c, keys in small.items():
+            cond = F.lit(False)
+            for k in keys:
+                cond = cond | inside(c, todo[k][2], todo[k][3])
+            vals = sorted(float(r[0]) for r in df.select(F.col(c).cast("double")).where(cond).collect())
+            for k in keys:
+                rr, _, lo, hi = todo.pop(k)
+                sub = [v for v in vals if (lo is None or v > lo) and (hi is None or v < hi)]
+                out[k] = sub[rr]
         if not todo:
             return out
-        direct = {r: st for r, st in todo.items() if st[1] <= direct_limit}
-        for r, (rr, _, lo, hi) in direct.items():
-            row = sub_of(lo, hi).orderBy(col.asc()).offset(rr).limit(1).collect()
-            out[r] = float(row[0][0])
-            del todo[r]
-        if not todo:
-            return out
-        # per rank three probes (p - 2e, p, p + 2e): one approxQuantile job per
-        # distinct bracket, then one counting job for every probe
-        cands: dict[int, list[float]] = {}
-        by_bracket: dict[tuple, list[int]] = {}
-        for r, (rr, size, lo, hi) in todo.items():
-            by_bracket.setdefault((lo, hi, size), []).append(r)
-        for (lo, hi, size), rs in by_bracket.items():
+        probes: dict[tuple[str, int], list[float]] = {}
+        groups: dict[tuple, list] = {}
+        for key, (rr, size, lo, hi) in todo.items():
+            groups.setdefault((key[0], lo, hi, size), []).append(key)
+        for (c, lo, hi, size), keys in groups.items():
             probs = []
-            for r in rs:
-                p = (todo[r][0] + 0.5) / size
+            for k in keys:
+                p = (todo[k][0] + 0.5) / size
                 probs += [max(0.0, p - 2 * rel_err), min(1.0, p), min(1.0, p + 2 * rel_err)]
-            got = sub_of(lo, hi).approxQuantile(c, probs, rel_err)
-            for i, r in enumerate(rs):
-                cands[r] = sorted(set(got[3 * i:3 * i + 3]))
-        aggs = []
-        for r, cs in cands.items():
-            rr, size, lo, hi = todo[r]
-            inside = F.lit(True)
-            if lo is not None:
-                inside = inside & (col > F.lit(lo))
-            if hi is not None:
-                inside = inside & (col < F.lit(hi))
+            sub = df.select(F.col(c).cast("double").alias(c)).where(inside(c, lo, hi))
+            got = sub.approxQuantile(c, probs, rel_err)
+            for i, k in enumerate(keys):
+                probes[k] = sorted(set(got[3 * i:3 * i + 3]))
+        aggs, names = [], {}
+        for key, cs in probes.items():
+            c = key[0]
+            rr, size, lo, hi = todo[key]
+            x = F.col(c).cast("double")
+            ins = inside(c, lo, hi)
             for j, a in enumerate(cs):
-                aggs += [F.count_if(inside & (col < F.lit(a))).alias(f"lt{r}_{j}"),
-                         F.count_if(inside & (col <= F.lit(a))).alias(f"le{r}_{j}")]
-        cnt = base.agg(*aggs).first()
-        for r, cs in cands.items():
-            rr, size, lo, hi = todo[r]
+                base = f"q{len(names)}"
+                names[(key, j)] = base
+                aggs += [F.count_if(ins & (x < F.lit(a))).alias(base + "lt"),
+                         F.count_if(ins & (x <= F.lit(a))).alias(base + "le")]
+        cnt = df.agg(*aggs).first()
+        for key, cs in probes.items():
+            rr, size, lo, hi = todo[key]
             new_lo, off, new_hi, top = lo, 0, hi, size
             for j, a in enumerate(cs):
-                lt, le = int(cnt[f"lt{r}_{j}"]), int(cnt[f"le{r}_{j}"])
+                lt, le = int(cnt[names[(key, j)] + "lt"]), int(cnt[names[(key, j)] + "le"])
                 if lt <= rr < le:
-                    out[r] = float(a)
+                    out[key] = float(a)
                     break
                 if le <= rr and le >= off:
                     new_lo, off = a, le
                 if lt > rr and lt <= top:
                     new_hi, top = a, lt
             else:
-                todo[r] = (rr - off, top - off, new_lo, new_hi)
+                todo[key] = (rr - off, top - off, new_lo, new_hi)
                 continue
-            del todo[r]
+            del todo[key]
     raise RuntimeError("kth_values did not converge")
 
 
+def kth_values(df: DataFrame, c: str, ranks: list[int], n: int | None = None, rel_err: float = 1e-3,
+               direct_limit: int = 4096) -> dict[int, float | None]:
+    """Exact values at 0-based ranks of one column (see ``kth_values_multi``)."""
+    res = kth_values_multi(df, {c: list(ranks)}, None if n is None else {c: n}, rel_err, direct_limit)
+    return {r: res[(c, r)] for r in ranks}
+
+
 def kth_smallest(df: DataFrame, c: str, r: int, n: int | None = None, rel_err: float = 1e-3,
-                 direct_limit: int = 20_000) -> float | None:
+                 direct_limit: int = 4096) -> float | None:
     """Exact value at 0-based rank ``r`` of column ``c`` (see ``kth_values``)."""
     return kth_values(df, c, [r], n, rel_err, direct_limit)[r]
 

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowbook.operators.clean import numeric_columns
-from flowbook.operators.ordering import kth_values
+from flowbook.operators.ordering import kth_values, kth_values_multi
 
 
 def _nonzero(scale: float | None) -> float:
@@ -108,16 +108,28 @@ def exact_quantile(df: DataFrame, c: str, q: float, n: int | None = None) -> flo
 
 def robust_fit(df: DataFrame, cols: Iterable[str] | None = None,
                quantile_range: tuple[float, float] = (25.0, 75.0)) -> ScalerModel:
-    """(x - median) / IQR with exact quantiles; zero IQR -> scale 1."""
+    """(x - median) / IQR with exact quantiles of every column resolved
+    together (shared counting passes); zero IQR -> scale 1."""
     cols = _cols(df, cols)
+    qs = [0.5, quantile_range[0] / 100.0, quantile_range[1] / 100.0]
     counts = df.agg(*[F.count_if(F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))).alias(f"n{i}")
                       for i, c in enumerate(cols)]).first()
+    ns = {c: int(counts[f"n{i}"]) for i, c in enumerate(cols)}
+    spots = {}
+    for c in cols:
+        n = ns[c]
+        spots[c] = [((n - 1) * q, int(((n - 1) * q) // 1), min(int(((n - 1) * q) // 1) + 1, max(n - 1, 0)))
+                    for q in qs]
+    vals = kth_values_multi(df, {c: sorted({i for _, a, b in spots[c] for i in (a, b)}) for c in cols if ns[c] > 0},
+                            {c: ns[c] for c in cols if ns[c] > 0})
     m = ScalerModel()
-    for i, c in enumerate(cols):
-        med, q1, q3 = exact_quantiles(df, c, [0.5, quantile_range[0] / 100.0, quantile_range[1] / 100.0],
-                                      int(counts[f"n{i}"]))
-        m.center[c] = med if med is not None else 0.0
-        m.scale[c] = _nonzero(None if q1 is None else q3 - q1)
+    for c in cols:
+        if ns[c] == 0:
+            m.center[c], m.scale[c] = 0.0, 1.0
+            continue
+        med, q1, q3 = [vals[(c, a)] + (vals[(c, b)] - vals[(c, a)]) * (h - a) for h, a, b in spots[c]]
+        m.center[c] = med
+        m.scale[c] = _nonzero(q3 - q1)
     return m
 
 
