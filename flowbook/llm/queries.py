@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flowbook.llm import simhash
+from flowbook.llm import packing, simhash
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash_near_dedup": simhash.query,
+    "op9_order_preserving_packing": packing.query,
 }
 
 SQL: dict[str, str] = {}

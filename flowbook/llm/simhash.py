@@ -31,7 +31,7 @@ from functools import reduce
 from itertools import combinations, repeat
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -75,13 +75,13 @@ def fingerprint(text: str | None, width: int = SHINGLE) -> int:
 def fingerprints(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     """doc_id, md5 (of the text), fp (the 64 bits as a long); one row per row."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.fromiter((fingerprint(t, width) for t in batch["text"]), np.int64, len(batch))
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "md5": batch["md5"], "fp": fps})
+            fps = [fingerprint(t.as_py(), width) for t in batch["text"]]
+            yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"], "md5": batch["md5"], "fp": pa.array(fps, pa.int64())})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_md5().alias("md5"))
-    return rows.mapInPandas(run, "doc_id long, md5 string, fp long")
+    return rows.mapInArrow(run, "doc_id long, md5 string, fp long")
 
 
 def _block(fp: Column, i: int) -> Column:
