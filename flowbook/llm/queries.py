@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flowbook.llm import packing, simhash
+from flowbook.llm import packing, quality_rules, simhash
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_divergence": quality_rules.query,
     "op8_simhash_near_dedup": simhash.query,
     "op9_order_preserving_packing": packing.query,
 }
