@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flowbook.llm import packing, quality_rules, simhash
+from flowbook.llm import packing, quality_rules, sharding, simhash
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_divergence": quality_rules.query,
+    "op4_kd_tree_sharding": sharding.query,
     "op8_simhash_near_dedup": simhash.query,
     "op9_order_preserving_packing": packing.query,
 }
