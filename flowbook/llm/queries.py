@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flowbook.llm import packing, quality_classifier, quality_rules, secret_scan, sharding, simhash, toxicity
+from flowbook.llm import packing, quality_classifier, quality_rules, secret_scan, sharding, simhash, toxicity, warc
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_divergence": quality_rules.query,
+    "op2_warc_boundary_chain": warc.query,
     "op3_fourier_quality_classifier": quality_classifier.query,
     "op4_kd_tree_sharding": sharding.query,
     "op6_trigram_secret_scan": secret_scan.query,
@@ -18,4 +19,6 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_order_preserving_packing": packing.query,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op2_warc_boundary_chain": warc.QUERY_SQL,
+}
