@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flowbook.llm import packing, quality_classifier, quality_rules, secret_scan, sharding, simhash, toxicity, warc
+from flowbook.llm import decontaminate, packing, quality_classifier, quality_rules, secret_scan, sharding, simhash, toxicity, warc
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_divergence": quality_rules.query,
@@ -17,6 +17,7 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_compression_toxicity": toxicity.query,
     "op8_simhash_near_dedup": simhash.query,
     "op9_order_preserving_packing": packing.query,
+    "op10_rare_seed_decontamination": decontaminate.query,
 }
 
 SQL: dict[str, str] = {
