@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flowbook.llm import decontaminate, packing, quality_classifier, quality_rules, secret_scan, sharding, simhash, toxicity, warc
+from flowbook.llm import decontaminate, line_dedup, packing, quality_classifier, quality_rules, secret_scan, sharding, simhash, toxicity, warc
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_divergence": quality_rules.query,
     "op2_warc_boundary_chain": warc.query,
     "op3_fourier_quality_classifier": quality_classifier.query,
     "op4_kd_tree_sharding": sharding.query,
+    "op5_suffix_array_line_dedup": line_dedup.query,
     "op6_trigram_secret_scan": secret_scan.query,
     "op7_compression_toxicity": toxicity.query,
     "op8_simhash_near_dedup": simhash.query,
