@@ -3,32 +3,63 @@
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes
 each stage's rows as Parquet in the cluster's shared folder and reads them
-again as the next stage's documents.
+again as the next stage's documents.  All stages but the last return the
+columns of ``documents``; the last returns the pieces of packed sequences.
+Nulls, empty tables, repeated rows and further columns: as the operators'
+docstrings define them.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from flowbook.llm import simhash
+from flowbook.llm import decontaminate, line_dedup, packing, quality_rules, simhash
 from flowbook.llm.common import keep, table
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules reject go."""
+    return quality_rules.keep_good(docs)
+
+
+def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later copies of repeated line runs go from the texts; every document
+    stays, with n_chars of the new text."""
+    cut = line_dedup.remove_repeats(docs)
+    return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else cut
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays."""
     return simhash.keep_one(docs)
 
 
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontaminate.remove(docs, table(spark, sf_dir, "benchmark"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of packed sequences."""
+    return packing.pack(docs)
+
+
 STAGES = [
+    ("quality_rules", quality),
+    ("line_dedup", repeated_lines),
     ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("packing", packed),
 ]
 
-#: Line runs, fingerprints and alignments have no SQL form.
+#: Line runs, fingerprints, alignments and token ids have no SQL form; the tests
+#: hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
+    for name, stage in STAGES[:-1]:
         docs = keep(stage(spark, docs, sf_dir), f"pipeline-{name}")
-    return docs
+    return STAGES[-1][1](spark, docs, sf_dir)
