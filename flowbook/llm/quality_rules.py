@@ -189,7 +189,10 @@ def verdicts(docs: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame) -> DataFrame:
     """``docs`` without the rows that the rules reject."""
     shares = references(histograms(docs.select("text", F.col("lang").alias(P + "lang"))))
-    return judged(features(docs), shares).where(_col("kept")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    # The row number ties the filter to this projection: pushed below the
+    # features, the verdict's expressions would be inlined many times over.
+    rows = _with(judged(features(docs), shares), row=F.monotonically_increasing_id())
+    return rows.where(_col("kept") & (_col("row") >= 0)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
