@@ -1,9 +1,10 @@
 """Benchmark decontamination: rare n-gram seeds, then local alignment.
 
 The items' word n-grams are counted over all documents in one pass (each task
-sends at most one number per n-gram).  The rarer half of each item's n-grams
-are its seeds: by rank within the item, so that an item whose passage a third
-of the corpus repeats keeps seeds as well.  In a second pass every document is
+sends at most one number per n-gram).  An item's seeds are its n-grams that are
+not far commoner than its median one: measured within the item, so that an item
+whose passage a third of the corpus repeats keeps its seeds as well, and edited
+copies beside it are still met.  In a second pass every document is
 searched for seeds; where they fall, the passage that the item could cover is
 aligned with it by Smith-Waterman over words (match 2, mismatch and gap -1).
 An item is found if the alignment reaches ``SIMILARITY`` of its full score.
@@ -36,6 +37,7 @@ from flowbook.llm.common import ship, table
 ship(__name__)
 
 N = 3
+COMMON = 4
 SIMILARITY = 0.5
 BLOCK_ITEMS = 5000
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -76,16 +78,17 @@ class Index:
         return {g for n in self.sizes for g in filter(self.places.__contains__, grams(words, n))}
 
     def thinned(self, documents: dict[Gram, int]) -> Index:
-        """With each item's rarer half of n-grams alone."""
+        """With each item's rare n-grams alone: those in at most ``COMMON``
+        times as many documents as the median of its n-grams that occur."""
         own: dict[int, set[Gram]] = defaultdict(set)
         for g, places in self.places.items():
             for number, _ in places:
-                own[number].add(g)
-        keep = {
-            (number, g)
-            for number, all_ in own.items()
-            for g in sorted(all_, key=lambda g: (documents.get(g, 0), g))[: max(4, -(-len(all_) // 2))]
-        }
+                if g in documents:
+                    own[number].add(g)
+        keep = set()
+        for number, all_ in own.items():
+            most = COMMON * sorted(documents[g] for g in all_)[(len(all_) - 1) // 2]
+            keep |= {(number, g) for g in all_ if documents[g] <= most}
         places = {g: [p for p in ps if (p[0], g) in keep] for g, ps in self.places.items()}
         return Index(self.items, {g: p for g, p in places.items() if p})
 

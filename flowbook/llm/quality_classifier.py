@@ -102,10 +102,10 @@ def _matrix(batch: pa.RecordBatch) -> np.ndarray:
 
 def fit_kernel(train: DataFrame) -> Kernel | None:
     """Weights from the normal equations of ``train`` (stats, label)."""
-    both = Summarizer.metrics("mean", "std", "count").summary(array_to_vector("stats"))
-    moments = train.agg(both.alias("m")).first()["m"]
-    if moments is None or not moments["count"]:
+    if train.isEmpty():
         return None
+    both = Summarizer.metrics("mean", "std").summary(array_to_vector("stats"))
+    moments = train.agg(both.alias("m")).first()["m"]
     kernel = Kernel(moments["mean"].toArray(), moments["std"].toArray())
     width = FEATURES + 1
 

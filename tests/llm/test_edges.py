@@ -1,0 +1,127 @@
+"""Nulls, empty and very long texts, repeated rows, empty tables and clashing
+columns: the results that the docstrings define."""
+
+import pytest
+
+from flowbook.llm import decontaminate, line_dedup, packing, quality_classifier, quality_rules, secret_scan, sharding, simhash, toxicity, warc
+
+
+def by_id(df):
+    out = {}
+    for r in df.collect():
+        out.setdefault(r["doc_id"], []).append(r)
+    return out
+
+
+OPERATORS = {
+    "quality_rules": lambda d, l, b: quality_rules.verdicts(d),
+    "quality_classifier": lambda d, l, b: quality_classifier.scores(d, l),
+    "sharding": lambda d, l, b: sharding.shard(d),
+    "line_dedup": lambda d, l, b: line_dedup.remove_repeats(d),
+    "secret_scan": lambda d, l, b: secret_scan.scan(d),
+    "toxicity": lambda d, l, b: toxicity.scores(d, l),
+    "simhash": lambda d, l, b: simhash.near_duplicates(d),
+}
+
+
+@pytest.mark.parametrize("name", OPERATORS)
+def test_one_row_per_row(docs, labels, benchmark, name):
+    assert OPERATORS[name](docs, labels, benchmark).count() == 10
+
+
+@pytest.mark.parametrize("name", OPERATORS)
+def test_empty_table(docs, labels, benchmark, name):
+    assert OPERATORS[name](docs.limit(0), labels, benchmark).count() == 0
+
+
+def test_quality_rules(docs):
+    got = by_id(quality_rules.verdicts(docs))
+    assert got[1][0].n_words == 68 and got[1][0].n_dup_lines == 3 and got[1][0].n_repeat_words == 68 and got[1][0].base_failed
+    for i in (2, 3, 4):
+        assert (got[i][0].n_words, got[i][0].word_chars, got[i][0].kept) == (0, 0, False)
+    assert got[5][0].n_words == 120_000 and got[6][0] == got[6][1]
+    assert set(quality_rules.keep_good(docs).columns) == set(docs.columns)
+
+
+def test_scores(docs, labels):
+    for scores in (quality_classifier.scores(docs, labels), toxicity.scores(docs, labels)):
+        got = by_id(scores)
+        assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for rows in got.values() for r in rows)
+        assert got[6][0] == got[6][1] and got[2][0].score == got[3][0].score
+    assert {r.score for r in quality_classifier.scores(docs, labels.limit(0)).collect()} == {0.5}
+    assert {r.score for r in toxicity.scores(docs, labels.limit(0)).collect()} == {0.0}
+
+
+def test_sharding(docs):
+    rows = sharding.shard(docs).collect()
+    assert sorted(r.size for r in rows if r.doc_id in (2, 3)) == [16, 16]
+    slots = {}
+    for r in rows:
+        slots.setdefault(r.shard, []).append(r.slot)
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values()) and max(slots) < 40
+
+
+def test_line_dedup(docs):
+    out = line_dedup.remove_repeats(docs, min_words=5)
+    got = by_id(out)
+    assert out.columns == docs.columns
+    assert got[1][0].text == "The quick brown fox is in the garden and it was on the wall for that day.\n"
+    assert got[2][0].text is None and got[3][0].text == "" and got[6][0].text == got[6][1].text
+
+
+def test_secret_scan(docs):
+    got = by_id(secret_scan.scan(docs))
+    assert [s.kind for s in got[6][0].spans] == ["assign", "access", "hex"] and got[6][0].spans == got[6][1].spans
+    assert (got[6][0].spans[0].start, got[6][0].spans[0].end) == (0, 25)
+    assert got[2][0].spans == [] and got[5][0].spans == []
+
+
+def test_simhash(docs):
+    got = by_id(simhash.near_duplicates(docs))
+    assert {got[i][0].fp for i in (2, 3, 4)} == {0} and {got[i][0].component_id for i in (2, 3, 4)} == {2}
+    assert got[7][0].component_id == got[8][0].component_id == 7 and got[None][0].component_id is None
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 2, 5, 6, 7]
+
+
+def test_packing(docs):
+    got = by_id(packing.pack(docs))
+    assert got[2][0].doc_tokens == got[3][0].doc_tokens == 1 and got[2][0].length == 1
+    assert sum(r.length for r in got[5]) == got[5][0].doc_tokens > 100_000
+    assert sum(r.length for r in got[6]) == 2 * got[6][0].doc_tokens
+    assert packing.pack(docs.limit(0)).count() == 0
+
+
+def test_decontamination(docs, benchmark):
+    found = {(r.doc_id, r.item_id) for r in decontaminate.find(docs, benchmark).collect()}
+    assert found == {(7, 0), (8, 0), (None, None)}
+    left = decontaminate.remove(docs, benchmark)
+    assert left.columns == docs.columns and left.count() == 7
+    assert decontaminate.find(docs, benchmark.limit(0)).count() == 0 and decontaminate.find(docs.limit(0), benchmark).count() == 0
+
+
+def test_warc(spark, tmp_path):
+    fake = "WARC/1.0\r\nWARC-Type: response\r\nContent-Length: 5\r\n\r\nhello\r\n\r\n"
+    kinds = ["", None, "same" * 10, "a" + fake + "b", fake, "x WARC/1.0\r\n y", "WARC/1.0\r\n", "é" * 300, "\r\n\r\n" + fake * 3]
+    rows = [(i, f"u{i}\r\nX: y", kinds[i % 9], "x", 1) for i in range(40)] + [(None, None, "lone", "x", 1), (7, "u", "é" * 300, "x", 1)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, digest string, start int").repartition(3)
+    warc.write(pages, str(tmp_path / "a"))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")  # records and magics cross the splits
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        got = warc.read(spark, str(tmp_path / "a"), payloads=True).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    keeper = {}
+    for i, _, h, _, _ in rows:
+        keeper[h or ""] = max(keeper.get(h or "", -1), -1 if i is None else i)
+    want = []
+    for i, _, h, _, _ in rows:
+        h = h or ""
+        again = (-1 if i is None else i) < keeper[h]
+        want.append((str(i), len(h.encode()), warc.base32_sha1(h.encode()), "revisit" if again else "response", str(keeper[h]) if again else "None", "" if again else h))
+    assert sorted(want) == sorted((str(r.page_id), r.payload_bytes, r.payload_digest, r.record_type, str(r.refers_to), bytes(r.payload or b"").decode()) for r in got)
+    warc.write(pages.limit(0), str(tmp_path / "b"))
+    assert warc.read(spark, str(tmp_path / "b")).count() == 0
