@@ -29,6 +29,11 @@ def _is_fractional(dt: T.DataType) -> bool:
     return isinstance(dt, (T.FloatType, T.DoubleType))
 
 
+def _is_signal(dt: T.DataType) -> bool:
+    """A packed array of signals."""
+    return isinstance(dt, T.ArrayType) and _is_fractional(dt.elementType)
+
+
 def _is_numeric(dt: T.DataType) -> bool:
     return isinstance(dt, (T.NumericType, T.BooleanType))
 
@@ -65,9 +70,16 @@ def align_columns(df: DataFrame, cols: Iterable[str]) -> DataFrame:
 
 
 def inf_to_null(df: DataFrame, cols: Iterable[str] | None = None) -> DataFrame:
-    """+/-inf (and NaN) -> NULL on fractional columns."""
-    target = set(cols) if cols is not None else {f.name for f in df.schema.fields if _is_fractional(f.dataType)}
-    return df.select(*[finite_or_null(c).alias(c) if c in target else F.col(c) for c in df.columns])
+    """+/-inf (and NaN) -> NULL on fractional columns and in fractional arrays."""
+    fields = {f.name: f for f in df.schema.fields}
+    target = set(cols) if cols is not None else {c for c, f in fields.items() if _is_fractional(f.dataType) or _is_signal(f.dataType)}
+
+    def fix(c: str) -> Column:
+        if _is_signal(fields[c].dataType):
+            return F.transform(c, lambda v: finite_or_null(v)).alias(c, metadata=fields[c].metadata)
+        return finite_or_null(c).alias(c)
+
+    return df.select(*[fix(c) if c in target else F.col(c) for c in df.columns])
 
 
 def _missing(c: str, dt: T.DataType) -> Column:
@@ -201,14 +213,25 @@ def drop_all_null_columns(df: DataFrame) -> DataFrame:
 
 
 def drop_null_rows(df: DataFrame, cols: Iterable[str] | None = None) -> DataFrame:
-    """Drop rows with any NULL (or NaN in numeric columns)."""
-    return df.na.drop("any", subset=list(cols) if cols is not None else None)
+    """Drop rows with any NULL or NaN, in a column or inside a packed array."""
+    cols = list(cols) if cols is not None else df.columns
+    out = df.na.drop("any", subset=cols)
+    for c in cols:
+        if _is_signal(df.schema[c].dataType):
+            out = out.where(~F.exists(c, lambda v: v.isNull() | F.isnan(v)))
+    return out
 
 
 def fill_null(df: DataFrame, value: float = 0.0, cols: Iterable[str] | None = None) -> DataFrame:
-    """NULL (and NaN) -> ``value`` on numeric columns."""
-    subset = list(cols) if cols is not None else numeric_columns(df)
-    return df.na.fill(value, subset=subset)
+    """NULL (and NaN) -> ``value`` on numeric columns and in packed arrays."""
+    fields = {f.name: f for f in df.schema.fields}
+    signals = [c for c in (list(cols) if cols is not None else df.columns) if _is_signal(fields[c].dataType)]
+    subset = [c for c in (list(cols) if cols is not None else numeric_columns(df)) if c not in signals]
+    out = df.na.fill(value, subset=subset)
+    for c in signals:
+        filled = F.transform(c, lambda v: F.coalesce(F.when(~F.isnan(v), v), F.lit(value)))
+        out = out.select(*[filled.alias(c, metadata=fields[c].metadata) if x == c else F.col(x) for x in out.columns])
+    return out
 
 
 def sanitize(df: DataFrame, cols: Iterable[str] | None = None) -> DataFrame:

@@ -72,7 +72,9 @@ def final_gbt(label: str = "label", features: str = "features", weight: str | No
     min child weight 16).  L1/L2 penalties, leaf caps and per-tree/level column
     sampling have no equivalent; ``max_iter`` defaults far below 1667 since
     each round is a distributed job."""
-    kw = dict(labelCol=label, featuresCol=features, maxIter=max_iter, maxDepth=min(max_depth, 30),
+    if max_depth > 30:
+        raise ValueError("GBTRegressor grows trees of at most depth 30")
+    kw = dict(labelCol=label, featuresCol=features, maxIter=max_iter, maxDepth=max_depth,
               stepSize=0.02213, subsamplingRate=0.3, featureSubsetStrategy="0.3628",
               minInstancesPerNode=16, seed=seed, maxBins=64, checkpointInterval=10,
               maxMemoryInMB=tree_memory_mb())

@@ -61,25 +61,28 @@ def _split_tuples(keyed: DataFrame, n: int, buckets: int, oversample: int, seed:
     sample = keyed
     if frac < 1.0:
         sample = sample.sample(withReplacement=False, fraction=frac, seed=seed)
-    rows = [tuple(r) for r in sample.collect()]
-    rows = [r for r in rows if all(v is not None for v in r)]
-    rows.sort()
+    rows = sorted((tuple(r) for r in sample.collect()), key=_sort_key)
     if not rows:
         return []
     picks: list[tuple] = []
     for i in range(1, buckets):
         t = rows[min(len(rows) - 1, (i * len(rows)) // buckets)]
-        if not picks or t > picks[-1]:
+        if not picks or _sort_key(t) > _sort_key(picks[-1]):
             picks.append(t)
     return picks
 
 
+def _sort_key(row: tuple) -> list[tuple]:
+    """Spark's ascending order of key tuples: NULL first, NaN last."""
+    return [(0, 0) if v is None else (2, 0) if v != v else (1, v) for v in row]
+
+
 def _bucket_expr(key_types: list[T.DataType], key: Column, splits: list[tuple]) -> Column:
     """Number of split tuples <= ``key`` by binary search over a constant array."""
     if not splits:
         return F.lit(0)
     st = T.StructType([T.StructField(f"k{i}", t, True) for i, t in enumerate(key_types)])
-    payload = json.dumps([{f"k{i}": v for i, v in enumerate(tup)} for tup in splits])
+    payload = json.dumps([{f"k{i}": v for i, v in enumerate(tup)} for tup in splits], default=str)  # decimals as text
     # a foldable literal: parsed once by constant folding, shipped in the task binary
     split_col = F.from_json(F.lit(payload), T.ArrayType(st, False), {"allowNonNumericNumbers": "true"})
     m = len(splits)
@@ -99,11 +102,11 @@ def _bucket_expr(key_types: list[T.DataType], key: Column, splits: list[tuple])
     return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), init, step)["lo"]
 
 
-def choose_buckets(n: int, parallelism: int, rows_per_bucket: int, max_buckets: int,
+def choose_buckets(n: int, parallelism: int, rows_per_bucket: int,
                    min_rows_per_bucket: int = 4096) -> int:
     by_size = math.ceil(n / rows_per_bucket)
     by_par = min(2 * parallelism, math.ceil(n / min_rows_per_bucket))
-    return int(max(1, min(max_buckets, max(by_size, by_par))))
+    return int(max(1, by_size, by_par))
 
 
 def with_position(
@@ -111,7 +114,6 @@ def with_position(
     order: list[str],
     pos_col: str = "pos",
     rows_per_bucket: int = 1 << 20,
-    max_buckets: int = 1 << 16,
     oversample: int = 8,
     seed: int = 7,
     n: int | None = None,
@@ -121,7 +123,7 @@ def with_position(
     spark = df.sparkSession
     n = df.count() if n is None else n
     if buckets is None:
-        buckets = choose_buckets(n, spark.sparkContext.defaultParallelism, rows_per_bucket, max_buckets)
+        buckets = choose_buckets(n, spark.sparkContext.defaultParallelism, rows_per_bucket)
     key_cols = [_orderable(df, c).alias(f"k{i}") for i, c in enumerate(order)]
     key_types = [df.select(kc).schema[0].dataType for kc in key_cols]
     splits = (_split_tuples(df.select(*key_cols), n, buckets, oversample, seed) if buckets > 1 else [])
@@ -143,6 +145,7 @@ def with_position(
     w = Window.partitionBy(bcol).orderBy(*[F.col(c).asc_nulls_first() for c in order])
     out = (
         df.withColumn(bcol, bucket_of())
+        .repartition(len(splits) + 1, bcol)  # as many tasks as buckets
         .withColumn(pos_col, (F.element_at(off_col, F.col(bcol) + F.lit(1))
                               + F.row_number().over(w) - F.lit(1)).cast("long"))
         .drop(bcol)

@@ -26,6 +26,10 @@ def _nonzero(scale: float | None) -> float:
     return float(scale)
 
 
+def _present(x: Column) -> Column:
+    return F.when(~F.isnan(x), x)
+
+
 @dataclass
 class ScalerModel:
     """Per-column (center, scale); ``transform`` = (x - center) / scale."""
@@ -55,11 +59,12 @@ def _cols(df: DataFrame, cols: Iterable[str] | None) -> list[str]:
 
 
 def standard_fit(df: DataFrame, cols: Iterable[str] | None = None) -> ScalerModel:
-    """G1: mean and population std of each column, one aggregate pass."""
+    """G1: mean and population std of each column (NULL and NaN left out), one
+    aggregate pass."""
     cols = _cols(df, cols)
     aggs = []
     for i, c in enumerate(cols):
-        x = F.col(c).cast("double")
+        x = _present(F.col(c).cast("double"))
         aggs += [F.avg(x).alias(f"m{i}"), F.stddev_pop(x).alias(f"s{i}")]
     row = df.agg(*aggs).first() if aggs else None
     m = ScalerModel()
@@ -70,11 +75,11 @@ def standard_fit(df: DataFrame, cols: Iterable[str] | None = None) -> ScalerMode
 
 
 def minmax_fit(df: DataFrame, cols: Iterable[str] | None = None) -> ScalerModel:
-    """(x - min) / (max - min); zero range -> scale 1."""
+    """(x - min) / (max - min), NULL and NaN left out; zero range -> scale 1."""
     cols = _cols(df, cols)
     aggs = []
     for i, c in enumerate(cols):
-        x = F.col(c).cast("double")
+        x = _present(F.col(c).cast("double"))
         aggs += [F.min(x).alias(f"a{i}"), F.max(x).alias(f"b{i}")]
     row = df.agg(*aggs).first()
     m = ScalerModel()

@@ -299,6 +299,33 @@ def metric_sql(t: str = "label", p: str = "prediction") -> str:
 
 
 SQL["regression_metrics"] = f"{_PRED}\nSELECT {metric_sql()} FROM pr"
+
+
+def _lost(c: str, shift: int) -> str:
+    k = f"(row_id + {shift})"
+    return f"CASE WHEN {k} % 50 <> 0 AND {k} % 51 <> 0 AND {k} % 53 <> 0 THEN {c} END"
+
+
+_PAIRS = f"""{_PRED},
+lost AS (SELECT row_id, {_lost('label', 0)} AS label, {_lost('prediction', 7)} AS prediction FROM pr),
+pairs AS (SELECT * FROM lost WHERE label IS NOT NULL AND prediction IS NOT NULL)"""
+SQL["regression_metrics_dirty"] = f"{_PAIRS}\nSELECT {metric_sql()} FROM pairs"
+SQL["prediction_correlation_dirty"] = f"""{_PAIRS}
+SELECT {O.r6('covar_pop(label, prediction) / (stddev_pop(label) * stddev_pop(prediction))')} AS pearson, count(*) AS n FROM pairs"""
+_LOST = f"""{ME},
+lost AS (SELECT row_id, {", ".join(f"{_lost(c, 7 * i)} AS {c}" for i, c in enumerate(MARKET_L))} FROM market_events)"""
+SQL["standardize_dirty"] = f"""{_LOST},
+st AS (SELECT {", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in MARKET)} FROM lost)
+SELECT row_id, {", ".join(f"{O.r6(f'({c} - m_{c}) / {_nz(f's_{c}')}')} AS {c}" for c in MARKET)} FROM lost, st"""
+SQL["minmax_scale_dirty"] = f"""{_LOST},
+st AS (SELECT {", ".join(f"min({c}) AS a_{c}, max({c}) AS b_{c}" for c in MARKET)} FROM lost)
+SELECT row_id, {", ".join(f"{O.r6(f'({c} - a_{c}) / {_nz(f'(b_{c} - a_{c})')}')} AS {c}" for c in MARKET)} FROM lost, st"""
+SQL["f_score_dirty"] = f"""{_LOST},
+r AS ({" UNION ALL ".join(f"SELECT '{c}' AS feature, covar_pop({c}, label) / (stddev_pop({c}) * stddev_pop(label)) AS r, count(*) AS n FROM lost WHERE {c} IS NOT NULL AND label IS NOT NULL" for c in MARKET)})
+SELECT feature, {O.r6('r')} AS r, {sig('r * r / (1.0 - r * r) * (n - 2)', 8)} AS f_score FROM r"""
+SQL["global_position_null_keys"] = f"""{ME}
+SELECT row_id, row_number() OVER (ORDER BY CASE WHEN row_id % 3 <> 0 THEN CAST(bid_qty AS DECIMAL(20,4)) END NULLS FIRST, row_id) - 1 AS pos
+FROM market_events"""
 SQL["metrics_by_fold"] = f"""{_PRED},
 p AS (SELECT *, {POS} AS pos, count(*) OVER () AS n_all FROM pr),
 f AS (SELECT *, {fold_sql('pos', 'n_all')} AS fold FROM p)

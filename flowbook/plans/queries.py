@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from flowbook.functions.numeric import r6, r6_sql, round_columns
 from flowbook.operators.features_a import FEATURES_A, FEATURES_A_PLUS, add_features_a
 from flowbook.operators.features_b import FEATURES_B, add_features_b
-from flowbook.session import tune_session
 from flowbook.sources import adapters as V
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,12 +24,7 @@ REGISTRY: dict[str, Query] = {}
 
 def register(name: str):
     def deco(fn: Query) -> Query:
-        def run(spark: SparkSession, sf: str) -> DataFrame:
-            tune_session(spark)
-            return fn(spark, sf)
-        run.__name__ = fn.__name__
-        run.__doc__ = fn.__doc__
-        REGISTRY[name] = run
+        REGISTRY[name] = fn
         return fn
     return deco
 
@@ -341,6 +335,61 @@ def q_regression_metrics(spark, sf):
     return ev.select(*[r6(c).alias(c) for c in METRIC_COLS], "n")
 
 
+def _missing(c: str, shift: int) -> Column:
+    """NULL or NaN in about one row in 17, by ``row_id`` + ``shift``."""
+    k = F.col("row_id") + shift
+    lost = F.when((k % 51 == 0) | (k % 53 == 0), F.lit(float("nan"))).otherwise(F.col(c))
+    return F.when(k % 50 != 0, lost).alias(c)
+
+
+def _with_missing(df: DataFrame, cols: list[str]) -> DataFrame:
+    return df.select(*[_missing(c, 7 * cols.index(c)) if c in cols else F.col(c) for c in df.columns])
+
+
+@register("regression_metrics_dirty")
+def q_regression_metrics_dirty(spark, sf):
+    """Metrics over the complete pairs of columns with NULL and NaN."""
+    ev = M.evaluation(_with_missing(_predicted(spark, sf), ["label", "prediction"]), "label", "prediction")
+    return ev.select(*[r6(c).alias(c) for c in METRIC_COLS], "n")
+
+
+@register("prediction_correlation_dirty")
+def q_prediction_correlation_dirty(spark, sf):
+    df = _with_missing(_predicted(spark, sf), ["label", "prediction"])
+    out = M.prediction_correlation(df.select("row_id", "label"), df.select("row_id", "prediction"), key="row_id", prev_col="label")
+    return out.select(r6("pearson").alias("pearson"), "n")
+
+
+@register("standardize_dirty")
+def q_standardize_dirty(spark, sf):
+    """Scaling fitted on the values that are there; missing ones stay missing."""
+    df = _with_missing(V.market_events(spark, sf), MARKET)
+    scaled = S.standard_fit(df, MARKET).transform(df.select("row_id", *MARKET))
+    return scaled.select("row_id", *[F.when(~F.isnan(c), r6(c)).alias(c) for c in MARKET])
+
+
+@register("minmax_scale_dirty")
+def q_minmax_scale_dirty(spark, sf):
+    df = _with_missing(V.market_events(spark, sf), MARKET)
+    scaled = S.minmax_fit(df, MARKET).transform(df.select("row_id", *MARKET))
+    return scaled.select("row_id", *[F.when(~F.isnan(c), r6(c)).alias(c) for c in MARKET])
+
+
+@register("f_score_dirty")
+def q_f_score_dirty(spark, sf):
+    """F scores over each feature's complete pairs with the label."""
+    df = _with_missing(V.market_events(spark, sf), MARKET_L)
+    return f_score_top_k(df, MARKET, "label", len(MARKET)).select("feature", r6("r").alias("r"), sig("f_score", 8).alias("f_score"))
+
+
+@register("global_position_null_keys")
+def q_global_position_null_keys(spark, sf):
+    """Positions by a decimal key that is NULL in a third of the rows."""
+    key = F.when(F.col("row_id") % 3 != 0, F.col("bid_qty").cast("decimal(20,4)"))
+    df = V.market_events(spark, sf).select("row_id", key.alias("k"))
+    return O.with_position(df, ["k", "row_id"], buckets=16).df.select("row_id", "pos")
+
+
 @register("metrics_by_fold")
 def q_metrics_by_fold(spark, sf):
     folds = O.contiguous_kfold(_predicted(spark, sf), 5, ORDER).df
@@ -380,7 +429,7 @@ def q_prediction_correlation(spark, sf):
 def q_time_decay_weights(spark, sf):
     p = O.contiguous_kfold(V.market_events(spark, sf).select("row_id", "ts"), 5, ORDER)
     start, end = O.fold_bounds(p.n, 5)[4]
-    train = O.fold_filter(p.df, 4).where("false").unionByName(p.df.where(F.col("fold") != 4))
+    train = p.df.where(F.col("fold") != 4)
     w = train.withColumn("weight", W.decay_weight_expr(W.train_positions(F.col("pos"), start, end), p.n - (end - start)))
     return _r6_all(w, ["weight"])
 
@@ -414,7 +463,6 @@ from flowbook.operators.scoring import numpy_batch_scorer  # noqa: E402
 from flowbook.plans import pipelines as PL  # noqa: E402
 
 MODEL_FEATURES = MARKET + FEATURES_B
-_OOF_CACHE: dict[str, PL.OOFResult] = {}
 
 
 def _market_b(spark, sf) -> DataFrame:
@@ -426,9 +474,7 @@ def _lineitem_b(spark, sf) -> DataFrame:
 
 
 def _oof(spark, sf) -> PL.OOFResult:
-    if sf not in _OOF_CACHE:
-        _OOF_CACHE[sf] = PL.oof_training(_market_b(spark, sf), MODEL_FEATURES, "label", k=5)
-    return _OOF_CACHE[sf]
+    return PL.oof_training(_market_b(spark, sf), MODEL_FEATURES, "label", k=5)
 
 
 @register("forest_residuals")
@@ -502,9 +548,7 @@ def q_batch_scoring(spark, sf):
 @register("features_a_stream")
 def q_features_a_stream(spark, sf):
     """Set A through Structured Streaming (file source -> feature projection ->
-    memory sink); must equal the batch result."""
-    import uuid
-
+    Parquet sink in the shared folder); must equal the batch result."""
     from flowbook.session import scratch_path
     from flowbook.streaming.features import read_market_stream, stream_features
     src = scratch_path(spark, "market-events-src")
@@ -512,11 +556,11 @@ def q_features_a_stream(spark, sf):
     batch.write.mode("overwrite").parquet(src)
     stream = read_market_stream(spark, src, batch.schema, max_files_per_trigger=1)
     feats = stream_features(stream, "a").select("row_id", *[r6(c).alias(c) for c in FEATURES_A])
-    name = f"features_a_stream_{uuid.uuid4().hex[:8]}"
-    q = (feats.writeStream.format("memory").queryName(name)
+    out = scratch_path(spark, "market-features")
+    q = (feats.writeStream.format("parquet").option("path", out)
          .option("checkpointLocation", scratch_path(spark, "stream-ckpt")).trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(feats.schema).parquet(out)
 
 
 # ------------------------------------------------------------------ bulk / wide workloads

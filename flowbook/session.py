@@ -83,6 +83,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if _LOCAL_DIR is None:
         _LOCAL_DIR = tempfile.mkdtemp(prefix="flowbook-ckpt-", dir="/tmp")
     spark.conf.set("spark.checkpoint.dir", _LOCAL_DIR)
@@ -103,13 +105,13 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager=eager)
 
 
-_SHIPPED: set[int] = set()
+_SHIPPED: set[str] = set()
 
 
 def ship_package(spark: SparkSession) -> None:
     """Make ``flowbook`` importable in Python workers (what ``--py-files``
     does): zip the package once per session and ``addPyFile`` it."""
-    key = id(spark.sparkContext)
+    key = spark.sparkContext.applicationId
     if key in _SHIPPED:
         return
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))

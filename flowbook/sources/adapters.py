@@ -14,21 +14,17 @@ from pyspark.sql import functions as F
 
 from flowbook.functions.arrays import with_names
 
+SCAN_PARTITIONS = "flowbook.scan.partitions"
 MARKET_COLS = ("bid_qty", "ask_qty", "buy_qty", "sell_qty", "volume")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return ensure_parallelism(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
-
-
-def ensure_parallelism(df: DataFrame) -> DataFrame:
-    """Spread a scan with fewer splits than the cluster's default parallelism
-    (a small file is one split) over that many partitions.  A no-op for
-    large inputs, which already have more splits than cores."""
-    par = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < par:
-        return df.repartition(par)
-    return df
+    """A plain scan; its splits follow from ``spark.sql.files.*``.  Only where the
+    user asks for it (``SCAN_PARTITIONS``, for tables of one row group, which no
+    split size can divide) the rows are dealt out anew."""
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    parts = int(spark.conf.get(SCAN_PARTITIONS, "0"))
+    return df.repartition(parts) if parts else df
 
 
 def _mod(c: str, m: int) -> Column:
@@ -87,10 +83,13 @@ def signals(spark: SparkSession, sf_dir: str, wide: bool = False) -> DataFrame:
 
 
 def _embedding_width(emb: DataFrame) -> int:
-    # The parquet schema does not carry the fixed length; read it from one row
-    # (a single-row probe, independent of table size).
-    row = emb.select(F.size("embedding").alias("n")).where("n >= 0").limit(1).collect()
-    return int(row[0]["n"]) if row else 0
+    # The parquet schema does not carry the fixed length; one aggregate over the
+    # whole table finds it and refuses ragged rows.
+    n = F.size("embedding")
+    row = emb.where(F.col("embedding").isNotNull()).agg(F.min(n).alias("low"), F.max(n).alias("high")).first()
+    if row["low"] != row["high"]:
+        raise ValueError(f"embeddings of {row['low']} to {row['high']} elements")
+    return int(row["high"] or 0)
 
 
 def market_signals(spark: SparkSession, sf_dir: str) -> DataFrame:

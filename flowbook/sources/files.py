@@ -40,7 +40,7 @@ def parquet_load(spark: SparkSession, train_path: str, valid_path: str,
     if columns is not None:
         cols = list(columns)
         train = train.select(*cols)
-        valid = valid.select(*[c for c in cols if c in valid.columns])
+        valid = valid.select(*cols)
     return MarketTables(train, valid)
 
 
@@ -65,7 +65,7 @@ def stamped_name(r: float | None, prefix: str = "pred_piereson_cor", suffix: str
     return f"{prefix}{(r if r is not None else float('nan')):0.6f}{suffix}"
 
 
-def write_stamped(df: DataFrame, previous: DataFrame, out_dir: str, single_file: bool = True) -> str:
+def write_stamped(df: DataFrame, previous: DataFrame, out_dir: str, single_file: bool = False) -> str:
     """Correlate new predictions with the template's (joined on ID), name
     the output by that correlation and write it."""
     j = df.select("ID", F.col("prediction").alias("_new")).join(
