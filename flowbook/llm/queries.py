@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flowbook.llm import decontaminate, line_dedup, packing, quality_classifier, quality_rules, secret_scan, sharding, simhash, toxicity, warc
+from flowbook.llm import decontaminate, line_dedup, packing, quality_classifier, quality_rules, quality_rules_sql, secret_scan, sharding, simhash, toxicity, warc
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_divergence": quality_rules.query,
@@ -22,5 +22,6 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    "op1_quality_divergence": quality_rules_sql.QUERY_SQL,
     "op2_warc_boundary_chain": warc.QUERY_SQL,
 }
