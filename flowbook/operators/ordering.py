@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import json
 import math
+from bisect import bisect_right
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -109,17 +110,27 @@ def choose_buckets(n: int, parallelism: int, rows_per_bucket: int,
     return int(max(1, by_size, by_par))
 
 
-def with_position(
+@dataclass
+class Buckets:
+    """Rows dealt by split tuples of the order key, and where each bucket begins."""
+
+    bucket: Column
+    key: Column
+    key_types: list[T.DataType]
+    offsets: list[int]
+    n: int
+
+
+def bucketed(
     df: DataFrame,
     order: list[str],
-    pos_col: str = "pos",
     rows_per_bucket: int = 1 << 20,
     oversample: int = 8,
     seed: int = 7,
     n: int | None = None,
     buckets: int | None = None,
-) -> Positioned:
-    """Attach a 0-based global position in ``order`` (ascending, NULLs first)."""
+) -> Buckets:
+    """Buckets of ``df`` by the order key: a sample and one key-only count."""
     spark = df.sparkSession
     n = df.count() if n is None else n
     if buckets is None:
@@ -128,29 +139,52 @@ def with_position(
     key_types = [df.select(kc).schema[0].dataType for kc in key_cols]
     splits = (_split_tuples(df.select(*key_cols), n, buckets, oversample, seed) if buckets > 1 else [])
     bcol = "_bucket"
-
-    def bucket_of() -> Column:
-        key = F.struct(*[_orderable(df, c).alias(f"k{i}") for i, c in enumerate(order)])
-        return _bucket_expr(key_types, key, splits)
+    key = F.struct(*key_cols)
+    bucket = _bucket_expr(key_types, key, splits)
 
     # per-bucket counts: a key-only scan with map-side partial counts; at most
     # B rows reach the driver, where the prefix sums are formed
     counts = {int(r[0]): int(r[1]) for r in
-              df.select(bucket_of().alias(bcol)).groupBy(bcol).count().collect()}
+              df.select(bucket.alias(bcol)).groupBy(bcol).count().collect()}
     offsets, run = [], 0
     for b in range(len(splits) + 1):
         offsets.append(run)
         run += counts.get(b, 0)
-    off_col = F.from_json(F.lit(json.dumps(offsets)), T.ArrayType(T.LongType(), False))
+    return Buckets(bucket, key, key_types, offsets, n)
+
+
+def with_position(df: DataFrame, order: list[str], pos_col: str = "pos", **kw) -> Positioned:
+    """Attach a 0-based global position in ``order`` (ascending, NULLs first)."""
+    b, bcol = bucketed(df, order, **kw), "_bucket"
+    off_col = F.from_json(F.lit(json.dumps(b.offsets)), T.ArrayType(T.LongType(), False))
     w = Window.partitionBy(bcol).orderBy(*[F.col(c).asc_nulls_first() for c in order])
     out = (
-        df.withColumn(bcol, bucket_of())
-        .repartition(len(splits) + 1, bcol)  # as many tasks as buckets
+        df.withColumn(bcol, b.bucket)
+        .repartition(len(b.offsets), bcol)  # as many tasks as buckets
         .withColumn(pos_col, (F.element_at(off_col, F.col(bcol) + F.lit(1))
                               + F.row_number().over(w) - F.lit(1)).cast("long"))
         .drop(bcol)
     )
-    return Positioned(out, n, len(splits) + 1)
+    return Positioned(out, b.n, len(b.offsets))
+
+
+def parts_by_rank(df: DataFrame, order: list[str], ranks_of, **kw) -> tuple[Column, int]:
+    """The part (0-based) of each row when ``df`` is cut in ``order`` at the
+    ranks ``ranks_of(n)``, and n.  No row is shuffled: the buckets' counts tell
+    which bucket holds a rank, that bucket's keys alone are numbered, and the
+    part is the number of boundary keys up to the row's.  The order must be
+    total (end it with a unique column)."""
+    b = bucketed(df, order, **kw)
+    ranks = [r for r in ranks_of(b.n) if 0 < r < b.n]
+    if not ranks:
+        return F.lit(sum(1 for r in ranks_of(b.n) if r <= 0)), b.n
+    want = {(bisect_right(b.offsets, r) - 1, r) for r in ranks}
+    at = [F.struct(F.lit(i).alias("b"), F.lit(r - b.offsets[i] + 1).alias("rn")) for i, r in sorted(want)]
+    keys = df.select(b.bucket.alias("b"), b.key.alias("key")).where(F.col("b").isin([i for i, _ in want]))
+    numbered = keys.withColumn("rn", F.row_number().over(Window.partitionBy("b").orderBy("key")))
+    found = numbered.where(F.struct("b", "rn").isin(at)).orderBy("key").collect()
+    low = sum(1 for r in ranks_of(b.n) if r <= 0)
+    return _bucket_expr(b.key_types, b.key, [tuple(r["key"]) for r in found]) + low, b.n
 
 
 def global_position(df: DataFrame, order: list[str], pos_col: str = "pos", **kw) -> DataFrame:
@@ -164,13 +198,11 @@ def sort_by_time(df: DataFrame, ts: str = "ts", tiebreak: str = "row_id") -> Dat
 
 
 def chrono_split(df: DataFrame, frac: float = 0.8, order: list[str] | None = None,
-                 pos_col: str = "pos", **kw) -> tuple[DataFrame, DataFrame, int]:
-    """O3: first ``int(frac*n)`` rows (in ``order``) vs the rest, no shuffle of rows
-    between the two sides.  Returns (train, validation, split_index)."""
-    p = with_position(df, order or ["ts", "row_id"], pos_col, **kw)
-    cut = int(p.n * frac)
-    pos = F.col(pos_col)
-    return p.df.where(pos < cut), p.df.where(pos >= cut), cut
+                 **kw) -> tuple[DataFrame, DataFrame, int]:
+    """O3: first ``int(frac*n)`` rows (in ``order``) vs the rest, as two filters on
+    the order key (no shuffle of rows).  Returns (train, validation, split_index)."""
+    part, n = parts_by_rank(df, order or ["ts", "row_id"], lambda n: [int(n * frac)], **kw)
+    return df.where(part == 0), df.where(part == 1), int(n * frac)
 
 
 def hash_order_key(id_col: str, seed: int) -> Column:
@@ -183,9 +215,8 @@ def random_split(df: DataFrame, test_size: float = 0.3, seed: int = 42, id_col:
     """Exact-size shuffled split: ``ceil(test_size*n)`` rows get
     ``split='test'``, the rest ``'train'``; membership by md5 rank."""
     keyed = df.withColumn("_h", hash_order_key(id_col, seed))
-    p = with_position(keyed, ["_h", id_col], "_pos", **kw)
-    n_test = math.ceil(test_size * p.n)
-    return p.df.withColumn(split_col, F.when(F.col("_pos") < n_test, F.lit("test")).otherwise(F.lit("train"))).drop("_h", "_pos")
+    part, _ = parts_by_rank(keyed, ["_h", id_col], lambda n: [math.ceil(test_size * n)], **kw)
+    return keyed.withColumn(split_col, F.when(part == 0, "test").otherwise("train")).drop("_h")
 
 
 def fold_of(pos: Column, n: int, k: int) -> Column:
@@ -210,8 +241,14 @@ def fold_bounds(n: int, k: int) -> list[tuple[int, int]]:
 
 
 def contiguous_kfold(df: DataFrame, k: int = 5, order: list[str] | None = None, fold_col: str = "fold",
-                     pos_col: str = "pos", **kw) -> Positioned:
-    """Fold column from the global position; keeps ``pos``."""
+                     pos_col: str | None = "pos", **kw) -> Positioned:
+    """Contiguous folds in ``order``.  With ``pos_col`` the position is kept
+    too (one shuffle); without, folds are cut by boundary keys and no row moves."""
+    if pos_col is None:
+        part, n = parts_by_rank(df, order or ["ts", "row_id"], lambda n: [a for a, _ in fold_bounds(n, k)][1:], **kw)
+        if n < k:
+            raise ValueError(f"cannot split {n} rows into {k} folds")
+        return Positioned(df.withColumn(fold_col, part.cast("int")), n, 0)
     p = with_position(df, order or ["ts", "row_id"], pos_col, **kw)
     if p.n < k:
         raise ValueError(f"cannot split {p.n} rows into {k} folds")
@@ -222,8 +259,7 @@ def shuffled_kfold(df: DataFrame, k: int = 5, seed: int = 37, id_col: str = "row
                    fold_col: str = "fold", **kw) -> DataFrame:
     """Folds over an md5-shuffled order."""
     keyed = df.withColumn("_h", hash_order_key(id_col, seed))
-    p = contiguous_kfold(keyed, k, ["_h", id_col], fold_col, "_pos", **kw)
-    return p.df.drop("_h", "_pos")
+    return contiguous_kfold(keyed, k, ["_h", id_col], fold_col, None, **kw).df.drop("_h")
 
 
 def fold_filter(df: DataFrame, k: int, fold_col: str = "fold") -> DataFrame:

@@ -260,7 +260,7 @@ def q_random_split(spark, sf):
 
 @register("contiguous_kfold")
 def q_contiguous_kfold(spark, sf):
-    return O.contiguous_kfold(V.market_events(spark, sf).select("row_id", "ts"), 5, ORDER).df.select("row_id", "fold")
+    return O.contiguous_kfold(V.market_events(spark, sf).select("row_id", "ts"), 5, ORDER, pos_col=None).df.select("row_id", "fold")
 
 
 @register("shuffled_kfold")
@@ -270,7 +270,7 @@ def q_shuffled_kfold(spark, sf):
 
 @register("fold_filter")
 def q_fold_filter(spark, sf):
-    folds = O.contiguous_kfold(V.market_events(spark, sf), 5, ORDER).df
+    folds = O.contiguous_kfold(V.market_events(spark, sf), 5, ORDER, pos_col=None).df
     return _r6_all(O.fold_filter(folds, 4), ["label"])
 
 
@@ -392,7 +392,7 @@ def q_global_position_null_keys(spark, sf):
 
 @register("metrics_by_fold")
 def q_metrics_by_fold(spark, sf):
-    folds = O.contiguous_kfold(_predicted(spark, sf), 5, ORDER).df
+    folds = O.contiguous_kfold(_predicted(spark, sf), 5, ORDER, pos_col=None).df
     ev = M.evaluation(folds, "label", "prediction", by=["fold"])
     return ev.select("fold", *[r6(c).alias(c) for c in METRIC_COLS], "n")
 

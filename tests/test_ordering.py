@@ -46,9 +46,20 @@ def test_contiguous_folds_sizes(spark, n):
     assert folds == sorted(folds)
 
 
+@pytest.mark.parametrize("k", [1, 2, 5, 7])
+def test_folds_by_boundary_keys_move_no_row(spark, k):
+    df = spark.range(1000).selectExpr("id AS row_id", "CAST(id * 7919 % 503 AS DOUBLE) AS ts")
+    cut = O.contiguous_kfold(df, k, ["ts", "row_id"], pos_col=None, buckets=13).df
+    assert "Exchange" not in cut._jdf.queryExecution().executedPlan().toString()
+    by_position = O.contiguous_kfold(df, k, ["ts", "row_id"]).df
+    assert {r.row_id: r.fold for r in cut.collect()} == {r.row_id: r.fold for r in by_position.collect()}
+
+
 def test_too_few_rows_for_folds(spark):
     with pytest.raises(ValueError):
         O.contiguous_kfold(_ordered(spark, 3), 5, ["ts", "row_id"])
+    with pytest.raises(ValueError):
+        O.contiguous_kfold(_ordered(spark, 3), 5, ["ts", "row_id"], pos_col=None)
 
 
 def test_random_split_exact_size(spark):
