@@ -375,6 +375,18 @@ SELECT feature, {sig('r * r / (1.0 - r * r) * (n - 2)', 6)} AS f_score FROM r
 WHERE isfinite(r * r / (1.0 - r * r))
 ORDER BY r * r / (1.0 - r * r) * (n - 2) DESC, feature LIMIT 20"""
 
+SQL["parquet_load"] = """
+SELECT side, l_returnflag, count(*) AS n, sum(l_quantity) AS quantity
+FROM lineitem, (VALUES ('train'), ('valid')) AS s(side) GROUP BY side, l_returnflag"""
+SQL["csv_round_trip"] = 'SELECT event_id + 1 AS "ID", value AS prediction FROM events'
+SQL["stamped_csv"] = f"""{_PRED},
+old AS (SELECT event_id AS row_id, value AS old FROM events),
+r AS (SELECT covar_pop(old, prediction) / (stddev_pop(old) * stddev_pop(prediction)) AS r FROM pr JOIN old USING (row_id))
+SELECT row_id + 1 AS "ID", {O.r6('prediction')} AS prediction, 'pred_piereson_cor' || printf('%.6f', r) || '.csv' AS file FROM pr, r"""
+SQL["model_round_trip"] = f"""{ME},
+w AS (SELECT regr_slope(label, buy_qty) AS slope, regr_intercept(label, buy_qty) AS start FROM market_events)
+SELECT row_id, {O.r6('start + slope * buy_qty')} AS fitted FROM market_events, w"""
+SQL["sort_by_time_order"] = f"{ME}\nSELECT count(*) AS n, true AS in_order FROM market_events"
 SQL["ridge_head"] = f"""{ME},
 s AS (SELECT covar_pop(buy_qty, label) * count(*) AS sxy, var_pop(buy_qty) * count(*) AS sxx,
              avg(buy_qty) AS mx, avg(label) AS my FROM market_events),

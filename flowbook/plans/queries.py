@@ -11,12 +11,19 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.ml import Pipeline
+from pyspark.ml.regression import LinearRegression
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from flowbook.functions.numeric import r6, r6_sql, round_columns
 from flowbook.operators.features_a import FEATURES_A, FEATURES_A_PLUS, add_features_a
 from flowbook.operators.features_b import FEATURES_B, add_features_b
+from flowbook.operators.models import assembler
+from flowbook.operators.scoring import score
+from flowbook.session import scratch_path
 from flowbook.sources import adapters as V
+from flowbook.sources import files as FS
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -417,6 +424,52 @@ def q_attach_predictions(spark, sf):
     return out.select("ID", r6("prediction").alias("prediction"), r6("template_prediction").alias("template_prediction"))
 
 
+# ------------------------------------------------------------------ sources and sinks
+@register("parquet_load")
+def q_parquet_load(spark, sf):
+    """Two Parquet tables with the named columns alone."""
+    path = f"{sf.rstrip('/')}/lineitem.parquet"
+    tables = FS.parquet_load(spark, path, path, ["l_returnflag", "l_quantity"])
+    both = tables.train.withColumn("side", F.lit("train")).unionByName(tables.valid.withColumn("side", F.lit("valid")))
+    return both.groupBy("side", "l_returnflag").agg(F.count(F.lit(1)).alias("n"), F.sum("l_quantity").alias("quantity"))
+
+
+@register("csv_round_trip")
+def q_csv_round_trip(spark, sf):
+    """Predictions written as CSV and read back as a template."""
+    path = FS.write_predictions(_template(spark, sf), scratch_path(spark, "predictions"))
+    return FS.read_template(spark, path)
+
+
+@register("stamped_csv")
+def q_stamped_csv(spark, sf):
+    """The file named by its correlation with the template, read back."""
+    scored = attach_predictions(_predicted(spark, sf), _template(spark, sf), ORDER).select("ID", "prediction")
+    path = FS.write_stamped(scored, _template(spark, sf), scratch_path(spark, "stamped"))
+    return FS.read_template(spark, path).select("ID", r6("prediction").alias("prediction"), F.lit(path.rsplit("/", 1)[-1]).alias("file"))
+
+
+@register("model_round_trip")
+def q_model_round_trip(spark, sf):
+    """A least-squares pipeline saved, loaded and used for scoring."""
+    df = V.market_events(spark, sf).select("row_id", "buy_qty", "label")
+    fitted = Pipeline(stages=[assembler(["buy_qty"]), LinearRegression(labelCol="label", solver="normal")]).fit(df)
+    loaded = FS.load_pipeline(FS.save_model(fitted, scratch_path(spark, "pipeline")))
+    return score(loaded, df, "fitted").select("row_id", r6("fitted").alias("fitted"))
+
+
+@register("sort_by_time_order")
+def q_sort_by_time_order(spark, sf):
+    """O1: whether the sorted frame's rows ascend within and across its partitions."""
+    rows = O.sort_by_time(V.market_events(spark, sf).select("row_id", "ts"))
+    rows = rows.select(F.struct("ts", "row_id").alias("key"), F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at"))
+    before = F.lag("key").over(Window.partitionBy("part").orderBy("at"))
+    parts = rows.withColumn("ok", F.coalesce(before < F.col("key"), F.lit(True))).groupBy("part").agg(
+        F.count(F.lit(1)).alias("n"), F.min("key").alias("low"), F.max("key").alias("high"), F.every("ok").alias("ok"))
+    follows = F.coalesce(F.lag("high").over(Window.orderBy("part")) < F.col("low"), F.lit(True))  # a row per partition
+    return parts.withColumn("ok", F.col("ok") & follows).agg(F.sum("n").alias("n"), F.every("ok").alias("in_order"))
+
+
 @register("prediction_correlation")
 def q_prediction_correlation(spark, sf):
     cur = attach_predictions(_predicted(spark, sf), _template(spark, sf), ORDER)
