@@ -67,12 +67,24 @@ def test_set_a_matches_numpy(spark):
         np.testing.assert_allclose(got[k].to_numpy(), v, rtol=1e-12, atol=1e-12)
 
 
-def test_inputs_sanitised_other_columns_untouched(spark):
-    df = spark.createDataFrame([(float("inf"), 1.0, 1.0, 1.0, 1.0, float("nan"))],
-                               ",".join(f"{c} double" for c in MARKET) + ", other double")
+def test_all_columns_but_the_label_are_sanitised(spark):
+    df = spark.createDataFrame([(float("inf"), 1.0, 1.0, 1.0, 1.0, float("nan"), float("inf"), "a")],
+                               ",".join(f"{c} double" for c in MARKET) + ", other double, label double, name string")
     r = add_features_a(df).first()
-    assert r["bid_qty"] == 0.0
-    assert math.isnan(r["other"])
+    assert r["bid_qty"] == 0.0 and r["other"] == 0.0
+    assert math.isinf(r["label"]) and r["name"] == "a"
+
+
+def test_policy_p2_test_side(spark):
+    from flowbook.plans.policies import policy_p2, policy_p2_test
+    kinds = ",".join(f"{c} double" for c in MARKET) + ", X293 double, spare double, label double"
+    train = spark.createDataFrame([(1.0, 2.0, 3.0, 4.0, 5.0, 1.0, float("inf"), 0.5), (None, 2.0, 3.0, 4.0, 5.0, 1.0, 1.0, 0.5)], kinds)
+    test = spark.createDataFrame([(None, 2.0, float("nan"), 4.0, 5.0, float("inf"), 1.0, None)] * 2, kinds)
+    cleaned = policy_p2(train)
+    out = policy_p2_test(test, cleaned)
+    assert out.columns == [c for c in cleaned.columns if c != "label"] and "spare" not in out.columns
+    assert cleaned.count() == 1 and out.count() == 2
+    assert all(math.isfinite(v) for r in out.collect() for v in r)
 
 
 def test_streaming_parity(spark, tmp_path):
