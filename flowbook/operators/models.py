@@ -12,7 +12,6 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
@@ -20,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowbook.operators.ordering import fold_bounds
+from flowbook.session import stored
 from flowbook.operators.weights import decay_weight_expr, downweight_outliers, train_positions
 
 
@@ -150,33 +150,35 @@ def fold_training(
     """L7 + P2: per fold, train on the other folds with time-decay weights
     (positions counted inside the training rows) optionally down-weighted by
     forest residuals, fit, and score the held-out fold.  ``base`` carries
-    ``pos`` and ``fold`` (see ``ordering.contiguous_kfold``)."""
+    ``pos`` and ``fold`` (see ``ordering.contiguous_kfold``).  The base rows,
+    each fold's residuals and its predictions are stored tables: the passes of
+    a fit read rows, not the window and the forest that made them.  Rows are
+    dealt by key first, so that samples do not follow the file layout."""
     keys = keys or ["row_id"]
-    data = assemble(base, features).persist(StorageLevel.MEMORY_AND_DISK)
+    rows = stored(base.repartition(*keys).sortWithinPartitions(*keys), "fold-rows")
+    data = assemble(rows, features)
     bounds = fold_bounds(n, k)
     res = FoldResult()
     preds = []
-    try:
-        for f in folds if folds is not None else range(k):
-            start, end = bounds[f]
-            n_tr = n - (end - start)
-            train = data.where(F.col(fold) != f)
-            if decay is not None:
-                train = train.withColumn("weight", decay_weight_expr(train_positions(F.col(pos), start, end), n_tr, decay))
-            else:
-                train = train.withColumn("weight", F.lit(1.0))
-            if outlier_fraction is not None and make_forest is not None:
-                forest = make_forest().fit(train)
-                scored = forest.transform(train).withColumn("_res", F.abs(F.col(label) - F.col("prediction")))
-                train = downweight_outliers(scored.drop("prediction"), "_res", "weight", outlier_fraction, n=n_tr).drop("_res")
-            model = make_estimator().fit(train)
-            res.models.append(model)
-            val = data.where(F.col(fold) == f)
-            preds.append(model.transform(val).select(*keys, F.lit(f).alias(fold), label, "prediction"))
-        out = preds[0]
-        for p in preds[1:]:
-            out = out.unionByName(p)
-        res.oof = out
-    finally:
-        data.unpersist()
+    for f in folds if folds is not None else range(k):
+        start, end = bounds[f]
+        n_tr = n - (end - start)
+        train = data.where(F.col(fold) != f)
+        if decay is not None:
+            train = train.withColumn("weight", decay_weight_expr(train_positions(F.col(pos), start, end), n_tr, decay))
+        else:
+            train = train.withColumn("weight", F.lit(1.0))
+        if outlier_fraction is not None and make_forest is not None:
+            forest = make_forest().fit(train)
+            scored = forest.transform(train).withColumn("_res", F.abs(F.col(label) - F.col("prediction")))
+            scored = stored(scored.drop("prediction", "features"), "fold-residuals")
+            train = assemble(downweight_outliers(scored, "_res", "weight", outlier_fraction, n=n_tr).drop("_res"), features)
+        model = make_estimator().fit(train)
+        res.models.append(model)
+        val = data.where(F.col(fold) == f)
+        preds.append(stored(model.transform(val).select(*keys, F.lit(f).alias(fold), label, "prediction"), "fold-predictions"))
+    out = preds[0]
+    for p in preds[1:]:
+        out = out.unionByName(p)
+    res.oof = out
     return res

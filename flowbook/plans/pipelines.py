@@ -67,6 +67,32 @@ def oof_training(df: DataFrame, features: list[str], label: str = "label", k: in
     return OOFResult(res.oof, res.models, p.n)
 
 
+@dataclass
+class BoostedTreeRun:
+    selected: list[str]
+    oof: DataFrame              # out-of-fold predictions on the first 80 %
+    report: DataFrame           # metrics by part: out_of_fold, last_fold, hold_out
+    hold_out: DataFrame         # fold-ensemble predictions on the last 20 %
+    test: DataFrame | None      # fold-ensemble predictions on the unlabelled table
+
+
+def selection_and_oof(df: DataFrame, features: list[str], label: str = "label", test: DataFrame | None = None,
+                      order: list[str] | None = None, top: int = 80, selection_iter: int = 100,
+                      k: int = 5, **training) -> BoostedTreeRun:
+    """E2 as one flow: chronological 80/20 split, selection on the 80 %, weighted
+    folds on the selected columns, then the fold ensemble on the hold-out and on
+    ``test``.  ``report`` scores the out-of-fold rows, the last fold alone and
+    the hold-out that no model has seen."""
+    train, held, _ = O.chrono_split(df, 0.8, order or ["ts", "row_id"])
+    selected = shap_selection(train, features, label, k=top, max_iter=selection_iter).selected
+    run = oof_training(train, selected, label, k=k, order=order, **training)
+    hold = ensemble_scores(run.models, held, selected)
+    parts = {"out_of_fold": run.oof, "last_fold": run.oof.where(F.col("fold") == k - 1), "hold_out": hold}
+    rows = [p.select(F.lit(name).alias("part"), label, "prediction") for name, p in parts.items()]
+    report = M.evaluation(rows[0].unionByName(rows[1]).unionByName(rows[2]), label, "prediction", by=["part"])
+    return BoostedTreeRun(selected, run.oof, report, hold, None if test is None else ensemble_scores(run.models, test, selected))
+
+
 def ensemble_scores(models: list, df: DataFrame, features: list[str]) -> DataFrame:
     """Mean prediction of the fold models on ``df``."""
     return ensemble_mean(models, assemble(df, features)).drop("features")
