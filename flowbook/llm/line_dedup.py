@@ -302,7 +302,8 @@ def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, counts: bool = F
     cuts = keep(deleted_lines(docs, min_words), "lines-deleted").select(F.col("doc_id").alias(P + "id"), F.col("md5").alias(P + "md5"), F.col("ranges").alias(P + "ranges"))
     names = docs.columns
     tagged = docs.withColumn(P + "key", text_md5())
-    joined = tagged.join(cuts, tagged["doc_id"].cast("long").eqNullSafe(F.col(P + "id")) & (F.col(P + "key") == F.col(P + "md5")), "left")
+    # The cuts grow with the corpus: joined by sorting at every size.
+    joined = tagged.join(cuts.hint("merge"), tagged["doc_id"].cast("long").eqNullSafe(F.col(P + "id")) & (F.col(P + "key") == F.col(P + "md5")), "left")
 
     def stays(line: Column, i: Column) -> Column:
         return ~F.exists(P + "ranges", lambda r: (i >= r["from"]) & (i < r["to"]))
