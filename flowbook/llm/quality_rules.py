@@ -85,10 +85,13 @@ def references(rows: DataFrame) -> dict[str, tuple[list[float], list[float]]]:
     """By language, the shares of character classes and of common words over
     all documents of 20 words or more, from rows of ``histograms`` with lang:
     at most four times 50 sums reach the driver."""
-    used = rows.where(F.col(P + "lang").isin(list(COMMON)) & (_col("n") >= 20))
-    cells = used.select(P + "lang", F.posexplode(F.concat(_col("classes"), _col("bins"))).alias("cell", "count"))
+    # An outer explode, and the length in the sum: no filter is derived that
+    # would be pushed below the histograms and repeat them.
+    used = rows.where(F.col(P + "lang").isin(list(COMMON)))
+    cells = used.select(P + "lang", P + "n", F.posexplode_outer(F.concat(_col("classes"), _col("bins"))).alias("cell", "count"))
+    counted = F.sum(F.when(_col("n") >= 20, F.col("count"))).alias("sum")
     width, out = len(CLASSES) + 2, {}
-    for row in cells.groupBy(P + "lang", "cell").agg(F.sum("count").alias("sum")).collect():
+    for row in cells.groupBy(P + "lang", "cell").agg(counted).where("sum is not null").collect():
         out.setdefault(row[0], {})[row[1]] = row[2]
     for lang, sums in out.items():
         counts = [sums[i] for i in range(len(sums))]
