@@ -1,20 +1,24 @@
-"""Benchmark decontamination: rare n-gram seeds, then local alignment.
-
-The items' word n-grams are counted over all documents in one pass (each task
-sends at most one number per n-gram).  An item's seeds are its n-grams that are
-not far commoner than its median one: measured within the item, so that an item
-whose passage a third of the corpus repeats keeps its seeds as well, and edited
-copies beside it are still met.  In a second pass every document is
-searched for seeds; where they fall, the passage that the item could cover is
-aligned with it by Smith-Waterman over words (match 2, mismatch and gap -1).
-An item is found if the alignment reaches ``SIMILARITY`` of its full score.
+"""Benchmark decontamination: rare word seeds, then local alignment.
+
+The items' words are counted over all documents in one pass (each task sends at
+most one number per word).  An item's seeds are its rarest words, as many as
+cover ``COVER`` of its length and always more than half of it, so hot ones too
+where the rare ones do not reach that far.  An alignment (match 2, mismatch and
+gap -1) that reaches ``SIMILARITY`` of the item's full score matches at least
+that share of its words and spans at most twice its length: it cannot miss more
+seeds than the item has words outside it, so ``need`` of the seeds stand within
+``span`` words of the document.  Longer n-grams give no such bound: a copy with
+a word put in after each word reaches 0.5 without a common 2-gram.  In a second
+pass every passage with so many seeds is aligned with the item by
+Smith-Waterman over words; what the search finds is what the alignment of all
+documents with all items would find, whatever the other documents hold.
 
 The benchmark is the query set: it is read in blocks of ``BLOCK_ITEMS`` items,
 whose words (a bounded number) are broadcast.  Documents are never shuffled,
 and a document's work is done where it is read.
 
-Defined results: null texts are empty; an item without words is never found,
-one of fewer than ``N`` words is one n-gram; equal items are each found;
+Defined results: null texts are empty; an item without words is never found;
+equal items are each found; ``seeds`` counts the seeds in the aligned stretch;
 repeated documents each get their rows; null ids are kept.  An empty benchmark
 finds nothing, an empty table gives no rows.  Other columns are kept by
 ``remove`` and not returned by ``find``.
@@ -22,9 +26,11 @@ finds nothing, an empty table gives no rows.  Other columns are kept by
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -36,12 +42,10 @@ from flowbook.llm.common import ship, table
 
 ship(__name__)
 
-N = 3
-COMMON = 4
 SIMILARITY = 0.5
+COVER = 0.7
 BLOCK_ITEMS = 5000
 MATCH, MISMATCH, GAP = 2, -1, -1
-Gram = tuple[str, ...]
 
 
 def words_of(text: str | None) -> list[str]:
@@ -49,80 +53,60 @@ def words_of(text: str | None) -> list[str]:
     return re.findall(r"[^\W_]+", (text or "").lower())
 
 
-def grams(words: list[str], n: int) -> Iterator[Gram]:
-    return zip(*(words[i:] for i in range(n)))
+Item = tuple[int | None, list[str]]
 
 
 class Index:
-    """Items and where their n-grams stand in them."""
-
-    def __init__(self, items: list[tuple[int | None, list[str]]], places: dict[Gram, list[tuple[int, int]]]):
-        self.items, self.places = items, places
-        self.sizes = sorted({len(g) for g in places})
+    """Items and the words that are their seeds."""
 
-    @classmethod
-    def of(cls, rows: list[tuple[int | None, str | None]]) -> Index:
-        items = [(i, w) for i, t in rows if (w := words_of(t))]
-        places: dict[Gram, list[tuple[int, int]]] = defaultdict(list)
+    def __init__(self, items: list[Item], counts: dict[str, int]):
+        self.items, places = items, defaultdict(list)
+        self.need, self.span = np.zeros(len(items), np.int64), np.zeros(len(items), np.int64)
         for number, (_, words) in enumerate(items):
-            for at, g in enumerate(grams(words, min(N, len(words)))):
-                places[g].append((number, at))
-        return cls(items, dict(places))
-
-    def data(self) -> tuple:
-        """What a broadcast holds: plain values only."""
-        return self.items, self.places
-
-    def count(self, words: list[str]) -> set[Gram]:
-        """The items' n-grams that a document has."""
-        return {g for n in self.sizes for g in filter(self.places.__contains__, grams(words, n))}
-
-    def thinned(self, documents: dict[Gram, int]) -> Index:
-        """With each item's rare n-grams alone: those in at most ``COMMON``
-        times as many documents as the median of its n-grams that occur."""
-        own: dict[int, set[Gram]] = defaultdict(set)
-        for g, places in self.places.items():
-            for number, _ in places:
-                if g in documents:
-                    own[number].add(g)
-        keep = set()
-        for number, all_ in own.items():
-            most = COMMON * sorted(documents[g] for g in all_)[(len(all_) - 1) // 2]
-            keep |= {(number, g) for g in all_ if documents[g] <= most}
-        places = {g: [p for p in ps if (p[0], g) in keep] for g, ps in self.places.items()}
-        return Index(self.items, {g: p for g, p in places.items() if p})
+            held, covered = Counter(words), 0
+            matched = math.ceil(SIMILARITY * len(words))  # by any alignment that counts
+            least = max(len(words) - matched + 1, COVER * len(words))
+            for w in sorted(held, key=lambda w: (counts.get(w, 0), w)):
+                if covered >= least:
+                    break
+                covered += held[w]
+                places[w].append(number)
+            self.need[number] = matched - (len(words) - covered)
+            self.span[number] = math.floor((3 - 2 * SIMILARITY) * len(words))
+        self.code = {w: i for i, w in enumerate(places)}
+        self.size = np.array([len(p) for p in places.values()], np.int64)
+        self.start = np.cumsum(self.size) - self.size
+        self.places = np.array([n for p in places.values() for n in p], np.int32)
 
     def search(self, words: list[str]) -> list[tuple[int | None, float, int, int, int]]:
         """item_id, similarity, first and last word (exclusive), seeds: the best
         passage for each item that the document holds."""
-        begins: dict[int, list[int]] = defaultdict(list)
-        for n in self.sizes:
-            if self.places.keys().isdisjoint(grams(words, n)):
-                continue
-            for at, g in enumerate(grams(words, n)):
-                if g in self.places:
-                    for number, inside in self.places[g]:
-                        begins[number].append(at - inside)
-        found = []
-        for number, starts in begins.items():
-            item_id, item = self.items[number]
-            slack = len(item) // 2 + 2
-            starts.sort()
-            passages: list[list[int]] = []  # first, last start, seeds
-            for s in starts:
-                if passages and s - passages[-1][1] <= slack:
-                    passages[-1][1:] = [s, passages[-1][2] + 1]
-                else:
-                    passages.append([s, s, 1])
-            best = None
-            for first, last, seeds in passages:
-                a, b = max(0, first - slack), min(len(words), last + len(item) + slack)
-                hit = align(item, words[a:b])
-                if hit and (best is None or hit[0] > best[1]):
-                    best = (item_id, hit[0], a + hit[1], a + hit[2], seeds)
-            if best:
-                found.append(best)
-        return found
+        codes = np.fromiter(map(self.code.get, words, repeat(-1)), np.int64, len(words))
+        at = np.flatnonzero(codes >= 0)
+        if not len(at):
+            return []
+        codes = codes[at]
+        size = self.size[codes]
+        item = self.places[np.arange(size.sum()) + np.repeat(self.start[codes] - (np.cumsum(size) - size), size)]
+        order = np.argsort(item, kind="stable")
+        item, at = item[order], np.repeat(at, size)[order]
+        last = np.arange(len(item)) + self.need[item] - 1  # the seed that makes them enough
+        first = np.flatnonzero(last < len(item))
+        last = last[first]
+        first = first[(item[last] == item[first]) & (at[last] - at[first] < self.span[item[first]])]
+        if not len(first):
+            return []
+        item, last = item[first], first + self.need[item[first]] - 1
+        begin, end = np.maximum(at[last] - self.span[item] + 1, 0), np.minimum(at[first] + self.span[item], len(words))
+        fresh = np.flatnonzero(np.r_[True, (item[1:] != item[:-1]) | (begin[1:] > end[:-1])])
+        final = np.r_[fresh[1:], len(item)] - 1
+        best: dict[int, tuple] = {}
+        for n, a, b, seeds in zip(item[fresh].tolist(), begin[fresh].tolist(), end[final].tolist(), (last[final] - first[fresh] + 1).tolist()):
+            item_id, own = self.items[n]
+            hit = align(own, words[a:b])
+            if hit and (n not in best or hit[0] > best[n][1]):
+                best[n] = (item_id, hit[0], a + hit[1], a + hit[2], seeds)
+        return list(best.values())
 
 
 def _table(item: list[int], passage: np.ndarray) -> tuple[int, int, int]:
@@ -156,34 +140,34 @@ def align(item: list[str], passage: list[str]) -> tuple[float, int, int] | None:
     return score / (MATCH * len(item)), end - back, end
 
 
-def indexes(docs: DataFrame, benchmark: DataFrame) -> Iterator[Index]:
-    """The benchmark's blocks, thinned by the documents' counts."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
-    block: list = []
-    for row in items.toLocalIterator():
-        block.append((row["item_id"], row["text"]))
+def blocks(docs: DataFrame, benchmark: DataFrame) -> Iterator[tuple[list[Item], dict[str, int]]]:
+    """The benchmark's items by the block, with their words' counts over ``docs``."""
+    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
+    block: list[Item] = []
+    for row in rows.toLocalIterator():
+        if words := words_of(row["text"]):
+            block.append((row["item_id"], words))
         if len(block) == BLOCK_ITEMS:
-            yield _thinned(docs, Index.of(block))
+            yield block, _counts(docs, block)
             block = []
     if block:
-        yield _thinned(docs, Index.of(block))
+        yield block, _counts(docs, block)
 
 
-def _thinned(docs: DataFrame, index: Index) -> Index:
-    known = sorted(index.places)
-    shared = docs.sparkSession.sparkContext.broadcast((index.data(), {g: i for i, g in enumerate(known)}))
+def _counts(docs: DataFrame, items: list[Item]) -> dict[str, int]:
+    known = sorted({w for _, words in items for w in words})
+    shared = docs.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(known)})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        data, number = shared.value
-        own = Index(*data)
+        number = shared.value
         counts: Counter = Counter()
         for batch in batches:
             for text in batch["text"]:
-                counts.update(own.count(words_of(text.as_py())))
-        yield pa.RecordBatch.from_pydict({"gram": pa.array([number[g] for g in counts], pa.int32()), "n": pa.array(counts.values(), pa.int64())})
+                counts.update(filter(number.__contains__, words_of(text.as_py())))
+        yield pa.RecordBatch.from_pydict({"word": pa.array([number[w] for w in counts], pa.int32()), "n": pa.array(counts.values(), pa.int64())})
 
-    counted = docs.select("text").mapInArrow(run, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    return index.thinned({known[r["gram"]]: r["n"] for r in counted.collect()})
+    counted = docs.select("text").mapInArrow(run, "word int, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return {known[r["word"]]: r["n"] for r in counted.collect()}
 
 
 FOUND = "doc_id long, item_id long, similarity double, first_word long, end_word long, seeds long"
@@ -194,8 +178,8 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     rows, out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), spark.createDataFrame([], FOUND)
     schema = to_arrow_schema(out.schema)
-    for index in indexes(rows, benchmark):
-        shared = spark.sparkContext.broadcast(index.data())
+    for block in blocks(rows, benchmark):
+        shared = spark.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             own = Index(*shared.value)
@@ -210,8 +194,8 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def remove(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the documents that hold an item."""
-    for index in indexes(docs, benchmark):
-        shared = docs.sparkSession.sparkContext.broadcast(index.data())
+    for block in blocks(docs, benchmark):
+        shared = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             own = Index(*shared.value)

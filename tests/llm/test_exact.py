@@ -233,6 +233,27 @@ def test_op10_edited_copies(spark):
     assert all(abs(r.first_word - 80) <= 4 and abs(r.end_word - 120) <= 4 for (d, _), r in found.items() if d < 200)
 
 
+def test_op10_against_unseeded_alignment(spark):
+    """Short items, and long ones whose first half most documents hold."""
+    draw = random.Random(8)
+    vocabulary = ["".join(draw.choice("aeioubcdfgh") for _ in range(draw.randint(2, 6))) for _ in range(400)]
+    text = lambda n: [draw.choice(vocabulary) for _ in range(n)]
+    items = [text(n) for n in (1, 2, 3, 4, 5, 5, 5, 8, 8, 8, 16, 40, 40)]
+    docs = [text(60) + items[11][:21] + text(20) for _ in range(40)] + [text(30) + items[12] + text(9)]
+    for item in items:
+        for rate in (0.2, 0.3, 0.4):
+            for _ in range(6):
+                docs.append(text(20) + [w if draw.random() > rate else "zz" for w in item] + text(20))
+        docs.append(text(9) + ["zz" if i % 3 == 2 else w for i, w in enumerate(item)] + text(9))
+        docs.append(text(9) + [w for v in item for w in (v, "zz")][:-1] + text(9))
+    want = {(d, i): hit[0] for d, doc in enumerate(docs) for i, item in enumerate(items) if (hit := decontaminate.align(item, doc))}
+    frame = spark.createDataFrame([(d, " ".join(w)) for d, w in enumerate(docs)], "doc_id long, text string")
+    benchmark = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    assert {(r.doc_id, r.item_id): r.similarity for r in decontaminate.find(frame, benchmark).collect()} == want
+    left = {r.doc_id for r in decontaminate.remove(frame, benchmark).collect()}
+    assert left == set(range(len(docs))) - {d for d, _ in want}
+
+
 def test_pipeline_stages(spark, texts):
     import corpus_pipeline
 
