@@ -1,21 +1,27 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained: one on windows of ordinary text, one
-on pieces of toxic text.  A toxic document is mostly ordinary prose, so its
-pieces are the words whose beginnings are held by at least ``CONTRAST`` times
-the share of toxic documents as of ordinary ones; a dictionary of whole toxic
-documents would only hold more prose (measured: 0.63 instead of 0.94 area
-under the curve).  Every window of a text is compressed against the ordinary
+Two zstandard dictionaries are made: one trained on windows of ordinary text,
+one of the marks of toxic text.  A toxic document is mostly ordinary prose, so
+its marks are the words and beginnings of words (of any length; the words'
+documents are counted over all learning rows) that at least ``CONTRAST`` times
+the share of toxic documents as of ordinary ones hold, and that pass a
+significance test (Chernoff's bound on the binomial tail, over all tested words
+together at ``RATE``); a dictionary of whole toxic documents would only hold more prose
+(measured: 0.63 instead of 0.94 area under the curve).  The toxic dictionary is
+as long as its marks.  Marks under ``SHORT`` bytes are too short for a match to
+save anything, so words with such a mark are followed by its digest.
+Every window of a text is compressed against the ordinary
 dictionary alone and against both; the bytes that the toxic one saves are the
 window's gain.  A document's gains (largest, largest three, mean, share and
 number over ``GAIN``) make a logistic score, and an isotonic curve calibrates
 it.
 
 Learned from: rows with a label whose crc32(doc_id as text) mod 4 is not 2.
-Of these, up to ``SAMPLE`` documents of either label from remainders 0 and 1,
-by hash of the id, with up to ``SAMPLE_WINDOWS`` evenly spaced windows each,
-train the dictionaries; up to ``SAMPLE`` rows of remainder 3 fit the five
-weights; all rows of remainder 3 give the curve.  Scoring takes whole texts.
+Of these, all rows of remainders 0 and 1 give the marks; up to ``SAMPLE``
+ordinary ones, by hash of the id, with up to ``SAMPLE_WINDOWS`` evenly spaced
+windows each, train the ordinary dictionary; up to ``SAMPLE`` rows of remainder
+3 fit the weights; all rows of remainder 3 give the curve.  Scoring takes whole
+texts.
 Labels, language, source and doc_id are no inputs.
 
 Defined results: null text is an empty text; an empty text has no gain and is
@@ -27,9 +33,11 @@ returned.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -44,22 +52,32 @@ ship(__name__)
 
 WINDOW = 64
 ORDINARY_BYTES = 32768
-TOXIC_BYTES = 1024
 SAMPLE = 4000
 SAMPLE_WINDOWS = 256
 CONTRAST = 8
+RATE = 0.05
+START = 12
+SHORT = 4
+KEYS = 200_000
 GAIN = 4
 FOLDS = 4
 HELD = 2
 CUT = 0.3
 GAINS = 6
 #: Letters and bytes of letters outside ASCII.
-TOKEN = rb"[^\x00-\x40\x5b-\x60\x7b-\x7f]{4,}"
+TOKEN = rb"[^\x00-\x40\x5b-\x60\x7b-\x7f]+"
+Marks = dict[bytes, float]
 
 
-def windows(text: str | None) -> list[bytes]:
+def _words(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+
+
+def windows(text: str | None, spelled: Callable[[bytes], bytes] | None = None) -> list[bytes]:
     """The lower-cased words of a text in windows of about ``WINDOW`` bytes."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    words = _words(text)
+    if spelled:
+        words = list(map(spelled, words))
     if not words:
         return []
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
@@ -68,26 +86,82 @@ def windows(text: str | None) -> list[bytes]:
 
 
 def _starts(token: bytes) -> list[bytes]:
-    return [token[:k] for k in range(4, min(len(token), 12) + 1)]
+    """A token's beginnings, and the whole of it (with a space)."""
+    return [*(token[:k] for k in range(1, min(len(token), START) + 1)), token + b" "]
+
+
+def _digest(mark: bytes) -> bytes:
+    return blake2b(mark, digest_size=6).hexdigest().encode()
+
+
+class Speller:
+    """A word, followed by the digests of its short marks."""
+
+    def __init__(self, marks: Marks):
+        self.marks, self.token, self.known = marks, re.compile(TOKEN), {}
+        self.short = any(len(m.strip()) < SHORT for m in marks)
 
+    def __call__(self, word: bytes) -> bytes:
+        if not self.short:
+            return word
+        if (out := self.known.get(word)) is None:
+            best = [max(f, key=lambda m: (self.marks[m], m)) for t in self.token.findall(word) if (f := [m for m in _starts(t) if m in self.marks])]
+            out = b" ".join([word, *(_digest(m) for m in best if len(m.strip()) < SHORT)])
+            if len(self.known) >= KEYS:
+                self.known.clear()
+            self.known[word] = out
+        return out
 
-def toxic_pieces(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> list[bytes]:
-    """The words of toxic documents whose beginnings mark them."""
-    token = re.compile(TOKEN)
 
-    def held(docs: list[list[bytes]]) -> Counter:
-        return Counter(s for doc in docs for s in {s for w in doc for t in token.findall(w) for s in _starts(t)})
+def toxic_content(marks: Marks) -> bytes:
+    """The toxic dictionary: every mark once, the strongest at the near end."""
+    return b"".join(b" " + (_digest(m) + b" " if len(m.strip()) < SHORT else m) for m in sorted(marks, key=lambda m: (marks[m], m)))
 
-    in_toxic, in_ordinary = held(toxic), held(ordinary)
-    least, ratio = max(4, len(toxic) / 100), CONTRAST * len(toxic) / len(ordinary)
-    marks = {s: (n - in_ordinary[s]) * len(s) for s, n in in_toxic.items() if n >= least and n >= ratio * (in_ordinary[s] + 1)}
-    pieces = []
-    for doc in toxic:
-        for t in (t for w in doc for t in token.findall(w)):
-            if found := [s for s in _starts(t) if s in marks]:
-                best = max(found, key=lambda s: (marks[s], s))
-                pieces.append(b" " + best + (b" " if best == t else b""))
-    return pieces
+
+def toxic_marks(rows: DataFrame) -> Marks:
+    """Marks and the strength of their evidence (-log of the bound on the tail),
+    from all ``rows`` (toxic, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        token, held = re.compile(TOKEN), (Counter(), Counter())
+
+        def out() -> pa.RecordBatch:
+            keys = list(held[0] | held[1])
+            made = pa.RecordBatch.from_pydict({"mark": pa.array(keys, pa.binary()), **{n: pa.array([h[k] for k in keys], pa.int64()) for n, h in zip(("ordinary", "toxic"), held)}})
+            for h in held:
+                h.clear()
+            return made
+
+        for batch in batches:
+            for text, toxic in zip(batch["text"], batch["toxic"].to_pylist()):
+                tokens = {t for w in set(_words(text.as_py())) for t in token.findall(w)}
+                held[toxic].update({s for t in tokens for s in _starts(t)})
+                if len(held[0]) + len(held[1]) >= KEYS:
+                    yield out()
+        yield out()
+
+    total = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if len(total) < 2:
+        return {}
+    share = total[True] / (total[True] + total[False])
+    counts = rows.select("toxic", "text").mapInArrow(run, "mark binary, ordinary long, toxic long").groupBy("mark").agg(F.sum("ordinary").alias("o"), F.sum("toxic").alias("t")).where("t > 0")
+    tail = F.col("t") * F.log(F.col("t") / ((F.col("t") + F.col("o")) * F.lit(share)))
+    rest = F.when(F.col("o") > 0, F.col("o") * F.log(F.col("o") / ((F.col("t") + F.col("o")) * F.lit(1 - share)))).otherwise(0.0)
+    over = F.col("t") > F.lit(share) * (F.col("t") + F.col("o"))
+    counts = keep(counts.withColumn("evidence", F.when(over, tail + rest).otherwise(0.0)), "toxicity-marks")
+    least = math.log(max(counts.count(), 1) / RATE)
+    found = {bytes(r["mark"]): (r["t"], r["o"], r["evidence"]) for r in counts.where(F.col("evidence") >= least).collect()}
+
+    def contrast(t: int, o: int) -> bool:
+        return t > 0 and t * total[False] >= CONTRAST * o * total[True]
+
+    found = {m: n for m, n in found.items() if contrast(*n[:2])}
+    # A beginning is a mark only by the documents that its commonest longer mark leaves.
+    longer: dict[bytes, tuple[int, int]] = {}
+    for mark, n in found.items():
+        for k in range(1, len(mark)):
+            longer[mark[:k]] = max(longer.get(mark[:k], (0, 0)), n[:2])
+    return {m: e for m, (t, o, e) in found.items() if contrast(t - longer.get(m, (0, 0))[0], o - longer.get(m, (0, 0))[1])}
 
 
 def train(size: int, samples: list[bytes]) -> bytes:
@@ -101,15 +175,18 @@ def train(size: int, samples: list[bytes]) -> bytes:
 class Distance:
     """Gains of the toxic dictionary on windows."""
 
-    def __init__(self, ordinary: bytes, toxic: bytes):
-        self.plain, self.both = self._made(ordinary), self._made(toxic + ordinary)
+    def __init__(self, ordinary: bytes, marks: Marks):
+        self.spelled = Speller(marks) if marks else None
+        self.plain, self.both = self._made(ordinary), self._made(toxic_content(marks) + ordinary)
 
     @staticmethod
     def _made(content: bytes) -> zstandard.ZstdCompressor:
         # Large tables and raw content: lengths then differ by what matches,
-        # not by chance collisions or entropy tables.
+        # not by chance collisions or entropy tables.  The window reaches over
+        # the whole dictionary.
+        reach = max(17, (2 * len(content)).bit_length())
         how = zstandard.ZstdCompressionParameters(
-            window_log=17, hash_log=16, chain_log=16, search_log=6, min_match=4, target_length=64,
+            window_log=reach, hash_log=reach - 1, chain_log=reach - 1, search_log=6, min_match=4, target_length=64,
             strategy=zstandard.STRATEGY_GREEDY, write_content_size=0, write_checksum=0, write_dict_id=0,
         )
         words = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
@@ -118,7 +195,7 @@ class Distance:
 
     def __call__(self, text: str | None) -> np.ndarray:
         """The numbers that describe a document's gains."""
-        parts = windows(text)
+        parts = windows(text, self.spelled)
         if not parts:
             return np.zeros(GAINS)
 
@@ -143,26 +220,24 @@ def _sampled(rows: DataFrame, n: int) -> DataFrame:
     return rows.orderBy(F.xxhash64("l_id"), "l_id").limit(n)
 
 
-def dictionaries(docs: DataFrame, known: DataFrame) -> tuple[bytes, bytes] | None:
-    """Content of the two dictionaries, from a bounded sample; ``known`` has
-    l_id, toxic (boolean) and fold."""
-    pool = known.where("fold < 2")
-    chosen = _sampled(pool.where("toxic"), SAMPLE).union(_sampled(pool.where("not toxic"), SAMPLE)).select("l_id", "toxic")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("l_id"))
+def dictionaries(docs: DataFrame, known: DataFrame) -> tuple[bytes, Marks] | None:
+    """The ordinary dictionary, from a bounded sample, and the marks of toxic
+    text, from all rows; ``known`` has l_id, toxic (boolean) and fold."""
+    pool, texts = known.where("fold < 2"), docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    chosen = _sampled(pool.where("not toxic"), SAMPLE).select("l_id")
+    rows = texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("l_id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts = [windows(t.as_py()) for t in batch["text"]]
             parts = [[p[i] for i in np.unique(np.linspace(0, len(p) - 1, SAMPLE_WINDOWS).astype(int))] if len(p) > SAMPLE_WINDOWS else p for p in parts]
-            yield pa.RecordBatch.from_pydict({"toxic": batch["toxic"], "parts": pa.array(parts, pa.list_(pa.binary()))})
+            yield pa.RecordBatch.from_pydict({"parts": pa.array(parts, pa.list_(pa.binary()))})
 
-    found = rows.select("toxic", "text").mapInArrow(run, "toxic boolean, parts array<binary>").collect()
-    toxic, ordinary = ([[bytes(p) for p in r["parts"]] for r in found if r["toxic"] == t] for t in (True, False))
-    if not toxic or not ordinary:
+    ordinary = [[bytes(p) for p in r["parts"]] for r in rows.select("text").mapInArrow(run, "parts array<binary>").collect()]
+    if not ordinary or not pool.where("toxic").limit(1).count():
         return None
-    pieces = toxic_pieces(toxic, ordinary)
-    grouped = [b"".join(pieces[i : i + 8]) for i in range(0, len(pieces), 8)]
-    return train(ORDINARY_BYTES, [p for doc in ordinary for p in doc]), train(TOXIC_BYTES, grouped)
+    learned = texts.where(remainder("doc_id", FOLDS) < HELD).join(pool, F.col("doc_id") == F.col("l_id"))
+    return train(ORDINARY_BYTES, [p for doc in ordinary for p in doc]), toxic_marks(learned.select("toxic", "text"))
 
 
 def scores(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> DataFrame:

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from flowbook.llm import decontaminate, line_dedup, packing, quality_rules, queries, secret_scan, simhash
+from flowbook.llm import decontaminate, line_dedup, packing, quality_rules, queries, secret_scan, simhash, toxicity
 
 SF = "/root/testdata/sf0.001"
 LABELLED = "/root/testdata/sf0.01"
@@ -63,6 +63,25 @@ def test_scores_on_held_out_labels(spark, name, label, least):
     assert wins > least
 
 
+def test_op7_short_and_rare_marks(spark):
+    """Words of two and three bytes, and the words of a language with under 1 % of
+    the toxic rows, mark toxic text too."""
+    draw = random.Random(7)
+    vocabulary = ["".join(draw.choice("aeioubcdfgh") for _ in range(draw.randint(2, 9))) for _ in range(2000)]
+    rows = []
+    for i in range(8000):
+        kind = draw.choice([None] * 5 + ["zq", "xvw"] + ["wretch"] * 5) if i % 120 else "żółćny"
+        text = [draw.choice(vocabulary) for _ in range(60)]
+        for at in draw.sample(range(60), 3 if kind else 0):
+            text[at] = kind
+        rows.append((i, " ".join(text), int(kind is not None), kind))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int, kind string").repartition(4).cache()
+    got = toxicity.scores(docs.select("doc_id", "text"), docs.select("doc_id", "toxic")).join(docs, "doc_id").where("held_out").collect()
+    clean = [r.score for r in got if r.kind is None]
+    for kind in ("zq", "xvw", "wretch", "żółćny"):
+        assert np.mean([r.score > s for r in got if r.kind == kind for s in clean]) > 0.95, kind
+
+
 def test_op4_sizes_and_slots(spark):
     rows = queries.REGISTRY["op4_kd_tree_sharding"](spark, LABELLED).collect()
     shards = defaultdict(list)
