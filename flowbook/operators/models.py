@@ -65,13 +65,12 @@ def selection_gbt(label: str = "label", features: str = "features", seed: int =
 
 
 def final_gbt(label: str = "label", features: str = "features", weight: str | None = "weight",
-              seed: int = 37, max_iter: int = 100, max_depth: int = 20,
+              seed: int = 37, max_iter: int = 1667, max_depth: int = 20,
               validation_col: str | None = None) -> GBTRegressor:
     """L1/L2: the reference's final boosted-tree configuration mapped onto
     GBTRegressor (rate 0.02213, row sample 0.3, node column sample 0.3628,
     min child weight 16).  L1/L2 penalties, leaf caps and per-tree/level column
-    sampling have no equivalent; ``max_iter`` defaults far below 1667 since
-    each round is a distributed job."""
+    sampling have no equivalent.  Each round is a distributed job."""
     if max_depth > 30:
         raise ValueError("GBTRegressor grows trees of at most depth 30")
     kw = dict(labelCol=label, featuresCol=features, maxIter=max_iter, maxDepth=max_depth,

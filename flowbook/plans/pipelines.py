@@ -53,7 +53,7 @@ class OOFResult:
 
 
 def oof_training(df: DataFrame, features: list[str], label: str = "label", k: int = 5,
-                 order: list[str] | None = None, gbt_iter: int = 20, gbt_depth: int = 6,
+                 order: list[str] | None = None, gbt_iter: int = 1667, gbt_depth: int = 20,
                  forest_trees: int = 50, forest_depth: int = 10, outlier_fraction: float | None = 0.001,
                  folds: list[int] | None = None) -> OOFResult:
     """L7/P2 with W1-W4: contiguous folds in time order, weighted fits, OOF."""
@@ -99,7 +99,7 @@ def ensemble_scores(models: list, df: DataFrame, features: list[str]) -> DataFra
 
 
 def refit_scaled(train: DataFrame, test: DataFrame, features: list[str], label: str = "label",
-                 gbt_iter: int = 20, gbt_depth: int = 6) -> DataFrame:
+                 gbt_iter: int = 1667, gbt_depth: int = 20) -> DataFrame:
     """P4 + G1/G3: scale features (fit on train) and label, fit on all rows,
     score ``test`` and return predictions in label units."""
     xs = S.standard_fit(train, features)

@@ -1,8 +1,10 @@
 """The boosted-tree flow from split to hold-out, and the fold loop's rows."""
 
+import inspect
 import random
 
-from flowbook.plans.pipelines import selection_and_oof
+from flowbook.operators.models import final_gbt
+from flowbook.plans.pipelines import oof_training, refit_scaled, selection_and_oof
 
 
 def test_selection_and_oof(spark):
@@ -21,3 +23,11 @@ def test_selection_and_oof(spark):
     report = {r.part: r for r in run.report.collect()}
     assert report["out_of_fold"].n == 200 and report["last_fold"].n == 66 and report["hold_out"].n == 50
     assert report["hold_out"].pearson > 0
+
+
+def test_defaults_are_the_reference_s(spark):
+    model = final_gbt()
+    assert (model.getMaxIter(), model.getMaxDepth()) == (1667, 20)
+    for flow in (oof_training, refit_scaled):
+        given = inspect.signature(flow).parameters
+        assert (given["gbt_iter"].default, given["gbt_depth"].default) == (1667, 20)
