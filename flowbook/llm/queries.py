@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flowbook.llm import decontaminate, line_dedup, packing, quality_classifier, quality_rules, quality_rules_sql, secret_scan, sharding, simhash, toxicity, warc
+from flowbook.llm import centroid_clustering, decontaminate, line_dedup, packing, quality_classifier, quality_rules, quality_rules_sql, secret_scan, sentencepiece_bpe, sharding, simhash, spelling, toxicity, warc
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_divergence": quality_rules.query,
@@ -19,9 +19,13 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash_near_dedup": simhash.query,
     "op9_order_preserving_packing": packing.query,
     "op10_rare_seed_decontamination": decontaminate.query,
+    "op11_pca_filtered_clustering": centroid_clustering.query,
+    "op12_reduced_alphabet_spelling": spelling.query,
+    "op13_vectorised_sentencepiece": sentencepiece_bpe.query,
 }
 
 SQL: dict[str, str] = {
     "op1_quality_divergence": quality_rules_sql.QUERY_SQL,
     "op2_warc_boundary_chain": warc.QUERY_SQL,
+    "op11_pca_filtered_clustering": centroid_clustering.QUERY_SQL,
 }
