@@ -1,4 +1,4 @@
-"""Model fitting on ``pyspark.ml``.
+"""Model fitting on ``pyspark.ml`` (L1, L3, L4, L7; L2 in ``early_stopping``, L5 and L6 in ``latent``).
 
 Tree ensembles and linear heads are ``pyspark.ml`` estimators: their
 training loops are already distributed (per-iteration histogram aggregates),
@@ -13,82 +13,67 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import PCA, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flowbook.operators.early_stopping import stopped
+from flowbook.operators.feature_space import Features, FeatureSpace, Selection, columns_of_features
 from flowbook.operators.ordering import fold_bounds
-from flowbook.session import stored
+from flowbook.session import ensure_checkpoint_dir, stored
 from flowbook.operators.weights import decay_weight_expr, downweight_outliers, train_positions
 
 
-def _mem_mb(text: str) -> int:
-    t = text.strip().lower()
-    mult = {"k": 1 / 1024, "m": 1, "g": 1024, "t": 1024 * 1024}
-    if t and t[-1] in mult:
-        return int(float(t[:-1]) * mult[t[-1]])
-    if t.endswith("b") and t[-2:-1] in mult:
-        return int(float(t[:-2]) * mult[t[-2]])
-    return int(float(t) / (1024 * 1024))
-
-
-def tree_memory_mb(spark: SparkSession | None = None, cap: int = 256) -> int:
-    """Per-task budget for tree split statistics (``maxMemoryInMB``): the
-    executor heap split over its concurrent tasks (x2 headroom), capped at
-    Spark's default.  In local mode all task threads share the driver heap."""
-    spark = spark or SparkSession.getActiveSession()
-    if spark is None:
-        return cap
-    conf = spark.sparkContext.getConf()
-    local = spark.sparkContext.master.startswith("local")
-    heap = _mem_mb(conf.get("spark.driver.memory" if local else "spark.executor.memory", "1g"))
-    cores = spark.sparkContext.defaultParallelism if local else int(conf.get("spark.executor.cores", "1"))
-    return int(max(16, min(cap, heap // (2 * max(1, cores)))))
+#: Spark's default for the split statistics that a task keeps, in MB.
+TREE_MEMORY_MB = 256
 
 
 def assembler(features: list[str], out: str = "features") -> VectorAssembler:
     return VectorAssembler(inputCols=list(features), outputCol=out, handleInvalid="keep")
 
 
-def assemble(df: DataFrame, features: list[str], out: str = "features") -> DataFrame:
+def assemble(df: DataFrame, features: Features, out: str = "features") -> DataFrame:
+    """``df`` with its feature vector: of columns, or of a feature space's blocks."""
+    if isinstance(features, FeatureSpace | Selection):
+        return features.vector(df, out=out)
     return assembler(features, out).transform(df)
 
 
 # ---------------------------------------------------------------- estimators
 def selection_gbt(label: str = "label", features: str = "features", seed: int = 37,
-                  max_iter: int = 100, max_depth: int = 6) -> GBTRegressor:
+                  max_iter: int = 100, max_depth: int = 6, memory_mb: int = TREE_MEMORY_MB) -> GBTRegressor:
     """Selection model: 100 trees, depth 6, rate 0.1, row/column sample 0.8."""
     return GBTRegressor(labelCol=label, featuresCol=features, maxIter=max_iter, maxDepth=max_depth,
                         stepSize=0.1, subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=seed,
-                        maxMemoryInMB=tree_memory_mb())
+                        maxMemoryInMB=memory_mb)
 
 
 def final_gbt(label: str = "label", features: str = "features", weight: str | None = "weight",
               seed: int = 37, max_iter: int = 1667, max_depth: int = 20,
-              validation_col: str | None = None) -> GBTRegressor:
-    """L1/L2: the reference's final boosted-tree configuration mapped onto
+              memory_mb: int = TREE_MEMORY_MB) -> GBTRegressor:
+    """L1: the reference's final boosted-tree configuration mapped onto
     GBTRegressor (rate 0.02213, row sample 0.3, node column sample 0.3628,
     min child weight 16).  L1/L2 penalties, leaf caps and per-tree/level column
-    sampling have no equivalent.  Each round is a distributed job."""
+    sampling have no equivalent.  Each round is a distributed job.  Early
+    stopping (L2) is in ``early_stopping``."""
     if max_depth > 30:
         raise ValueError("GBTRegressor grows trees of at most depth 30")
     kw = dict(labelCol=label, featuresCol=features, maxIter=max_iter, maxDepth=max_depth,
               stepSize=0.02213, subsamplingRate=0.3, featureSubsetStrategy="0.3628",
               minInstancesPerNode=16, seed=seed, maxBins=64, checkpointInterval=10,
-              maxMemoryInMB=tree_memory_mb())
+              maxMemoryInMB=memory_mb)
     if weight:
         kw["weightCol"] = weight
-    if validation_col:
-        kw["validationIndicatorCol"] = validation_col
     return GBTRegressor(**kw)
 
 
 def quick_forest(label: str = "label", features: str = "features", weight: str | None = "weight",
-                 seed: int = 37, num_trees: int = 50, max_depth: int = 10) -> RandomForestRegressor:
+                 seed: int = 37, num_trees: int = 50, max_depth: int = 10,
+                 memory_mb: int = TREE_MEMORY_MB) -> RandomForestRegressor:
     """The quick forest used to score residuals (50 trees, depth 10)."""
     kw = dict(labelCol=label, featuresCol=features, numTrees=num_trees, maxDepth=max_depth, seed=seed,
-              maxMemoryInMB=tree_memory_mb())
+              maxMemoryInMB=memory_mb)
     if weight:
         kw["weightCol"] = weight
     return RandomForestRegressor(**kw)
@@ -114,21 +99,23 @@ def fit_ridge(df: DataFrame, features: list[str], label: str = "label", alpha: f
     return pipe.fit(df)
 
 
-def pca_ridge(features: list[str], k: int, alpha: float, n: float, label_std: float,
-              label: str = "label") -> Pipeline:
-    """Linear auto-encoder stand-in (PCA to ``k``) feeding the ridge head."""
-    return Pipeline(stages=[
-        assembler(features, "raw"),
-        PCA(k=k, inputCol="raw", outputCol="latent"),
-        ridge(alpha, n, label_std, label, features="latent"),
-    ])
+# ---------------------------------------------------------------- fold loop
+#: Rows of a fit go to one part per so many, and to at least LEAST_PARTS.
+ROWS_PER_PART, LEAST_PARTS = 250_000, 32
+
+
+def dealt(df: DataFrame, keys: list[str], n: int) -> DataFrame:
+    """The ``n`` rows dealt by key, in key order, into a number of parts that
+    follows from n alone: what a fit samples then depends neither on the files
+    nor on the cluster."""
+    return df.repartition(max(LEAST_PARTS, -(-n // ROWS_PER_PART)), *keys).sortWithinPartitions(*keys)
 
 
-# ---------------------------------------------------------------- fold loop
 @dataclass
 class FoldResult:
     models: list = field(default_factory=list)
     oof: DataFrame | None = None
+    history: DataFrame | None = None  # fold, round, train_loss, held_out_loss, kept; with patience
 
 
 def fold_training(
@@ -136,7 +123,7 @@ def fold_training(
     n: int,
     k: int,
     make_estimator: Callable[[], object],
-    features: list[str],
+    features: Features,
     label: str = "label",
     keys: list[str] | None = None,
     pos: str = "pos",
@@ -145,16 +132,19 @@ def fold_training(
     outlier_fraction: float | None = 0.001,
     make_forest: Callable[[], object] | None = None,
     folds: list[int] | None = None,
+    patience: int | None = None,
 ) -> FoldResult:
     """L7 + P2: per fold, train on the other folds with time-decay weights
     (positions counted inside the training rows) optionally down-weighted by
     forest residuals, fit, and score the held-out fold.  ``base`` carries
-    ``pos`` and ``fold`` (see ``ordering.contiguous_kfold``).  The base rows,
-    each fold's residuals and its predictions are stored tables: the passes of
-    a fit read rows, not the window and the forest that made them.  Rows are
-    dealt by key first, so that samples do not follow the file layout."""
+    ``pos`` and ``fold`` (see ``ordering.contiguous_kfold``).  With ``patience``
+    each fold's model is cut after its best round on the held-out fold (L2).
+    The base rows, each fold's residuals and its predictions are stored tables:
+    the passes of a fit read rows, not the window and the forest that made
+    them.  Every fit's rows are ``dealt`` by key."""
     keys = keys or ["row_id"]
-    rows = stored(base.repartition(*keys).sortWithinPartitions(*keys), "fold-rows")
+    ensure_checkpoint_dir(base.sparkSession)
+    rows = stored(base.select(*dict.fromkeys([*keys, pos, fold, label, *columns_of_features(features)])), "fold-rows")
     data = assemble(rows, features)
     bounds = fold_bounds(n, k)
     res = FoldResult()
@@ -168,13 +158,18 @@ def fold_training(
         else:
             train = train.withColumn("weight", F.lit(1.0))
         if outlier_fraction is not None and make_forest is not None:
-            forest = make_forest().fit(train)
+            forest = make_forest().fit(dealt(train, keys, n_tr))
             scored = forest.transform(train).withColumn("_res", F.abs(F.col(label) - F.col("prediction")))
             scored = stored(scored.drop("prediction", "features"), "fold-residuals")
             train = assemble(downweight_outliers(scored, "_res", "weight", outlier_fraction, n=n_tr).drop("_res"), features)
-        model = make_estimator().fit(train)
-        res.models.append(model)
+        model = make_estimator().fit(dealt(train, keys, n_tr))
         val = data.where(F.col(fold) == f)
+        if patience is not None:
+            cut = stopped(model, train, val, label, patience, "weight")
+            model = cut.model
+            history = cut.history.select(F.lit(f).alias(fold), "*")
+            res.history = history if res.history is None else res.history.unionByName(history)
+        res.models.append(model)
         preds.append(stored(model.transform(val).select(*keys, F.lit(f).alias(fold), label, "prediction"), "fold-predictions"))
     out = preds[0]
     for p in preds[1:]:

@@ -28,12 +28,17 @@ from __future__ import annotations
 import json
 import math
 from bisect import bisect_right
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from flowbook.session import ship_package
+
 
 @dataclass
 class Positioned:
@@ -274,105 +279,145 @@ def top_k(df: DataFrame, by: str, k: int, tiebreak: str | None = None) -> DataFr
     return df.orderBy(*keys).limit(k)
 
 
+@dataclass
+class _Rank:
+    """An open rank of a column: ``rank`` among the ``size`` values strictly
+    between ``low`` and ``high`` (None: no bound)."""
+
+    rank: int
+    size: int
+    low: float | None = None
+    high: float | None = None
+
+
+def _between(x: np.ndarray, low: float | None, high: float | None) -> np.ndarray:
+    own = ~np.isnan(x)
+    if low is not None:
+        own &= x > low
+    if high is not None:
+        own &= x < high
+    return own
+
+
+def _column(batch: pa.RecordBatch, i: int) -> np.ndarray:
+    return batch.column(i).to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
+
+
+def _probe_counts(df: DataFrame, probes: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For every column of ``df`` (doubles) and its ascending ``probes``: how
+    many values lie below each, and at or below each.  One pass; a task sends a
+    row per column."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        below, upto = ([np.zeros(len(p) + 1, np.int64) for p in probes] for _ in range(2))
+        for batch in batches:
+            for i, p in enumerate(probes):
+                x = _column(batch, i)
+                x = x[~np.isnan(x)]
+                below[i] += np.bincount(np.searchsorted(p, x, side="right"), minlength=len(p) + 1)
+                upto[i] += np.bincount(np.searchsorted(p, x, side="left"), minlength=len(p) + 1)
+        rows = [(i, k, int(lt), int(le)) for i in range(len(probes)) for k, (lt, le) in enumerate(zip(below[i], upto[i])) if lt or le]
+        yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate((pa.int32(), pa.int32(), pa.int64(), pa.int64()))], ["i", "k", "lt", "le"])
+
+    sums = df.mapInArrow(run, "i int, k int, lt long, le long").groupBy("i", "k").agg(F.sum("lt").alias("lt"), F.sum("le").alias("le"))
+    steps = [(np.zeros(len(p) + 1, np.int64), np.zeros(len(p) + 1, np.int64)) for p in probes]
+    for r in sums.collect():  # the probes' number, whatever the rows'
+        steps[r["i"]][0][r["k"]], steps[r["i"]][1][r["k"]] = r["lt"], r["le"]
+    return [(np.cumsum(lt)[:-1], np.cumsum(le)[:-1]) for lt, le in steps]
+
+
+def _values_between(df: DataFrame, wanted: list[tuple[int, float | None, float | None]]) -> list[np.ndarray]:
+    """The values of column i between two bounds, sorted, for each (i, low, high);
+    few by the callers' choice.  One pass."""
+    ship_package(df.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = {i: _column(batch, i) for i, _, _ in wanted}
+            found = [columns[i][_between(columns[i], low, high)] for i, low, high in wanted]
+            yield pa.RecordBatch.from_pydict({"k": np.repeat(np.arange(len(found), dtype=np.int32), list(map(len, found))), "v": np.concatenate(found)})
+
+    rows = df.mapInArrow(run, "k int, v double").collect()
+    out: list[list[float]] = [[] for _ in wanted]
+    for r in rows:
+        out[r["k"]].append(r["v"])
+    return [np.sort(np.array(v)) for v in out]
+
+
 def kth_values_multi(df: DataFrame, requests: dict[str, list[int]], ns: dict[str, int] | None = None,
                      rel_err: float = 1e-3, direct_limit: int = 4096) -> dict[tuple[str, int], float | None]:
     """Exact values at 0-based ascending ranks, for several columns and ranks
     at once (NULL/NaN excluded per column).
 
-    Each round: per column one ``approxQuantile`` job proposes three probes
-    per rank (p - 2e, p, p + 2e); one counting job over the table checks every
-    probe of every column (``count(c < a)``, ``count(c <= a)``).  A probe whose
-    value spans the rank is the answer - a hot value is accepted without
-    touching its rows.  Otherwise the rank's bracket shrinks from both sides
-    to about 4e of its size.  Brackets of at most ``direct_limit`` values are
-    resolved together by one bounded collect per column.  Nothing unbounded
-    reaches the driver and no single task gathers a group.
-    """
-    def valid(c: str) -> Column:
-        x = F.col(c).cast("double")
-        return x.isNotNull() & ~F.isnan(x)
-
+    A round takes the same three passes whatever the number of columns: one
+    ``approxQuantile`` call over all open brackets sketches them on a grid of
+    ``rel_err``; one counting pass checks, for each rank, the grid's values
+    around it; and brackets of at most ``direct_limit`` values are gathered
+    together.  A probe whose value spans the rank is the answer - a hot value
+    is accepted without touching its rows.  Otherwise the rank's bracket
+    shrinks from both sides to a few ``rel_err`` of its size.  Nothing
+    unbounded reaches the driver and no single task gathers a group."""
     cols = list(requests)
+    if not cols:
+        return {}
+    data = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
     if ns is None:
-        row = df.agg(*[F.count_if(valid(c)).alias(f"n{i}") for i, c in enumerate(cols)]).first()
-        ns = {c: int(row[f"n{i}"]) for i, c in enumerate(cols)}
+        every = _probe_counts(data, [np.array([np.inf])] * len(cols))
+        ns = {c: int(every[i][1][0]) for i, c in enumerate(cols)}
     out: dict[tuple[str, int], float | None] = {}
-    # state per (column, rank): (relative rank, bracket size, lo, hi); bounds exclusive
-    todo: dict[tuple[str, int], tuple] = {}
+    todo: dict[tuple[str, int], _Rank] = {}
     for c, ranks in requests.items():
         for r in set(ranks):
             if 0 <= r < ns[c]:
-                todo[(c, r)] = (r, ns[c], None, None)
+                todo[c, r] = _Rank(r, ns[c])
             else:
-                out[(c, r)] = None
-
-    def inside(c: str, lo, hi) -> Column:
-        x = F.col(c).cast("double")
-        cond = valid(c)
-        if lo is not None:
-            cond = cond & (x > F.lit(lo))
-        if hi is not None:
-            cond = cond & (x < F.lit(hi))
-        return cond
+                out[c, r] = None
 
+    at = {c: i for i, c in enumerate(cols)}
     for _ in range(64):
-        # small brackets: one bounded collect per column resolves them all
-        small: dict[str, list] = {}
-        for key, st in todo.items():
-            if st[1] <= direct_limit:
-                small.setdefault(key[0], []).append(key)
-        for c, keys in small.items():
-            cond = F.lit(False)
-            for k in keys:
-                cond = cond | inside(c, todo[k][2], todo[k][3])
-            vals = sorted(float(r[0]) for r in df.select(F.col(c).cast("double")).where(cond).collect())
-            for k in keys:
-                rr, _, lo, hi = todo.pop(k)
-                sub = [v for v in vals if (lo is None or v > lo) and (hi is None or v < hi)]
-                out[k] = sub[rr]
+        small = sorted({(at[c], st.low, st.high) for (c, _), st in todo.items() if st.size <= direct_limit}, key=repr)
+        if small:
+            values = dict(zip(small, _values_between(data, small)))
+            for (c, r), st in list(todo.items()):
+                if (key := (at[c], st.low, st.high)) in values:
+                    out[c, r] = float(values[key][st.rank])
+                    del todo[c, r]
         if not todo:
             return out
-        probes: dict[tuple[str, int], list[float]] = {}
-        groups: dict[tuple, list] = {}
-        for key, (rr, size, lo, hi) in todo.items():
-            groups.setdefault((key[0], lo, hi, size), []).append(key)
-        for (c, lo, hi, size), keys in groups.items():
-            probs = []
-            for k in keys:
-                p = (todo[k][0] + 0.5) / size
-                probs += [max(0.0, p - 2 * rel_err), min(1.0, p), min(1.0, p + 2 * rel_err)]
-            sub = df.select(F.col(c).cast("double").alias(c)).where(inside(c, lo, hi))
-            got = sub.approxQuantile(c, probs, rel_err)
-            for i, k in enumerate(keys):
-                probes[k] = sorted(set(got[3 * i:3 * i + 3]))
-        aggs, names = [], {}
-        for key, cs in probes.items():
-            c = key[0]
-            rr, size, lo, hi = todo[key]
-            x = F.col(c).cast("double")
-            ins = inside(c, lo, hi)
-            for j, a in enumerate(cs):
-                base = f"q{len(names)}"
-                names[(key, j)] = base
-                aggs += [F.count_if(ins & (x < F.lit(a))).alias(base + "lt"),
-                         F.count_if(ins & (x <= F.lit(a))).alias(base + "le")]
-        cnt = df.agg(*aggs).first()
-        for key, cs in probes.items():
-            rr, size, lo, hi = todo[key]
-            new_lo, off, new_hi, top = lo, 0, hi, size
-            for j, a in enumerate(cs):
-                lt, le = int(cnt[names[(key, j)] + "lt"]), int(cnt[names[(key, j)] + "le"])
-                if lt <= rr < le:
-                    out[key] = float(a)
+        brackets = sorted({(at[c], st.low, st.high) for (c, _), st in todo.items()}, key=repr)
+        place = {b: i for i, b in enumerate(brackets)}
+
+        def inside(i: int, low: float | None, high: float | None) -> Column:
+            x, own = F.col(f"c{i}"), ~F.isnan(f"c{i}")
+            own = own if low is None else own & (x > F.lit(low))
+            return F.when(own if high is None else own & (x < F.lit(high)), x)
+
+        grid = int(round(1 / rel_err))
+        need = {k: (max(0, int(((st.rank + 0.5) / st.size) * grid) - 2), min(grid, int(((st.rank + 0.5) / st.size) * grid) + 3)) for k, st in todo.items()}
+        steps = sorted({g for lo, hi in need.values() for g in range(lo, hi + 1)})
+        sketched = data.select(*[inside(*b).alias(f"b{i}") for i, b in enumerate(brackets)]).approxQuantile([f"b{i}" for i in range(len(brackets))], [g / grid for g in steps], rel_err)
+        step_at = {g: i for i, g in enumerate(steps)}
+        tried = {k: [sketched[place[at[k[0]], todo[k].low, todo[k].high]][step_at[g]] for g in range(lo, hi + 1)] for k, (lo, hi) in need.items()}
+        probes = [np.unique([v for k, vs in tried.items() if at[k[0]] == i for v in vs] + [x for k, st in todo.items() if at[k[0]] == i for x in (st.low, st.high) if x is not None]) for i in range(len(cols))]
+        counted = _probe_counts(data, probes)
+        for k, vs in tried.items():
+            st, i = todo[k], at[k[0]]
+            # Ranks below are counted from the bracket's beginning.
+            base = 0 if st.low is None else int(counted[i][1][np.searchsorted(probes[i], st.low)])
+            low, off, high, top = st.low, 0, st.high, st.size
+            for v in sorted(set(vs)):
+                j = np.searchsorted(probes[i], v)
+                lt, le = int(counted[i][0][j]) - base, int(counted[i][1][j]) - base
+                if lt <= st.rank < le:
+                    out[k] = float(v)
                     break
-                if le <= rr and le >= off:
-                    new_lo, off = a, le
-                if lt > rr and lt <= top:
-                    new_hi, top = a, lt
+                if le <= st.rank and le >= off:
+                    low, off = float(v), le
+                if lt > st.rank and lt <= top:
+                    high, top = float(v), lt
             else:
-                todo[key] = (rr - off, top - off, new_lo, new_hi)
+                todo[k] = _Rank(st.rank - off, top - off, low, high)
                 continue
-            del todo[key]
+            del todo[k]
     raise RuntimeError("kth_values did not converge")
 
 

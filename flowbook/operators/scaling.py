@@ -15,7 +15,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowbook.operators.clean import numeric_columns
+from flowbook.operators.clean import numeric_columns, profile
 from flowbook.operators.ordering import kth_values, kth_values_multi
 
 
@@ -75,18 +75,14 @@ def standard_fit(df: DataFrame, cols: Iterable[str] | None = None) -> ScalerMode
 
 
 def minmax_fit(df: DataFrame, cols: Iterable[str] | None = None) -> ScalerModel:
-    """(x - min) / (max - min), NULL and NaN left out; zero range -> scale 1."""
+    """(x - min) / (max - min), NULL and NaN left out; zero range -> scale 1.
+    One pass whatever the number of columns."""
     cols = _cols(df, cols)
-    aggs = []
-    for i, c in enumerate(cols):
-        x = _present(F.col(c).cast("double"))
-        aggs += [F.min(x).alias(f"a{i}"), F.max(x).alias(f"b{i}")]
-    row = df.agg(*aggs).first()
     m = ScalerModel()
-    for i, c in enumerate(cols):
-        lo, hi = row[f"a{i}"], row[f"b{i}"]
-        m.center[c] = float(lo) if lo is not None else 0.0
-        m.scale[c] = _nonzero(None if lo is None else hi - lo)
+    for r in profile(df, cols).where("element is null").collect():
+        lo, hi = r["min"], r["max"]
+        m.center[r["column"]] = float(lo) if lo is not None else 0.0
+        m.scale[r["column"]] = _nonzero(None if lo is None else hi - lo)
     return m
 
 
@@ -117,9 +113,7 @@ def robust_fit(df: DataFrame, cols: Iterable[str] | None = None,
     together (shared counting passes); zero IQR -> scale 1."""
     cols = _cols(df, cols)
     qs = [0.5, quantile_range[0] / 100.0, quantile_range[1] / 100.0]
-    counts = df.agg(*[F.count_if(F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))).alias(f"n{i}")
-                      for i, c in enumerate(cols)]).first()
-    ns = {c: int(counts[f"n{i}"]) for i, c in enumerate(cols)}
+    ns = {r["column"]: int(r["rows"] - r["nulls"]) for r in profile(df, cols).where("element is null").collect()}
     spots = {}
     for c in cols:
         n = ns[c]

@@ -182,7 +182,7 @@ SQL["row_argext"] = f"""{SIG}
 SELECT row_id, {", ".join(f"{O.r6(O.fin(e))} AS {n}" for n, e in row_stat_exprs()[7:])} FROM signals"""
 
 _MS = f"""{O.with_views(O.MARKET_EVENTS, O.SIGNALS)},
-ms AS (SELECT m.*, s.x FROM market_events m JOIN signals s USING (row_id)),
+ms AS (SELECT m.*, s.x FROM market_events m JOIN signals s ON s.row_id = m.row_id % (SELECT count(*) FROM signals)),
 st AS (SELECT *, {", ".join(f"{O.fin(e)} AS {n}" for n, e in row_stat_exprs())} FROM ms)"""
 
 
@@ -200,7 +200,7 @@ _B_FLOAT = ", ".join(f"CAST({c} AS FLOAT) AS {c}" for c in MARKET_L)
 SQL["policy_p3"] = f"""{O.with_views(O.MARKET_EVENTS, O.SIGNALS)},
 ms AS (SELECT CAST(m.row_id AS SMALLINT) AS row_id, {_B_FLOAT.replace('CAST(', 'CAST(m.')},
           list_transform(s.x, lambda v: CASE WHEN isfinite(v) THEN v ELSE 0.0 END) AS x
-       FROM market_events m JOIN signals s USING (row_id)),
+       FROM market_events m JOIN signals s ON s.row_id = m.row_id % (SELECT count(*) FROM signals)),
 f AS (SELECT row_id, {", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in MARKET_L)}, x FROM ms
       WHERE isfinite(label))
 SELECT row_id, {", ".join(f"{O.r6(O.fin(c))} AS {c}" for c in MARKET_L)},
@@ -422,3 +422,45 @@ SQL["wide_profile"] = ("WITH w AS (SELECT " + ", ".join(f"{_wide_col(i)} AS X{i}
                        ") SELECT " + COLQ + ", nulls FROM p WHERE nulls > 0")
 
 SQL["wide_profile_array"] = SQL["wide_profile"]
+
+
+# ------------------------------------------------------------------ latent pair, networks
+# Two standardised columns have the principal direction (1, sign r) / sqrt 2.
+_PAIR = f"""{ME},
+m AS (SELECT avg(bid_qty) AS ma, stddev_pop(bid_qty) AS sa, avg(buy_qty) AS mb, stddev_pop(buy_qty) AS sb, avg(label) AS my FROM market_events),
+z AS (SELECT row_id, ts, label, (bid_qty - ma) / sa AS z1, (buy_qty - mb) / sb AS z2, my FROM market_events, m),
+g AS (SELECT CASE WHEN avg(z1 * z2) >= 0 THEN 1.0 ELSE -1.0 END AS sgn FROM z),
+l AS (SELECT z.*, sgn, (z1 + sgn * z2) / sqrt(2.0) AS code FROM z, g),
+w AS (SELECT sum(code * (label - my)) / (sum(code * code) + 0.1) AS w FROM l),
+s AS (SELECT row_id, ts, label, z1, z2, my + w * code AS prediction, code / sqrt(2.0) AS b1, sgn * code / sqrt(2.0) AS b2 FROM l, w)"""
+
+SQL["latent_pair"] = f"""{_PAIR}
+SELECT row_id, {O.r6('prediction')} AS prediction, {O.r6('b1')} AS bid_qty_back, {O.r6('b2')} AS buy_qty_back FROM s"""
+
+SQL["composite_loss"] = f"""{_PAIR},
+e AS (SELECT (label - prediction) ** 2 AS p, ((z1 - b1) ** 2 + (z2 - b2) ** 2) / 2 AS r, {POS} // 256 AS batch FROM s),
+b AS (SELECT avg(p + 0.5 * r) AS loss FROM e GROUP BY batch)
+SELECT {O.r6('avg(p)')} AS pred_mse, {O.r6('avg(r)')} AS recon_mse, {O.r6('avg(p) + 0.5 * avg(r)')} AS loss,
+  {O.r6('(SELECT avg(loss) FROM b)')} AS batch_loss, (SELECT count(*) FROM b) AS batches FROM e"""
+
+
+def network_sql(source: str, keys: str) -> str:
+    """The example network's forward pass, layer by layer."""
+    inputs = ["bid_qty", "ask_qty", "buy_qty", "sell_qty", "volume"]
+    bias, mean, var, gamma, beta = [-0.1, 0.0, 0.1], [0.1, 0.2, 0.3], [1.0, 2.0, 3.0], [1.0, 0.5, 2.0], [0.0, 0.1, -0.1]
+    sigmoid = "1.0 / (1.0 + exp(-({})))"
+    first = []
+    for j in range(3):
+        total = " + ".join(f"{c} * ({((3 * j + 5 * i) % 7 - 3) / 1000}::DOUBLE)" for i, c in enumerate(inputs))
+        first.append(f"(({total} + ({bias[j]})) - {mean[j]}) / sqrt({var[j]} + 0.00001::DOUBLE) * {gamma[j]} + ({beta[j]}) AS n{j}")
+    swish = [f"n{j} * ({sigmoid.format(f'n{j}')}) AS h{j}" for j in range(3)]
+    second = []
+    for j, b in enumerate([0.1, -0.2, 0.3]):
+        total = " + ".join(f"h{i} * ({((j + 2 * i) % 5 - 2) / 4}::DOUBLE)" for i in range(3))
+        second.append(f"{sigmoid.format(f'{total} + ({b})')} + h{j} AS k{j}")
+    return (f"n AS (SELECT {keys}, {', '.join(first)} FROM {source}),\nh AS (SELECT {keys}, {', '.join(swish)} FROM n),\n"
+            f"k AS (SELECT {keys}, {', '.join(second)} FROM h)\nSELECT {keys}, {O.r6('0.5 * k0 - k1 + 0.25 * k2 + 0.05')} AS prediction FROM k")
+
+
+SQL["batch_scoring"] = f"{O.with_views(O.MARKET_LINEITEM)},\n{network_sql('market_lineitem', 'l_returnflag')}"
+SQL["stream_scoring"] = f"{ME},\n{network_sql('market_events', 'row_id')}"

@@ -512,12 +512,17 @@ def q_ridge_head(spark, sf):
 
 # ------------------------------------------------------------------ models (rows-only checks)
 from flowbook.operators.models import assemble, quick_forest  # noqa: E402
-from flowbook.operators.scoring import numpy_batch_scorer  # noqa: E402
+from flowbook.operators.early_stopping import fit_early_stopping  # noqa: E402
+from flowbook.operators.feature_space import FeatureSpace  # noqa: E402
+from flowbook.operators.models import final_gbt  # noqa: E402
+from flowbook.operators.networks import Layer, Network, save, score_network  # noqa: E402
 from flowbook.plans import pipelines as PL  # noqa: E402
 
 MODEL_FEATURES = MARKET + FEATURES_B
 #: Smaller than the reference's 1667 rounds of depth 20, the operators' defaults.
 GBT_ITER, GBT_DEPTH = 20, 6
+#: Rounds of the fits over all 1 071 features, and of those of 20 levels.
+WIDE_ITER, DEEP_ITER = 5, 3
 
 
 def _market_b(spark, sf) -> DataFrame:
@@ -559,13 +564,67 @@ def q_refit_score(spark, sf):
     return scored.select("l_returnflag", r6("prediction").alias("prediction"))
 
 
+def _chronological(spark, sf) -> tuple[DataFrame, DataFrame]:
+    train, held, _ = O.chrono_split(_market_b(spark, sf), 0.8, ORDER)
+    return train, held
+
+
 @register("shap_importance")
 def q_shap_importance(spark, sf):
-    train, _, _ = O.chrono_split(_market_b(spark, sf), 0.8, ORDER)
-    sel = PL.shap_selection(train, MODEL_FEATURES, "label", k=30, max_iter=100, max_depth=6)
+    sel = PL.shap_selection(_chronological(spark, sf)[0], MODEL_FEATURES, "label", k=30, max_iter=100, max_depth=6)
+    return sel.importance.select("feature", r6("importance").alias("importance"))
+
+
+@register("shap_importance_background")
+def q_shap_importance_background(spark, sf):
+    """F2 as the reference calls it: the training rows are the background."""
+    train, _ = _chronological(spark, sf)
+    sel = PL.shap_selection(train, MODEL_FEATURES, "label", k=30, max_iter=GBT_ITER, max_depth=GBT_DEPTH, background=train)
     return sel.importance.select("feature", r6("importance").alias("importance"))
 
 
+@register("shap_deep")
+def q_shap_deep(spark, sf):
+    """Attributions of trees as deep as the reference's final ones (20 levels)."""
+    train, _ = _chronological(spark, sf)
+    sel = PL.shap_selection(train, MODEL_FEATURES, "label", k=30, max_iter=DEEP_ITER, max_depth=20)
+    return sel.importance.select("feature", r6("importance").alias("importance"))
+
+
+@register("early_stopping")
+def q_early_stopping(spark, sf):
+    """L2: losses after every round on the first 80 % and on the last 20 %, and
+    the rounds that patience keeps."""
+    train, held = (assemble(d, MODEL_FEATURES) for d in _chronological(spark, sf))
+    fit = fit_early_stopping(final_gbt(weight=None, max_iter=GBT_ITER, max_depth=GBT_DEPTH), train, held, patience=5)
+    return fit.history.select("round", r6("train_loss").alias("train_loss"), r6("held_out_loss").alias("held_out_loss"), "kept")
+
+
+def _all_features(spark, sf) -> tuple[DataFrame, FeatureSpace]:
+    rows = PL.boosted_tree_rows(V.market_all_signals(spark, sf))
+    return rows, PL.boosted_tree_space(rows)
+
+
+@register("boosted_tree_importance")
+def q_boosted_tree_importance(spark, sf):
+    """I1 -> F2: every one of the 1 071 features, fitted and attributed on the
+    first 80 % of the rows."""
+    rows, space = _all_features(spark, sf)
+    train, _, _ = O.chrono_split(rows, 0.8, ORDER)
+    sel = PL.shap_selection(train, space, "label", max_iter=WIDE_ITER, max_depth=GBT_DEPTH)
+    return sel.importance.select("feature", r6("importance").alias("importance"))
+
+
+@register("boosted_tree_flow")
+def q_boosted_tree_flow(spark, sf):
+    """E2 from all features to out-of-fold predictions: selection, weighted
+    folds with early stopping, one row per training row."""
+    rows, space = _all_features(spark, sf)
+    run = PL.selection_and_oof(rows, space, top=80, selection_iter=WIDE_ITER, selection_depth=GBT_DEPTH,
+                               gbt_iter=WIDE_ITER, gbt_depth=GBT_DEPTH, forest_trees=10, forest_depth=6, patience=5)
+    return _r6_all(run.oof, ["label", "prediction"], ["row_id", "fold"])
+
+
 def _split_a(spark, sf):
     df = O.random_split(add_features_a(V.market_events(spark, sf)), 0.3, seed=42)
     return df.where(F.col("split") == "train"), df.where(F.col("split") == "test")
@@ -573,32 +632,96 @@ def _split_a(spark, sf):
 
 @register("pca_ridge")
 def q_pca_ridge(spark, sf):
+    """58 features, so 8 of the default's 128 directions."""
     train, test = _split_a(spark, sf)
-    scored, _ = PL.latent_ridge(train.drop("split"), test, FEATURES_A, "label", k=8, keys=["row_id"])
+    scored, _ = PL.latent_ridge(train, test, FEATURES_A, "label", k=8)
     return scored.select("row_id", r6("prediction").alias("prediction"))
 
 
 @register("reconstruction_loss")
 def q_reconstruction_loss(spark, sf):
     train, test = _split_a(spark, sf)
-    _, loss = PL.latent_ridge(train.drop("split"), test, FEATURES_A, "label", k=8)
+    _, loss = PL.latent_ridge(train, test, FEATURES_A, "label", k=8)
     return loss.select(*[r6(c).alias(c) for c in ["pred_mse", "recon_mse", "loss"]])
 
 
+LATENT_PAIR = ["bid_qty", "buy_qty"]
+
+
+def _latent_pair(spark, sf) -> DataFrame:
+    df = V.market_events(spark, sf)
+    return PL.latent_ridge(df, df, LATENT_PAIR, "label", k=1)[0]
+
+
+@register("latent_pair")
+def q_latent_pair(spark, sf):
+    """Two columns encoded in one direction, decoded, and ridge on the code."""
+    scored = _latent_pair(spark, sf)
+    back = [r6(F.get("reconstructed", F.lit(i))).alias(f"{c}_back") for i, c in enumerate(LATENT_PAIR)]
+    return scored.select("row_id", r6("prediction").alias("prediction"), *back)
+
+
+@register("composite_loss")
+def q_composite_loss(spark, sf):
+    """M7 over all rows, and its mean over batches (M6)."""
+    scored = _latent_pair(spark, sf).select(*ORDER, "label", "prediction", "scaled", "reconstructed")
+    whole = M.composite_loss(scored, "label", "prediction", "scaled", "reconstructed")
+    batches = M.batch_composite_loss(O.global_position(scored, ORDER), "label", "prediction", "scaled", "reconstructed")
+    both = whole.crossJoin(batches.withColumnRenamed("loss", "batch_loss"))  # one row each
+    return both.select(*[r6(c).alias(c) for c in ("pred_mse", "recon_mse", "loss", "batch_loss")], "batches")
+
+
+@register("latent_flow")
+def q_latent_flow(spark, sf):
+    """E1 over 171 signals, of which two have missing values in the training
+    table: predictions for every row of the other table, as written and read back."""
+    valid = V.market_all_signals(spark, sf)
+    names = AR.names_of(valid, "x")
+    lost = F.transform("x", lambda v, i: F.when(~(i.isin(6, 18) & (F.col("row_id") % 50 == 0)), v))
+    train = valid.withColumn("x", AR.with_names(lost, "x", names))
+    run = PL.latent_flow(train, valid, _template(spark, sf), scratch_path(spark, "latent-flow"))
+    return FS.read_template(spark, run.path).select("ID", r6("prediction").alias("prediction"))
+
+
+def example_network() -> Network:
+    """A small fixed network of the reference's layer kinds, with weights from rules."""
+    encode = [[((3 * j + 5 * i) % 7 - 3) / 1000 for i in range(5)] for j in range(3)]
+    middle = [[((j + 2 * i) % 5 - 2) / 4 for i in range(3)] for j in range(3)]
+    norm = [[0.1, 0.2, 0.3], [1.0, 2.0, 3.0], [1.0, 0.5, 2.0], [0.0, 0.1, -0.1]]
+    return Network([Layer(encode, [-0.1, 0.0, 0.1], "swish", norm), Layer(middle, [0.1, -0.2, 0.3], "sigmoid", skip=0), Layer([[0.5, -1.0, 0.25]], [0.05])])
+
+
 @register("batch_scoring")
 def q_batch_scoring(spark, sf):
-    from flowbook.operators.models import fit_ridge
-    lr = fit_ridge(V.market_events(spark, sf), MARKET, "label", alpha=0.1).stages[-1]
-    coef = [float(c) for c in lr.coefficients]
-    icpt = float(lr.intercept)
+    """A network stored as a table, loaded and run over every lineitem row."""
+    path = save(spark, example_network(), scratch_path(spark, "network"))
+    scored = score_network(V.market_lineitem(spark, sf), path, MARKET)
+    return scored.select("l_returnflag", r6("prediction").alias("prediction"))
+
+
+@register("stream_scoring")
+def q_stream_scoring(spark, sf):
+    """P1 on a stream: three micro-batches scored into the sink, and each of them
+    written once more under its own id, as after a failure."""
+    from flowbook.streaming.features import read_market_stream
+    from flowbook.streaming.scoring import batch_writer, read_scored, start_scoring
+    network = save(spark, example_network(), scratch_path(spark, "network"))
+    source, sink = scratch_path(spark, "scoring-source"), scratch_path(spark, "scored")
+    events = V.market_events(spark, sf)
+    events.repartition(3, "row_id").write.parquet(source)
 
-    def predict(x):
-        import numpy as np
-        return x @ np.asarray(coef) + icpt
+    def scored(batch: DataFrame) -> DataFrame:
+        return score_network(batch, network, MARKET).select("row_id", r6("prediction").alias("prediction"))
 
-    scorer = numpy_batch_scorer(predict, len(MARKET))
-    df = V.market_lineitem(spark, sf)
-    return df.select("l_returnflag", r6(scorer(F.array(*[F.col(c) for c in MARKET]))).alias("prediction"))
+    stream = read_market_stream(spark, source, events.schema, max_files_per_trigger=1)
+    start_scoring(stream, scored, sink, scratch_path(spark, "scoring-checkpoint")).awaitTermination()
+    shape = scored(events).schema
+    for r in read_scored(spark, sink, shape).select("batch").distinct().collect():
+        rows = read_scored(spark, sink, shape).where(F.col("batch") == r["batch"]).select("row_id")
+        again = scratch_path(spark, "scoring-replay")
+        spark.read.schema(events.schema).parquet(source).join(rows, "row_id", "left_semi").write.parquet(again)
+        batch_writer(scored, sink)(spark.read.schema(events.schema).parquet(again), r["batch"])
+    return read_scored(spark, sink, shape).drop("batch")
 
 
 @register("features_a_stream")
@@ -606,16 +729,14 @@ def q_features_a_stream(spark, sf):
     """Set A through Structured Streaming (file source -> feature projection ->
     Parquet sink in the shared folder); must equal the batch result."""
     from flowbook.session import scratch_path
-    from flowbook.streaming.features import read_market_stream, stream_features
+    from flowbook.streaming.features import read_market_stream, start_parquet_sink, stream_features
     src = scratch_path(spark, "market-events-src")
     batch = V.market_events(spark, sf)
     batch.write.mode("overwrite").parquet(src)
     stream = read_market_stream(spark, src, batch.schema, max_files_per_trigger=1)
     feats = stream_features(stream, "a").select("row_id", *[r6(c).alias(c) for c in FEATURES_A])
     out = scratch_path(spark, "market-features")
-    q = (feats.writeStream.format("parquet").option("path", out)
-         .option("checkpointLocation", scratch_path(spark, "stream-ckpt")).trigger(availableNow=True).start())
-    q.awaitTermination()
+    start_parquet_sink(feats, out, scratch_path(spark, "stream-ckpt")).awaitTermination()
     return spark.read.schema(feats.schema).parquet(out)
 
 

@@ -93,9 +93,34 @@ def _embedding_width(emb: DataFrame) -> int:
 
 
 def market_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``market_events`` joined with ``signals`` on ``row_id`` (both sides
-    keyed by a unique id, so the equi-join is one-to-one)."""
-    return market_events(spark, sf_dir).join(signals(spark, sf_dir), "row_id", "inner")
+    """Every market event with one of the ``signals``: vector ``row_id mod n`` of
+    the n vectors, whose ids run from 0 (an equi-join, one vector to many events)."""
+    vectors = signals(spark, sf_dir)
+    return _with_vectors(market_events(spark, sf_dir), vectors, vectors.count())
+
+
+def _with_vectors(events: DataFrame, vectors: DataFrame, n: int) -> DataFrame:
+    keyed = vectors.withColumnRenamed("row_id", "_vec")
+    return events.withColumn("_vec", F.col("row_id") % F.lit(max(n, 1))).join(keyed, "_vec").drop("_vec")
+
+
+#: Signals of the boosted-tree flow's tables.
+ALL_SIGNALS = 171
+
+
+def market_all_signals(spark: SparkSession, sf_dir: str, width: int = ALL_SIGNALS) -> DataFrame:
+    """``market_signals`` with ``width`` signals: the vector's elements, then
+    products of each with the one 1, 2, ... places on."""
+    vectors = signals(spark, sf_dir)
+    own = len(vectors.schema["x"].metadata["names"])
+    x = F.col("x")
+
+    def product(i: Column) -> Column:
+        return F.get(x, i % own) * F.get(x, (i + (i / own).cast("int")) % own)
+
+    more = F.transform(F.sequence(F.lit(own), F.lit(width - 1)), product)
+    longer = with_names(F.concat(x, more) if width > own else F.slice(x, 1, width), "x", [f"X{i + 1}" for i in range(width)])
+    return _with_vectors(market_events(spark, sf_dir), vectors.select("row_id", longer), vectors.count())
 
 
 def dirty(df: DataFrame, cols: list[str], id_col: str = "row_id") -> DataFrame:

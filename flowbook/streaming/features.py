@@ -18,6 +18,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from flowbook.operators.features_a import add_features_a
 from flowbook.operators.features_b import add_features_b
+from flowbook.operators.rowstats import add_log_interactions, add_row_stats
 
 
 def read_market_stream(spark: SparkSession, path: str, schema: T.StructType,
@@ -36,6 +37,10 @@ def stream_features(stream: DataFrame, feature_set: str = "a", **kw) -> DataFram
         return add_features_a(stream, plus=True, **kw)
     if feature_set == "b":
         return add_features_b(stream, **kw)
+    if feature_set == "row_stats":
+        return add_row_stats(stream, **kw)
+    if feature_set == "interactions":
+        return add_log_interactions(stream, **kw)
     raise ValueError(feature_set)
 
 
