@@ -51,12 +51,12 @@ BLOCK = 1 << 20
 FIXED_DATE = "2000-01-01T00:00:00Z"
 
 
-def _digest(payload: Column) -> Column:
-    """Bare upper-case base32 SHA-1, from the 40 hex digits: 5 bits a letter."""
-    letters = F.array(*[F.lit(c) for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"])
-    bits = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(36), F.lit(5)), lambda i: F.lpad(F.conv(F.substring(F.sha1(payload), i, F.lit(5)), 16, 2), 20, "0")), "")
-    five = F.transform(F.sequence(F.lit(1), F.lit(156), F.lit(5)), lambda i: F.get(letters, F.conv(F.substring(bits, i, F.lit(5)), 2, 10).cast("int")))
-    return F.array_join(five, "")
+def _digest(sha1: Column) -> Column:
+    """Bare upper-case base32 SHA-1 from its 40 hex digits: eight numbers of 20
+    bits, four letters each."""
+    letters = F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
+    numbers = [F.conv(F.substring(sha1, 5 * i + 1, 5), 16, 10).cast("int") for i in range(8)]
+    return F.concat(*[F.substring(letters, F.shiftright(n, at).bitwiseAND(F.lit(31)) + 1, F.lit(1)) for n in numbers for at in (15, 10, 5, 0)])
 
 
 def write(pages: DataFrame, path: str, least: int = LEAST) -> None:
@@ -78,7 +78,7 @@ def write(pages: DataFrame, path: str, least: int = LEAST) -> None:
         F.lit(MAGIC + "WARC-Type: "), F.when(revisit, "revisit").otherwise("response"),
         F.lit("\r\nWARC-Record-ID: "), name(F.col("page_id")),
         F.lit(f"\r\nWARC-Date: {FIXED_DATE}\r\nWARC-Target-URI: "), F.regexp_replace("url", "[\r\n]", "%0A"),
-        F.lit("\r\nWARC-Payload-Digest: sha1:"), _digest(F.col("payload")),
+        F.lit("\r\nWARC-Payload-Digest: sha1:"), _digest(F.col("digest")),
         F.when(revisit, F.concat(F.lit("\r\nWARC-Refers-To: "), name(F.col("keeper")), F.lit("\r\nWARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))).otherwise(""),
         F.lit("\r\nX-Payload-Bytes: "), F.col("bytes").cast("string"),
         F.lit("\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.when(revisit, F.lit("0")).otherwise(F.col("bytes").cast("string")),
@@ -212,7 +212,7 @@ def read(spark: SparkSession, path: str, payloads: bool = False) -> DataFrame:
     out = rows.select(
         F.when(number != "", number).cast("long").alias("page_id"),
         F.when(response, F.col("length")).otherwise(F.col("stated_bytes")).alias("payload_bytes"),
-        F.when(~response, F.col("stated")).when(F.col("sha1").isNull(), F.col("digest")).otherwise(_digest(F.col("payload"))).alias("payload_digest"),
+        F.when(~response, F.col("stated")).when(F.col("sha1").isNull(), F.col("digest")).otherwise(_digest(F.col("sha1"))).alias("payload_digest"),
         F.col("type").alias("record_type"),
         F.when(refers != "", refers).cast("long").alias("refers_to"),
         "payload",
