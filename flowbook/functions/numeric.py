@@ -23,15 +23,6 @@ def div(a: Column, b: Column) -> Column:
     return F.try_divide(a, b)
 
 
-def is_finite(c: str | Column) -> Column:
-    """True for finite values; False for NULL, NaN, +inf and -inf.
-
-    Spark orders NaN above +inf, so ``abs(c) < inf`` rejects NaN too and
-    the NULL comparison is folded to False by ``coalesce``.
-    """
-    return F.coalesce(F.abs(col(c)) < F.lit(INF), F.lit(False))
-
-
 def finite_or_zero(c: str | Column) -> Column:
     """Sanitise: NULL, NaN, +inf, -inf -> 0.0 (operator C8)."""
     c = col(c)

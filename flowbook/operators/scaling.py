@@ -1,7 +1,7 @@
 """Scalers (G1-G5).
 
-Fitting is one global aggregate whose result (two numbers per column) is
-bounded by the table width; applying is one projection with the statistics
+Fitting is one pass whose result (two numbers per column) is bounded by the
+table width; applying is one projection with the statistics
 as literals, so scaling never shuffles.  The standard scaler divides by the
 *population* standard deviation, with zero variance mapped to scale 1 (the
 ``pyspark.ml`` scaler uses the sample std, hence this operator).
@@ -16,7 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowbook.operators.clean import numeric_columns, profile
-from flowbook.operators.ordering import kth_values, kth_values_multi
+from flowbook.operators.moments import moments
+from flowbook.operators.ordering import kth_values_multi
 
 
 def _nonzero(scale: float | None) -> float:
@@ -26,10 +27,6 @@ def _nonzero(scale: float | None) -> float:
     return float(scale)
 
 
-def _present(x: Column) -> Column:
-    return F.when(~F.isnan(x), x)
-
-
 @dataclass
 class ScalerModel:
     """Per-column (center, scale); ``transform`` = (x - center) / scale."""
@@ -60,17 +57,11 @@ def _cols(df: DataFrame, cols: Iterable[str] | None) -> list[str]:
 
 def standard_fit(df: DataFrame, cols: Iterable[str] | None = None) -> ScalerModel:
     """G1: mean and population std of each column (NULL and NaN left out), one
-    aggregate pass."""
-    cols = _cols(df, cols)
-    aggs = []
-    for i, c in enumerate(cols):
-        x = _present(F.col(c).cast("double"))
-        aggs += [F.avg(x).alias(f"m{i}"), F.stddev_pop(x).alias(f"s{i}")]
-    row = df.agg(*aggs).first() if aggs else None
+    pass whatever the number of columns."""
     m = ScalerModel()
-    for i, c in enumerate(cols):
-        m.center[c] = float(row[f"m{i}"]) if row[f"m{i}"] is not None else 0.0
-        m.scale[c] = _nonzero(row[f"s{i}"])
+    for r in moments(df, _cols(df, cols)).collect():
+        m.center[r["column"]] = float(r["mean"]) if r["mean"] is not None else 0.0
+        m.scale[r["column"]] = _nonzero(None if r["variance"] is None else r["variance"] ** 0.5)
     return m
 
 
@@ -86,27 +77,6 @@ def minmax_fit(df: DataFrame, cols: Iterable[str] | None = None) -> ScalerModel:
     return m
 
 
-def exact_quantiles(df: DataFrame, c: str, qs: list[float], n: int | None = None) -> list[float | None]:
-    """Linear-interpolated quantiles, exact and distributed (all ranks of all
-    ``qs`` resolved together by ``kth_values``)."""
-    col = F.col(c)
-    if n is None:
-        n = df.where(col.isNotNull() & ~F.isnan(col.cast("double"))).count()
-    if n == 0:
-        return [None for _ in qs]
-    spots = []
-    for q in qs:
-        h = (n - 1) * q
-        lo_i = int(h // 1)
-        spots.append((h, lo_i, min(lo_i + 1, n - 1)))
-    vals = kth_values(df, c, sorted({i for _, a, b in spots for i in (a, b)}), n=n)
-    return [vals[a] + (vals[b] - vals[a]) * (h - a) for h, a, b in spots]
-
-
-def exact_quantile(df: DataFrame, c: str, q: float, n: int | None = None) -> float | None:
-    return exact_quantiles(df, c, [q], n)[0]
-
-
 def robust_fit(df: DataFrame, cols: Iterable[str] | None = None,
                quantile_range: tuple[float, float] = (25.0, 75.0)) -> ScalerModel:
     """(x - median) / IQR with exact quantiles of every column resolved

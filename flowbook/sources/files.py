@@ -17,8 +17,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from flowbook.functions.numeric import nan_to_null
 from flowbook.operators.metrics import pearson
 
+CRLF = "\r\n"
 TEMPLATE_SCHEMA = T.StructType([
     T.StructField("ID", T.LongType(), True),
     T.StructField("prediction", T.DoubleType(), True),
@@ -32,16 +34,17 @@ class MarketTables:
 
 
 def parquet_load(spark: SparkSession, train_path: str, valid_path: str,
-                 columns: Iterable[str] | None = None) -> MarketTables:
+                 columns: Iterable[str] | None = None, nan_as_null: bool = True) -> MarketTables:
     """Read the labelled and unlabelled tables; with ``columns`` the scan
-    reads only those columns (missing ones are an error)."""
-    train = spark.read.parquet(train_path)
-    valid = spark.read.parquet(valid_path)
+    reads only those columns (missing ones are an error).  NaN becomes NULL, the
+    engine's only missing value; without ``nan_as_null`` filters reach the scan."""
+    tables = [spark.read.parquet(p) for p in (train_path, valid_path)]
     if columns is not None:
         cols = list(columns)
-        train = train.select(*cols)
-        valid = valid.select(*cols)
-    return MarketTables(train, valid)
+        tables = [t.select(*cols) for t in tables]
+    if nan_as_null:
+        tables = [t.select(*[nan_to_null(f.name).alias(f.name) if isinstance(f.dataType, T.FloatType | T.DoubleType) else F.col(f.name) for f in t.schema.fields]) for t in tables]
+    return MarketTables(*tables)
 
 
 def read_template(spark: SparkSession, path: str, schema: T.StructType = TEMPLATE_SCHEMA) -> DataFrame:
@@ -51,12 +54,27 @@ def read_template(spark: SparkSession, path: str, schema: T.StructType = TEMPLAT
 
 
 def write_predictions(df: DataFrame, path: str, single_file: bool = False, mode: str = "overwrite") -> str:
-    """S3: write (ID, prediction) as CSV with a header.  ``single_file``
-    coalesces to one part file (bounded outputs only)."""
+    """S3: write (ID, prediction) as CSV with a header and CR LF line ends: a
+    folder of part files, or with ``single_file`` one file of that name, written
+    by one task in the order of ID (bounded outputs only)."""
     out = df.select("ID", "prediction")
-    if single_file:
-        out = out.coalesce(1).sortWithinPartitions("ID")
-    out.write.mode(mode).option("header", True).csv(path)
+    if not single_file:
+        out.write.mode(mode).option("header", True).option("lineSep", CRLF).csv(path)
+        return path
+    spark = df.sparkSession
+    folder = f"{path}.parts"
+    out.coalesce(1).sortWithinPartitions("ID").write.mode("overwrite").option("header", True).option("lineSep", CRLF).csv(folder)
+    # Renamed through Hadoop's file system, so that any store Spark writes to will do.
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    target, parts = hadoop.Path(path), hadoop.Path(folder)
+    store = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    written = [s.getPath() for s in store.listStatus(parts) if s.getPath().getName().startswith("part-")]
+    if store.exists(target):
+        if mode != "overwrite":
+            raise FileExistsError(path)
+        store.delete(target, True)
+    store.rename(written[0], target)
+    store.delete(parts, True)
     return path
 
 
