@@ -32,6 +32,7 @@ comes last.  An empty table gives no rows.  Other columns are kept.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import md5
 
 import pandas as pd
 import pyarrow as pa
@@ -40,11 +41,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from flowbook.llm.common import SPACES, keep, ship, table, text_md5
+from flowbook.llm.common import keep, ship, table, text_md5
 
 ship(__name__)
 
-MIN_WORDS = 50
+MIN_WORDS = 1
 P = "__lines_"
 
 
@@ -53,11 +54,21 @@ def fragments(docs: DataFrame, min_words: int) -> DataFrame:
     number), line (md5), before (line before it in the fragment), at (place in
     the fragment), rest (lines from here on), upto (words from the fragment's
     beginning to this line's end)."""
-    words = F.size(F.array_remove(F.split(F.regexp_replace("line", f"[{SPACES}]", " "), " "), ""))
-    key = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_md5().alias("md5"), F.coalesce("text", F.lit("")).alias("text"))
-    lines = key.select("doc_id", "md5", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    lines = lines.select(F.col("doc_id").isNull().alias("none"), "doc_id", "md5", "pos", F.md5("line").alias("line"), words.alias("words"))
-    lines = keep(lines.groupBy("none", "doc_id", "md5", "pos").agg(F.first("line").alias("line"), F.first("words").alias("words")), "lines-all")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for text in batch["text"]:
+                own = (text.as_py() or "").encode().split(b"\n")
+                found.append([{"line": md5(x).digest(), "words": len(x.split())} for x in own])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["md5"], pa.array(found, line_type)], ["doc_id", "md5", "lines"])
+
+    line_type = pa.list_(pa.struct([("line", pa.binary()), ("words", pa.int32())]))
+    key = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_md5().alias("md5"), "text")
+    each = key.mapInArrow(run, "doc_id long, md5 string, lines array<struct<line:binary,words:int>>")
+    # Rows equal in doc_id and text are one document: told apart by narrow rows.
+    whole = each.groupBy("doc_id", "md5").agg(F.first("lines").alias("lines"))
+    lines = whole.select("doc_id", "md5", F.posexplode("lines").alias("pos", "l"))
+    lines = keep(lines.select(F.col("doc_id").isNull().alias("none"), "doc_id", "md5", "pos", "l.line", "l.words"), "lines-all")
     many = keep(lines.groupBy("line").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("line").alias("l")), "lines-many")
     repeated = lines.join(many, F.col("line") == F.col("l")).drop("l")
     doc = W.partitionBy("none", "doc_id", "md5").orderBy("pos")
@@ -66,7 +77,7 @@ def fragments(docs: DataFrame, min_words: int) -> DataFrame:
     inside = whole.orderBy("pos")
     cut = cut.select(
         "none", "doc_id", "md5", "pos", "line",
-        F.coalesce(F.lag("line").over(inside), F.lit("")).alias("before"),
+        F.coalesce(F.lag("line").over(inside), F.lit(b"")).alias("before"),
         (F.row_number().over(inside) - 1).cast("long").alias("at"),
         F.count(F.lit(1)).over(whole).alias("lines"),
         F.sum("words").over(inside).cast("long").alias("upto"),
@@ -167,7 +178,7 @@ def common_prefixes(text: DataFrame, first: DataFrame, array: DataFrame) -> Data
     a, b = side("a"), side("b")
     pairs = array.select("s", "prev").join(a, F.col("s") == F.col("a_s")).join(b, F.col("prev") == F.col("b_s"), "left")
     same_first = F.coalesce(F.col("a_line") == F.col("b_line"), F.lit(False))
-    follows = same_first & (F.col("a_before") != "") & (F.col("a_before") == F.col("b_before"))
+    follows = same_first & (F.length("a_before") > 0) & (F.col("a_before") == F.col("b_before"))
     pairs = keep(pairs.select("s", "a_fid", "a_at", "b_fid", "b_at", same_first.alias("same"), follows.alias("follows")), "lines-pairs")
     compared = pairs.where("same and not follows")
     compared = compared.join(whole.select(F.col("fid").alias("a_fid"), F.col("lines").alias("a_lines")), "a_fid")
