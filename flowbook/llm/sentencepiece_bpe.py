@@ -54,7 +54,12 @@ ship(__name__)
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 MARK = "▁"
 SLICE = 1 << 20
-REMEMBERED = 1 << 19
+REMEMBERED = 1 << 18
+#: Rows that a task works on at once.
+ROWS = 1024
+#: Slots of the table of merges for each of them, at least, and its hash.
+SPARE = 8
+MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Symbols are piece ids, or SYMBOLS' upper part: ``size`` + code point.
 SHIFT = np.int64(21)
 NONE = np.iinfo(np.int32).max
@@ -70,7 +75,7 @@ class Tables(NamedTuple):
     bytes_from: np.ndarray  # id of each byte's piece
     chars: np.ndarray  # code points that are pieces, and their ids
     char_ids: np.ndarray
-    keys: np.ndarray  # left << SHIFT | right, ascending
+    keys: np.ndarray  # left << SHIFT | right
     made: np.ndarray  # the piece made, and the rank of its score
     ranks: np.ndarray
     joined: str  # characters of longer pieces, but the space mark
@@ -135,13 +140,35 @@ class Encoder:
         joined = "".join(map(re.escape, t.joined))
         self.words = re.compile(f"{MARK}+[{joined}]*|[{joined}]+|[^{MARK}{joined}]" if joined else f"{MARK}+|[^{MARK}]", re.DOTALL)
         self.known: dict[str, bytes] = {}
+        # Merges in a hash table with linear probing; slot 0 of the values means none.
+        self.bits = max(4, (SPARE * len(t.keys) - 1).bit_length())
+        self.slots, self.entry = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.int32)
+        self.made, self.ranks = np.append(np.int32(0), t.made), np.append(np.int32(NONE), t.ranks)
+        waiting, step = np.arange(len(t.keys)), 0
+        while len(waiting):
+            slot = self.slot(t.keys[waiting], step)
+            slot, first = np.unique(slot, return_index=True)
+            free = self.slots[slot] < 0
+            self.slots[slot[free]], self.entry[slot[free]] = t.keys[waiting[first[free]]], waiting[first[free]] + 1
+            waiting, step = np.delete(waiting, first[free]), step + 1
+
+    def slot(self, key: np.ndarray, step: int) -> np.ndarray:
+        return ((key.astype(np.uint64) * MIX >> np.uint64(64 - self.bits)).astype(np.int64) + step) & ((1 << self.bits) - 1)
 
     def look(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The piece that each pair makes and its rank; ``NONE`` where none."""
         key = left << SHIFT | right
-        at = np.minimum(np.searchsorted(self.t.keys, key), len(self.t.keys) - 1)
-        found = self.t.keys[at] == key
-        return np.where(found, self.t.made[at], 0), np.where(found, self.t.ranks[at], NONE)
+        at = self.slot(key, 0)
+        there = self.slots[at]
+        found = np.where(there == key, self.entry[at], 0)
+        open_, step = np.flatnonzero((there != key) & (there >= 0)), 1
+        while len(open_):
+            at = self.slot(key[open_], step)
+            there = self.slots[at]
+            hit = there == key[open_]
+            found[open_[hit]] = self.entry[at[hit]]
+            open_, step = open_[~hit & (there >= 0)], step + 1
+        return self.made[found], self.ranks[found]
 
     def one_by_one(self, symbols: list[int]) -> list[int]:
         """A word finished by single merges, the best and leftmost first."""
@@ -309,6 +336,10 @@ def _lenient(data: bytes) -> str:
     return data.decode("utf-8", "each-byte")
 
 
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return (batch.slice(at, ROWS) for batch in batches for at in range(0, batch.num_rows, ROWS))
+
+
 def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
     """doc_id, n_tokens, ids (little-endian unsigned 32-bit integers, the begin
     and end ids included); one row per row."""
@@ -316,7 +347,7 @@ def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(tables)
-        for batch in batches:
+        for batch in _cut(batches):
             ids = encoder([t.as_py() or "" for t in batch["text"]])
             yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"], "n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64()), "ids": pa.array(ids, pa.binary())})
 
@@ -328,7 +359,7 @@ def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
     tables = load(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _cut(batches):
             texts = [decoded(tables, np.frombuffer(x.as_py(), "<u4").astype(np.int64)) for x in batch["ids"]]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "text"])
 
