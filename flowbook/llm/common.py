@@ -37,3 +37,14 @@ def text_md5(text: str | Column = "text") -> Column:
     """md5 of the text, null as the empty text: with doc_id, the identity of a
     document when ids repeat."""
     return F.md5(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")))
+
+
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Column names like the wanted ones that ``df`` does not have."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out

@@ -3,19 +3,25 @@
 Fingerprints are 64 bits over word shingles.  Two fingerprints within
 ``max_bits`` = 2 bits share at least 6 of their 8 positional bytes: that is
 the guaranteed minimum of the count filter.  Postings of single bytes would
-hold 1/256 of the corpus each, so the index intersects postings four
-positions at a time: the 8 positions form 4 blocks of two bytes, at most two
-blocks differ, and so every linked pair meets in at least one of the 6 posting
-keys made of two whole blocks (32 bits).  No pair is lost.
-
-* Postings of up to ``PAIR_LIMIT`` fingerprints are paired, the shared
-  positional bytes of each pair are tallied, pairs under the minimum are
-  dropped, and the Hamming distance verifies the rest.
-* Longer postings (a large group of near copies) are never paired.  Two
-  fingerprints of one posting are within two bits exactly if they share a
-  *midpoint*, a value at most one bit from both.  Each fingerprint is listed
-  under its 33 midpoints, and a midpoint links its members to the smallest of
-  them: the same components from a linear number of rows.
+hold 1/256 of the corpus each, so the index intersects the postings of four
+positions at a time: a posting is a set of four positions and their bytes.  The
+14 sets are chosen so that any three positions lie together in exactly one of
+them (the Steiner system S(3, 4, 8)).  How many postings a pair shares then
+tells how many positional bytes it shares:
+
+    bytes shared      8    7    6    5    4    fewer
+    postings shared  14    7    3    1    0-1    0
+
+* The postings shared by each pair are tallied, and pairs with fewer than 3 are
+  dropped: they share fewer than 6 bytes.  The Hamming distance verifies the
+  rest.
+* A posting of more than ``PAIR_LIMIT`` fingerprints (a large group of near
+  copies) is never paired.  Two fingerprints are within two bits exactly if they
+  share a *midpoint*, a value at most one bit from both.  Each fingerprint of
+  such postings is listed under its 65 midpoints, and a midpoint links its
+  members to the smallest of them: the same components from a linear number of
+  rows.  A near pair that shares such a posting is linked there; one that
+  shares none has all its postings in the tally.
 
 Defined results: null text is an empty text; a text without words has
 fingerprint zero and links like any other; repeated rows and repeated doc_ids
@@ -29,6 +35,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import reduce
 from itertools import combinations, repeat
+from operator import xor
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +43,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowbook.llm.common import keep, ship, table, text_md5
+from flowbook.llm.common import free_names, keep, ship, table, text_md5
 
 ship(__name__)
 
@@ -84,26 +91,29 @@ def fingerprints(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, md5 string, fp long")
 
 
-def _block(fp: Column, i: int) -> Column:
-    return F.shiftrightunsigned(fp, 48 - 16 * i).bitwiseAND(F.lit(0xFFFF))
+#: Postings that a pair sharing 6 of 8 bytes has in common.
+LEAST_SHARED = 3
 
 
-def _shared_bytes(a: Column, b: Column) -> Column:
-    """How many of the 8 positional bytes are equal."""
-    x = a.bitwiseXOR(b)
-    same = [F.when(F.shiftrightunsigned(x, 8 * p).bitwiseAND(F.lit(0xFF)) == 0, 1).otherwise(0) for p in range(8)]
-    return reduce(Column.__add__, same)
+def position_sets() -> list[tuple[int, ...]]:
+    """Sets of four of the 8 positions, any three positions in one set alone:
+    numbers of 3 bits whose exclusive or is zero."""
+    return [c for c in combinations(range(8), 4) if reduce(xor, c) == 0]
+
+
+def _byte(fp: Column, position: int) -> Column:
+    return F.shiftrightunsigned(fp, 56 - 8 * position).bitwiseAND(F.lit(0xFF))
 
 
 def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """Links (a, b), a < b, between *distinct* fingerprints ``fps(fp)``; their
     transitive closure is that of all pairs within ``max_bits`` bits."""
     if max_bits != 2:
-        raise ValueError("the posting keys are laid out for two differing bits")
-    pairs = list(combinations(range(4), 2))
+        raise ValueError("the tally is laid out for two differing bits")
+    sets = position_sets()
     keys = [
-        F.struct(F.lit(k).alias("k"), (F.shiftleft(_block(F.col("fp"), i), 16) + _block(F.col("fp"), j)).alias("v"))
-        for k, (i, j) in enumerate(pairs)
+        F.struct(F.lit(k).alias("k"), reduce(Column.__add__, [F.shiftleft(_byte(F.col("fp"), p), 24 - 8 * i) for i, p in enumerate(s)]).alias("v"))
+        for k, s in enumerate(sets)
     ]
     postings = fps.select("fp", F.explode(F.array(*keys)).alias("key")).select("fp", "key.k", "key.v")
     lengths = postings.groupBy("k", "v").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -111,14 +121,12 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
 
     short = listed.where(F.col("n") <= PAIR_LIMIT)
     a, b = short.select("k", "v", F.col("fp").alias("a")), short.select("k", "v", F.col("fp").alias("b"))
-    tallied = a.join(b, ["k", "v"]).where("a < b").withColumn("shared", _shared_bytes(F.col("a"), F.col("b")))
-    near = tallied.where(F.col("shared") >= 8 - max_bits).select("a", "b")
-
-    # Bits outside the posting's two blocks, by posting kind.
-    free = [[48 - 16 * i + bit for i in range(4) if i not in pair for bit in range(16)] for pair in pairs]
-    flips = F.element_at(F.array(*[F.array(*[F.lit(1 << s if s < 63 else -(1 << 63)) for s in row]) for row in free]), F.col("k") + 1)
-    long_ = listed.where(F.col("n") > PAIR_LIMIT)
-    middles = long_.select("fp", F.explode(F.concat(F.array(F.col("fp")), F.transform(flips, lambda x: F.col("fp").bitwiseXOR(x)))).alias("mid"))
+    tallied = a.join(b, ["k", "v"]).where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
+    near = tallied.where(F.col("shared") >= LEAST_SHARED).select("a", "b")
+
+    flips = F.array(*[F.lit(1 << s if s < 63 else -(1 << 63)) for s in range(64)])
+    crowded = listed.where(F.col("n") > PAIR_LIMIT).select("fp").distinct()
+    middles = crowded.select("fp", F.explode(F.concat(F.array(F.col("fp")), F.transform(flips, lambda x: F.col("fp").bitwiseXOR(x)))).alias("mid"))
     centres = middles.groupBy("mid").agg(F.min("fp").alias("a"), F.max("fp").alias("top")).where("a < top").select("mid", "a")
     starred = middles.join(centres, "mid").where("a < fp").select("a", F.col("fp").alias("b"))
 
@@ -177,10 +185,11 @@ def keep_one(docs: DataFrame, width: int = SHINGLE, max_bits: int = MAX_BITS) ->
     """``docs`` with one document of each near-duplicate group: that with the
     smallest doc_id; of repeated rows of that document, one."""
     prints = keep(fingerprints(docs, width), "simhash-prints")
-    kept = groups(prints, max_bits).select(F.col("component_id").alias("__id"), F.col("md5").alias("__md5")).distinct()
-    tagged = docs.withColumn("__md5", text_md5())
-    hit = tagged.join(kept.withColumnRenamed("__md5", "__kept"), tagged["doc_id"].cast("long").eqNullSafe(F.col("__id")) & (F.col("__md5") == F.col("__kept")))
-    return hit.dropDuplicates(["doc_id", "__md5"]).select(*[hit[c] for c in docs.columns])
+    own, first, digest = free_names(docs, "__md5", "__id", "__kept")
+    kept = groups(prints, max_bits).select(F.col("component_id").alias(first), F.col("md5").alias(digest)).distinct()
+    tagged = docs.withColumn(own, text_md5())
+    hit = tagged.join(kept, tagged["doc_id"].cast("long").eqNullSafe(F.col(first)) & (F.col(own) == F.col(digest)))
+    return hit.dropDuplicates(["doc_id", own]).select(*[hit[c] for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
