@@ -1,14 +1,18 @@
 """K-d tree sharding by bytes, in DataFrame functions alone.
 
-Documents are points in metadata space (size, text, source, language).  A node
+Groups of equal texts are points in metadata space (size, text, source,
+language; of a group whose copies differ in source or language, the smallest
+name).  A node
 that must become k shards is split along its widest dimension, relative to
 that dimension's range over all documents, at the weighted quantile that gives
 k // 2 shards' share of the bytes to the left.  A node of one shard is a leaf,
 which then holds the target bytes (total / shards) up to one document.
 
 Every coordinate is a key of 63 bits: 32 of the dimension, 31 of a hash of the
-row.  So equal values (a source, or a group of copies, with a third of the
-rows) can be split too.  The quantile is found by distributed counting: the
+text.  So equal values (a source with a third of the rows) can be split too,
+and equal texts stay together: their rows have the same keys.  Only a group of
+more than ``GROUP_SHARE`` of a leaf's bytes is hashed by row instead and may be
+split, as leaves of near equal bytes need.  The quantile is found by distributed counting: the
 node's key range is cut into ``BINS`` bins, their bytes are summed, and the bin
 that holds the quantile is cut again, until its bytes are below ``TOLERANCE``
 of a shard.  Per pass at most one row per node reaches the driver, and all
@@ -39,6 +43,8 @@ TOLERANCE = 1e-3
 PART_ROWS = 20_000
 LOW_BITS = 31
 AXES = 4
+#: Of a leaf's bytes: groups of equal texts up to this size are never split.
+GROUP_SHARE = 0.25
 
 
 @dataclass
@@ -55,7 +61,7 @@ class Node:
     target: float = 0.0
 
 
-def metadata(docs: DataFrame) -> DataFrame:
+def metadata(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """doc_id, size, text_crc32, row (a stable number) and the keys k0..k3."""
     text = F.coalesce(F.col("text"), F.lit(""))
     size = (F.octet_length(text) + OVERHEAD).cast("long")
@@ -63,14 +69,21 @@ def metadata(docs: DataFrame) -> DataFrame:
     def named(c: str) -> Column:
         return F.crc32(F.coalesce(F.col(c).cast("string"), F.lit("")))
 
-    dims = [F.floor(F.log2(size.cast("double")) * (1 << 26)), F.crc32(text), named("source"), named("lang")]
     rows = docs.select(
         "doc_id", size.alias("size"), F.crc32(text).alias("text_crc32"), F.monotonically_increasing_id().alias("row"),
-        *[d.cast("long").alias(f"d{i}") for i, d in enumerate(dims)],
+        F.md5(text).alias("md5"), named("source").alias("source"), named("lang").alias("lang"),
     )
-    tie = F.shiftrightunsigned(F.xxhash64("row", "text_crc32"), 64 - LOW_BITS)
-    keys = [(F.shiftleft(F.col(f"d{i}"), LOW_BITS) + tie).alias(f"k{i}") for i in range(len(dims))]
-    return keep(rows.select("doc_id", "size", "text_crc32", "row", *keys), "shard-metadata")
+    rows = keep(rows, "shard-rows")
+    # Written, so that the join below has two plain exchanges and can split a text that many rows share.
+    groups = rows.groupBy(F.col("md5").alias("g_md5")).agg(F.sum("size").alias("bytes"), F.min("source").alias("g_source"), F.min("lang").alias("g_lang"), F.count(F.lit(1)).alias("n"))
+    groups = keep(groups.where("n > 1").drop("n"), "shard-groups")
+    largest = GROUP_SHARE * (rows.agg(F.sum("size")).first()[0] or 0) / shards
+    joined = rows.join(groups, F.col("md5") == F.col("g_md5"), "left")
+    dims = [F.floor(F.log2(F.col("size").cast("double")) * (1 << 26)), F.col("text_crc32"), F.coalesce("g_source", "source"), F.coalesce("g_lang", "lang")]
+    hashed = F.when(F.col("bytes") > largest, F.xxhash64("row", "md5")).otherwise(F.xxhash64("md5"))
+    tie = F.shiftrightunsigned(hashed, 64 - LOW_BITS)
+    keys = [(F.shiftleft(d.cast("long"), LOW_BITS) + tie).alias(f"k{i}") for i, d in enumerate(dims)]
+    return keep(joined.select("doc_id", "size", "text_crc32", "row", *keys), "shard-metadata")
 
 
 def _by_node(values: dict[int, int | float], kind: str) -> Column:
@@ -150,7 +163,7 @@ def build(meta: DataFrame, shards: int = SHARDS, axes: int = AXES) -> tuple[Data
 
 def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """doc_id, size, text_crc32, shard, slot; one row per row of ``docs``."""
-    meta = metadata(docs)
+    meta = metadata(docs, shards)
     placed, leaves = build(meta, shards)
     placed = placed.withColumn("shard", _by_node(leaves, "int"))
     parts = max(8, -(-meta.count() // (shards * PART_ROWS)))
