@@ -42,16 +42,17 @@ def assemble(df: DataFrame, features: Features, out: str = "features") -> DataFr
 
 # ---------------------------------------------------------------- estimators
 def selection_gbt(label: str = "label", features: str = "features", seed: int = 37,
-                  max_iter: int = 100, max_depth: int = 6, memory_mb: int = TREE_MEMORY_MB) -> GBTRegressor:
+                  max_iter: int = 100, max_depth: int = 6, row_share: float = 0.8, feature_share: str = "0.8",
+                  memory_mb: int = TREE_MEMORY_MB) -> GBTRegressor:
     """Selection model: 100 trees, depth 6, rate 0.1, row/column sample 0.8."""
     return GBTRegressor(labelCol=label, featuresCol=features, maxIter=max_iter, maxDepth=max_depth,
-                        stepSize=0.1, subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=seed,
+                        stepSize=0.1, subsamplingRate=row_share, featureSubsetStrategy=feature_share, seed=seed,
                         maxMemoryInMB=memory_mb)
 
 
 def final_gbt(label: str = "label", features: str = "features", weight: str | None = "weight",
-              seed: int = 37, max_iter: int = 1667, max_depth: int = 20,
-              memory_mb: int = TREE_MEMORY_MB) -> GBTRegressor:
+              seed: int = 37, max_iter: int = 1667, max_depth: int = 20, row_share: float = 0.3,
+              feature_share: str = "0.3628", memory_mb: int = TREE_MEMORY_MB) -> GBTRegressor:
     """L1: the reference's final boosted-tree configuration mapped onto
     GBTRegressor (rate 0.02213, row sample 0.3, node column sample 0.3628,
     min child weight 16).  L1/L2 penalties, leaf caps and per-tree/level column
@@ -60,7 +61,7 @@ def final_gbt(label: str = "label", features: str = "features", weight: str | No
     if max_depth > 30:
         raise ValueError("GBTRegressor grows trees of at most depth 30")
     kw = dict(labelCol=label, featuresCol=features, maxIter=max_iter, maxDepth=max_depth,
-              stepSize=0.02213, subsamplingRate=0.3, featureSubsetStrategy="0.3628",
+              stepSize=0.02213, subsamplingRate=row_share, featureSubsetStrategy=feature_share,
               minInstancesPerNode=16, seed=seed, maxBins=64, checkpointInterval=10,
               maxMemoryInMB=memory_mb)
     if weight:

@@ -464,3 +464,43 @@ def network_sql(source: str, keys: str) -> str:
 
 SQL["batch_scoring"] = f"{O.with_views(O.MARKET_LINEITEM)},\n{network_sql('market_lineitem', 'l_returnflag')}"
 SQL["stream_scoring"] = f"{ME},\n{network_sql('market_events', 'row_id')}"
+
+
+# ------------------------------------------------------------------ one-split fits
+def stump_sql(rows: str, by: str) -> str:
+    """The best split of feature m, by weighted squared error, for each ``by``
+    group of ``rows`` (by, m, w, y): thr, and the means left and right of it."""
+    return f"""
+v AS (SELECT {by} AS f, m, sum(w) AS w, sum(w * y) AS s FROM {rows} GROUP BY {by}, m),
+c AS (SELECT f, m, sum(w) OVER l AS wl, sum(s) OVER l AS sl, sum(w) OVER a AS wa, sum(s) OVER a AS sa FROM v
+      WINDOW l AS (PARTITION BY f ORDER BY m), a AS (PARTITION BY f)),
+b AS (SELECT f, arg_max(struct_pack(thr := m, lo := sl / wl, hi := (sa - sl) / (wa - wl)), sl * sl / wl + (sa - sl) * (sa - sl) / (wa - wl)) AS t
+      FROM c WHERE m < 6 GROUP BY f)"""
+
+
+_ONE = f"""{ME},
+p AS (SELECT row_id, label AS y, row_id % 7 AS m, {POS} AS pos, count(*) OVER () AS n FROM market_events),
+q AS (SELECT *, {fold_sql('pos', 'n')} AS fold FROM p)"""
+_FOLDS = f"""{_ONE},
+k AS (SELECT unnest(range(5)) AS f),
+o AS (SELECT f, m, y, row_number() OVER (PARTITION BY f ORDER BY pos) - 1 AS tpos, count(*) OVER (PARTITION BY f) AS cnt FROM q, k WHERE fold <> f),
+r AS (SELECT f, m, y, pow(0.95::DOUBLE, 1 - tpos / (cnt - 1)::DOUBLE) AS w FROM o),{stump_sql('r', 'f')}"""
+_PREDICTED = "CASE WHEN q.m <= b.t.thr THEN b.t.lo ELSE b.t.hi END"
+SQL["fold_stumps"] = f"""{_FOLDS}
+SELECT row_id, fold, {O.r6(_PREDICTED)} AS prediction FROM q JOIN b ON b.f = q.fold"""
+SQL["stump_ensemble"] = f"""{_FOLDS}
+SELECT row_id, {O.r6(f"avg({_PREDICTED})")} AS prediction FROM q, b GROUP BY row_id"""
+_WHOLE = f"""{_ONE},
+r AS (SELECT 0 AS f, m, y, 1.0::DOUBLE AS w FROM q),{stump_sql('r', 'f')}"""
+SQL["refit_stump"] = f"""{_WHOLE}
+SELECT row_id, {O.r6(_PREDICTED)} AS prediction FROM q, b"""
+_FIRST = f"""{_ONE},
+r AS (SELECT 0 AS f, m, y, 1.0::DOUBLE AS w FROM q WHERE pos < CAST(floor(n * 0.8) AS BIGINT)),{stump_sql('r', 'f')},
+e AS (SELECT pos < CAST(floor(n * 0.8) AS BIGINT) AS train, y, {_PREDICTED} AS h FROM q, b)"""
+SQL["shap_stump"] = f"""{_FIRST},
+g AS (SELECT avg(h) AS mean FROM e WHERE train),
+i AS (SELECT avg(abs(h - mean)) AS importance FROM e, g WHERE train)
+SELECT 'm7' AS feature, {sig('importance', 6)} AS importance FROM i"""
+SQL["early_stopping_stump"] = f"""{_FIRST}
+SELECT 1::INTEGER AS round, {O.r6('sqrt(avg((y - h) ** 2) FILTER (WHERE train))')} AS train_loss,
+  {O.r6('sqrt(avg((y - h) ** 2) FILTER (WHERE NOT train))')} AS held_out_loss, true AS kept FROM e"""

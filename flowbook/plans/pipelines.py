@@ -65,7 +65,7 @@ class SelectionResult:
 
 def shap_selection(train: DataFrame, features: Features, label: str = "label", k: int = 80,
                    max_iter: int = 100, max_depth: int = 6, keys: list[str] | None = None,
-                   background: DataFrame | None = None) -> SelectionResult:
+                   background: DataFrame | None = None, **estimator) -> SelectionResult:
     """Boosted trees on the training rows, mean |SHAP| per feature,
     top k plus the critical features that exist.  The rows are stored once and
     dealt by ``keys`` for the fit.  With ``background`` rows the attributions
@@ -75,7 +75,7 @@ def shap_selection(train: DataFrame, features: Features, label: str = "label", k
     columns = list(dict.fromkeys([*keys, label, *columns_of_features(features)]))
     rows = stored(train.select(*columns), "selection-rows")
     data = assemble(rows, features)
-    model = selection_gbt(label, max_iter=max_iter, max_depth=max_depth).fit(dealt(data.select(*keys, label, "features"), keys, rows.count()))
+    model = selection_gbt(label, max_iter=max_iter, max_depth=max_depth, **estimator).fit(dealt(data.select(*keys, label, "features"), keys, rows.count()))
     against = None if background is None else assemble(background, features)
     imp = stored(shap_importance(data, model, background=against), "importance")
     top = [r["feature"] for r in top_k(imp, "importance", k, tiebreak="feature").select("feature").collect()]
@@ -93,13 +93,14 @@ class OOFResult:
 def oof_training(df: DataFrame, features: Features, label: str = "label", k: int = 5,
                  order: list[str] | None = None, gbt_iter: int = 1667, gbt_depth: int = 20,
                  forest_trees: int = 50, forest_depth: int = 10, outlier_fraction: float | None = 0.001,
-                 folds: list[int] | None = None, patience: int | None = None) -> OOFResult:
+                 folds: list[int] | None = None, patience: int | None = None, **estimator) -> OOFResult:
     """L7/P2 with W1-W4: contiguous folds in time order, weighted fits, OOF;
-    with ``patience`` early stopping on the held-out fold (L2)."""
+    with ``patience`` early stopping on the held-out fold (L2).  ``estimator``
+    goes to ``final_gbt``."""
     p = O.contiguous_kfold(df, k, order or ["ts", "row_id"])
     res = fold_training(
         p.df, p.n, k,
-        make_estimator=lambda: final_gbt(label, max_iter=gbt_iter, max_depth=gbt_depth),
+        make_estimator=lambda: final_gbt(label, max_iter=gbt_iter, max_depth=gbt_depth, **estimator),
         features=features, label=label, keys=["row_id"],
         make_forest=lambda: quick_forest(label, num_trees=forest_trees, max_depth=forest_depth),
         outlier_fraction=outlier_fraction, folds=folds, patience=patience)
@@ -142,7 +143,7 @@ def ensemble_scores(models: list, df: DataFrame, features: Features) -> DataFram
 
 
 def refit_scaled(train: DataFrame, test: DataFrame, features: list[str], label: str = "label",
-                 gbt_iter: int = 1667, gbt_depth: int = 20, keys: list[str] | None = None) -> DataFrame:
+                 gbt_iter: int = 1667, gbt_depth: int = 20, keys: list[str] | None = None, **estimator) -> DataFrame:
     """P4 + G1/G3: scale features (fit on train) and label, fit on all rows,
     score ``test`` and return predictions in label units.  The scaled rows are
     stored and dealt by ``keys``."""
@@ -152,7 +153,7 @@ def refit_scaled(train: DataFrame, test: DataFrame, features: list[str], label:
     ys = S.standard_fit(train, [label])
     tr = xs.transform(train.select(*features, label, *keys), passthrough=True).withColumn(label, ys.expr(label))
     tr = stored(tr, "refit-rows")
-    model = final_gbt(label, weight=None, max_iter=gbt_iter, max_depth=gbt_depth).fit(dealt(assemble(tr, features), keys, tr.count()))
+    model = final_gbt(label, weight=None, max_iter=gbt_iter, max_depth=gbt_depth, **estimator).fit(dealt(assemble(tr, features), keys, tr.count()))
     te = xs.transform(test, passthrough=True)
     scored = model.transform(assemble(te, features)).drop("features")
     return scored.withColumn("prediction", ys.inverse_expr(F.col("prediction"), label))

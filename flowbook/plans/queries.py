@@ -600,6 +600,54 @@ def q_early_stopping(spark, sf):
     return fit.history.select("round", r6("train_loss").alias("train_loss"), r6("held_out_loss").alias("held_out_loss"), "kept")
 
 
+#: Fits that SQL can repeat: one round, one split, all rows and features.
+STUMP = dict(row_share=1.0, feature_share="all")
+
+
+def _one_split(spark, sf) -> DataFrame:
+    """Market events with a feature of seven values."""
+    return V.market_events(spark, sf).withColumn("m7", (F.col("row_id") % 7).cast("double"))
+
+
+def _stump_folds(spark, sf) -> PL.OOFResult:
+    return PL.oof_training(_one_split(spark, sf), ["m7"], k=5, gbt_iter=1, gbt_depth=1, outlier_fraction=None, **STUMP)
+
+
+@register("fold_stumps")
+def q_fold_stumps(spark, sf):
+    """Out-of-fold predictions of weighted one-split fits."""
+    return _r6_all(_stump_folds(spark, sf).oof, ["prediction"], ["row_id", "fold"])
+
+
+@register("stump_ensemble")
+def q_stump_ensemble(spark, sf):
+    """The mean of the five folds' one-split models on every row."""
+    return _r6_all(PL.ensemble_scores(_stump_folds(spark, sf).models, _one_split(spark, sf), ["m7"]), ["prediction"])
+
+
+@register("refit_stump")
+def q_refit_stump(spark, sf):
+    """One split fitted on all scaled rows, predictions in label units."""
+    rows = _one_split(spark, sf)
+    return _r6_all(PL.refit_scaled(rows, rows, ["m7"], gbt_iter=1, gbt_depth=1, **STUMP), ["prediction"])
+
+
+@register("shap_stump")
+def q_shap_stump(spark, sf):
+    """the attribution of a one-split fit, on the first 80 % of the rows."""
+    train, _, _ = O.chrono_split(_one_split(spark, sf), 0.8, ORDER)
+    sel = PL.shap_selection(train, ["m7"], max_iter=1, max_depth=1, **STUMP)
+    return sel.importance.select("feature", sig("importance", 6).alias("importance"))
+
+
+@register("early_stopping_stump")
+def q_early_stopping_stump(spark, sf):
+    """L2: the losses of a one-split fit on its training rows and on the rest."""
+    train, held, _ = O.chrono_split(_one_split(spark, sf), 0.8, ORDER)
+    fit = fit_early_stopping(final_gbt(weight=None, max_iter=1, max_depth=1, **STUMP), assemble(train, ["m7"]), assemble(held, ["m7"]))
+    return fit.history.select("round", r6("train_loss").alias("train_loss"), r6("held_out_loss").alias("held_out_loss"), "kept")
+
+
 def _all_features(spark, sf) -> tuple[DataFrame, FeatureSpace]:
     rows = PL.boosted_tree_rows(V.market_all_signals(spark, sf))
     return rows, PL.boosted_tree_space(rows)
