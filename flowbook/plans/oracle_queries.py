@@ -504,3 +504,14 @@ SELECT 'm7' AS feature, {sig('importance', 6)} AS importance FROM i"""
 SQL["early_stopping_stump"] = f"""{_FIRST}
 SELECT 1::INTEGER AS round, {O.r6('sqrt(avg((y - h) ** 2) FILTER (WHERE train))')} AS train_loss,
   {O.r6('sqrt(avg((y - h) ** 2) FILTER (WHERE NOT train))')} AS held_out_loss, true AS kept FROM e"""
+
+SQL["regularised_stump"] = f"""{_ONE},
+a AS (SELECT avg(y) AS base FROM q),
+v AS (SELECT m, sum(base - y) AS g, count(*)::DOUBLE AS h FROM q, a GROUP BY m),
+c AS (SELECT m, sum(g) OVER (ORDER BY m) AS gl, sum(h) OVER (ORDER BY m) AS hl, sum(g) OVER () AS g, sum(h) OVER () AS h FROM v),
+d AS (SELECT m, hl, h - hl AS hr, sign(gl) * greatest(abs(gl) - 0.5, 0) AS tl, sign(g - gl) * greatest(abs(g - gl) - 0.5, 0) AS tr,
+        sign(g) * greatest(abs(g) - 0.5, 0) AS t, h FROM c WHERE m < 6),
+e AS (SELECT *, tl * tl / (hl + 75.4484) + tr * tr / (hr + 75.4484) - t * t / (h + 75.4484) AS gain FROM d WHERE hl >= 16 AND hr >= 16),
+b AS (SELECT m AS thr, -tl / (hl + 75.4484) AS lo, -tr / (hr + 75.4484) AS hi FROM e WHERE gain > 1e-6 ORDER BY gain DESC, m LIMIT 1)
+SELECT row_id, {O.r6("base + coalesce(CASE WHEN q.m <= b.thr THEN b.lo ELSE b.hi END, 0.0)")} AS prediction
+FROM q CROSS JOIN a LEFT JOIN b ON true"""

@@ -27,6 +27,7 @@ from flowbook.functions import arrays as A
 from flowbook.operators import metrics as M
 from flowbook.operators import ordering as O
 from flowbook.operators import scaling as S
+from flowbook.operators.boosting import BoostSettings, HistogramBoost
 from flowbook.operators.clean import sanitize
 from flowbook.operators.feature_space import Features, FeatureSpace, Scalars, Selection, chosen_features, columns_of_features, names_of_features
 from flowbook.operators.features_a import FEATURES_A, add_features_a
@@ -93,14 +94,18 @@ class OOFResult:
 def oof_training(df: DataFrame, features: Features, label: str = "label", k: int = 5,
                  order: list[str] | None = None, gbt_iter: int = 1667, gbt_depth: int = 20,
                  forest_trees: int = 50, forest_depth: int = 10, outlier_fraction: float | None = 0.001,
-                 folds: list[int] | None = None, patience: int | None = None, **estimator) -> OOFResult:
+                 folds: list[int] | None = None, patience: int | None = None, settings: BoostSettings | None = None,
+                 **estimator) -> OOFResult:
     """L7/P2 with W1-W4: contiguous folds in time order, weighted fits, OOF;
-    with ``patience`` early stopping on the held-out fold (L2).  ``estimator``
-    goes to ``final_gbt``."""
+    with ``patience`` early stopping on the held-out fold (L2).  Fits are
+    ``final_gbt`` (``estimator`` goes to it), or with ``settings`` the boosted
+    trees of ``boosting``, which have the reference's own parameters."""
+    if settings is not None and patience is not None:
+        raise ValueError("HistogramBoost watches held-out rows of its own: give it a held_out column instead")
     p = O.contiguous_kfold(df, k, order or ["ts", "row_id"])
     res = fold_training(
         p.df, p.n, k,
-        make_estimator=lambda: final_gbt(label, max_iter=gbt_iter, max_depth=gbt_depth, **estimator),
+        make_estimator=lambda: HistogramBoost(settings, label, weight="weight") if settings else final_gbt(label, max_iter=gbt_iter, max_depth=gbt_depth, **estimator),
         features=features, label=label, keys=["row_id"],
         make_forest=lambda: quick_forest(label, num_trees=forest_trees, max_depth=forest_depth),
         outlier_fraction=outlier_fraction, folds=folds, patience=patience)

@@ -512,6 +512,7 @@ def q_ridge_head(spark, sf):
 
 # ------------------------------------------------------------------ models (rows-only checks)
 from flowbook.operators.models import assemble, quick_forest  # noqa: E402
+from flowbook.operators.boosting import BoostSettings, HistogramBoost  # noqa: E402
 from flowbook.operators.early_stopping import fit_early_stopping  # noqa: E402
 from flowbook.operators.feature_space import FeatureSpace  # noqa: E402
 from flowbook.operators.models import final_gbt  # noqa: E402
@@ -648,6 +649,37 @@ def q_early_stopping_stump(spark, sf):
     return fit.history.select("round", r6("train_loss").alias("train_loss"), r6("held_out_loss").alias("held_out_loss"), "kept")
 
 
+#: Rounds of the fits with the reference's own parameters.
+OWN_ITER = 10
+
+
+@register("regularised_stump")
+def q_regularised_stump(spark, sf):
+    """L1: one split with L1 and L2 penalties, of a feature of seven values."""
+    rows = assemble(_one_split(spark, sf), ["m7"])
+    model = HistogramBoost(BoostSettings(rounds=1, leaves=2, rate=1.0, row_share=1.0, gamma=0.0, l1=0.5)).fit(rows)
+    return _r6_all(model.transform(rows), ["prediction"])
+
+
+@register("regularised_trees")
+def q_regularised_trees(spark, sf):
+    """The reference's parameters (12 leaves, penalties, row and column
+    samples) on the scaled label; losses by round on the first 80 % and the rest."""
+    train, held = _chronological(spark, sf)
+    rows = train.withColumn("held", F.lit(False)).unionByName(held.withColumn("held", F.lit(True)))
+    scaled, _ = S.scale_label(rows, "label", out="label")
+    model = HistogramBoost(BoostSettings(rounds=OWN_ITER), held_out="held", patience=5).fit(assemble(scaled, MODEL_FEATURES))
+    history = spark.createDataFrame(model.history, "round int, train_loss double, held_out_loss double, kept boolean")
+    return history.select("round", r6("train_loss").alias("train_loss"), r6("held_out_loss").alias("held_out_loss"), "kept")
+
+
+@register("regularised_folds")
+def q_regularised_folds(spark, sf):
+    """Out-of-fold predictions of such fits, with decay weights."""
+    run = PL.oof_training(_market_b(spark, sf), MODEL_FEATURES, k=5, outlier_fraction=None, settings=BoostSettings(rounds=3, l1=0.0, l2=1.0, gamma=0.0))
+    return _r6_all(run.oof, ["label", "prediction"], ["row_id", "fold"])
+
+
 def _all_features(spark, sf) -> tuple[DataFrame, FeatureSpace]:
     rows = PL.boosted_tree_rows(V.market_all_signals(spark, sf))
     return rows, PL.boosted_tree_space(rows)
