@@ -167,12 +167,15 @@ def judged(df: DataFrame, shares: dict[str, tuple[list[float], list[float]]]) ->
     return _with(df, language=_col("best")["lang"], class_distance=_col("best")["c"], word_distance=_col("best")["w"], kept=~_col("base_failed") & fits)
 
 
+#: What a verdict needs of ``features``.
+COUNTED = ("lang", "n", "size", "chars", "symbols", "dup_lines", "repeat", "base_failed", "classes", "bins")
+
+
 def verdicts(docs: DataFrame) -> DataFrame:
     """doc_id, the base counts and verdicts, and the nearest language with its
     distances; one row per row of ``docs``."""
-    names = ["lang", "n", "size", "chars", "symbols", "dup_lines", "repeat", "base_failed", "classes", "bins"]
     counted = features(docs.select("doc_id", "text", F.col("lang").alias(P + "lang")))
-    counted = keep(counted.select("doc_id", *[P + x for x in names]), "quality-features")
+    counted = keep(counted.select("doc_id", *[P + x for x in COUNTED]), "quality-features")
     df = judged(counted, references(counted))
     return df.select(
         "doc_id",
@@ -190,12 +193,11 @@ def verdicts(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """``docs`` without the rows that the rules reject."""
-    shares = references(histograms(docs.select("text", F.col("lang").alias(P + "lang"))))
-    # The row number ties the filter to this projection: pushed below the
-    # features, the verdict's expressions would be inlined many times over.
-    rows = _with(judged(features(docs), shares), row=F.monotonically_increasing_id())
-    return rows.where(_col("kept") & (_col("row") >= 0)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """``docs`` without the rows that the rules reject.  The rows are written
+    with their counts once: the references and the verdicts read them there."""
+    counted = features(_with(docs, lang=F.col("lang")))
+    counted = keep(counted.select(*[F.col(f"`{c}`") for c in docs.columns], *[P + x for x in COUNTED]), "quality-rows")
+    return judged(counted, references(counted)).where(_col("kept")).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
