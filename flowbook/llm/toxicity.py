@@ -17,11 +17,12 @@ number over ``GAIN``) make a logistic score, and an isotonic curve calibrates
 it.
 
 Learned from: rows with a label whose crc32(doc_id as text) mod 4 is not 2.
-Of these, all rows of remainders 0 and 1 give the marks; up to ``SAMPLE``
-ordinary ones, by hash of the id, with up to ``SAMPLE_WINDOWS`` evenly spaced
-windows each, train the ordinary dictionary; up to ``SAMPLE`` rows of remainder
-3 fit the weights; all rows of remainder 3 give the curve.  Scoring takes whole
-texts.
+Of these, rows of remainders 0 and 1 give the marks, up to ``LEARNED`` of
+either label (all of them below that; else by hash of the id): their ids are
+broadcast, so no text is shuffled at any size.  Up to ``SAMPLE`` ordinary ones,
+by hash of the id, with up to ``SAMPLE_WINDOWS`` evenly spaced windows each,
+train the ordinary dictionary; up to ``SAMPLE`` rows of remainder 3 fit the
+weights; all rows of remainder 3 give the curve.  Scoring takes whole texts.
 Labels, language, source and doc_id are no inputs.
 
 Defined results: null text is an empty text; an empty text has no gain and is
@@ -36,7 +37,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Iterable, Iterator
 from hashlib import blake2b
 
 import numpy as np
@@ -53,6 +54,10 @@ ship(__name__)
 WINDOW = 64
 ORDINARY_BYTES = 32768
 SAMPLE = 4000
+#: Labelled rows of either label that the marks are counted over.
+LEARNED = 50_000
+#: Steps of the hash that a share of the ids is taken by.
+STEPS = 1 << 20
 SAMPLE_WINDOWS = 256
 CONTRAST = 8
 RATE = 0.05
@@ -64,6 +69,10 @@ FOLDS = 4
 HELD = 2
 CUT = 0.3
 GAINS = 6
+#: Windows that one call compresses, at least.
+TOGETHER = 1 << 14
+#: Of the hash of four bytes.
+GRAM_BITS = 18
 #: Letters and bytes of letters outside ASCII.
 TOKEN = rb"[^\x00-\x40\x5b-\x60\x7b-\x7f]+"
 Marks = dict[bytes, float]
@@ -73,16 +82,21 @@ def _words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-def windows(text: str | None, spelled: Callable[[bytes], bytes] | None = None) -> list[bytes]:
+def _cuts(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Where windows of about ``WINDOW`` bytes begin among the words (the last
+    number ends the last one), and how many bytes stand before each word."""
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+    cuts = np.unique(np.minimum(np.searchsorted(ends, np.arange(WINDOW, ends[-1] + WINDOW, WINDOW)) + 1, len(words)))
+    return np.append(0, cuts), np.append(0, ends)
+
+
+def windows(text: str | None) -> list[bytes]:
     """The lower-cased words of a text in windows of about ``WINDOW`` bytes."""
     words = _words(text)
-    if spelled:
-        words = list(map(spelled, words))
     if not words:
         return []
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-    cuts = np.unique(np.minimum(np.searchsorted(ends, np.arange(WINDOW, ends[-1] + WINDOW, WINDOW)) + 1, len(words))).tolist()
-    return [b" " + b" ".join(words[a:b]) + b" " for a, b in zip([0, *cuts], cuts)]
+    at, _ = _cuts(words)
+    return [b" " + b" ".join(words[a:b]) + b" " for a, b in zip(at.tolist(), at[1:].tolist())]
 
 
 def _starts(token: bytes) -> list[bytes]:
@@ -94,23 +108,34 @@ def _digest(mark: bytes) -> bytes:
     return blake2b(mark, digest_size=6).hexdigest().encode()
 
 
+def _grams(data: bytes) -> np.ndarray:
+    """Hashes of the four bytes from each place on."""
+    a = np.frombuffer(data, np.uint8).astype(np.uint32)
+    if len(a) < 4:
+        return np.zeros(0, np.int64)
+    codes = a[:-3] | a[1:-2] << np.uint32(8) | a[2:-1] << np.uint32(16) | a[3:] << np.uint32(24)
+    return (codes * np.uint32(2654435761) >> np.uint32(32 - GRAM_BITS)).astype(np.int64)
+
+
 class Speller:
-    """A word, followed by the digests of its short marks."""
+    """Words, each followed by the digests of its short marks."""
 
     def __init__(self, marks: Marks):
         self.marks, self.token, self.known = marks, re.compile(TOKEN), {}
         self.short = any(len(m.strip()) < SHORT for m in marks)
 
-    def __call__(self, word: bytes) -> bytes:
+    def spelled(self, word: bytes) -> bytes:
+        best = [max(f, key=lambda m: (self.marks[m], m)) for t in self.token.findall(word) if (f := [m for m in _starts(t) if m in self.marks])]
+        return b" ".join([word, *(_digest(m) for m in best if len(m.strip()) < SHORT)])
+
+    def __call__(self, words: list[bytes]) -> list[bytes]:
         if not self.short:
-            return word
-        if (out := self.known.get(word)) is None:
-            best = [max(f, key=lambda m: (self.marks[m], m)) for t in self.token.findall(word) if (f := [m for m in _starts(t) if m in self.marks])]
-            out = b" ".join([word, *(_digest(m) for m in best if len(m.strip()) < SHORT)])
-            if len(self.known) >= KEYS:
-                self.known.clear()
-            self.known[word] = out
-        return out
+            return words
+        if len(self.known) >= KEYS:
+            self.known.clear()
+        for word in set(words).difference(self.known):
+            self.known[word] = self.spelled(word)
+        return list(map(self.known.__getitem__, words))
 
 
 def toxic_content(marks: Marks) -> bytes:
@@ -173,11 +198,16 @@ def train(size: int, samples: list[bytes]) -> bytes:
 
 
 class Distance:
-    """Gains of the toxic dictionary on windows."""
+    """Gains of the toxic dictionary on windows.  The shortest match is four
+    bytes: a window that shares no four bytes with the toxic marks has no gain
+    and is not compressed."""
 
     def __init__(self, ordinary: bytes, marks: Marks):
         self.spelled = Speller(marks) if marks else None
-        self.plain, self.both = self._made(ordinary), self._made(toxic_content(marks) + ordinary)
+        content = toxic_content(marks)
+        self.plain, self.both = self._made(ordinary), self._made(content + ordinary)
+        self.held = np.zeros(1 << GRAM_BITS, bool)
+        self.held[_grams(content)] = True
 
     @staticmethod
     def _made(content: bytes) -> zstandard.ZstdCompressor:
@@ -193,16 +223,58 @@ class Distance:
         words.precompute_compress(compression_params=how)
         return zstandard.ZstdCompressor(dict_data=words, compression_params=how)
 
+    def near(self, text: str | None) -> tuple[int, np.ndarray, list[bytes]]:
+        """How many windows a text has, and which ones may have a gain."""
+        words = self.spelled(_words(text)) if self.spelled else _words(text)
+        if not words:
+            return 0, np.zeros(0, np.int64), []
+        cuts, before = _cuts(words)
+        data = b" " + b" ".join(words) + b" "
+        low, high = before[cuts[:-1]], before[cuts[1:]] + 1
+        shared = np.append(0, np.cumsum(self.held[_grams(data)]))
+        last = len(shared) - 1
+        near = np.flatnonzero(shared[np.clip(high - 3, 0, last)] > shared[np.minimum(low, last)])
+        return len(low), near, [data[a:b] for a, b in zip(low[near].tolist(), high[near].tolist())]
+
+    def many(self, texts: Iterable[str | None]) -> Iterator[np.ndarray]:
+        """Bytes that the toxic dictionary saves, by window, for each text; the
+        windows of many texts are compressed in one call."""
+        waiting, parts = [], []
+
+        def closed() -> Iterator[np.ndarray]:
+            saved = np.zeros(0, np.int64)
+            if parts:
+                plain, both = (np.fromiter(map(len, c.multi_compress_to_buffer(parts, threads=1)), np.int64, len(parts)) for c in (self.plain, self.both))
+                saved = plain - both
+            at = 0
+            for n, near in waiting:
+                out = np.zeros(n, np.int64)
+                out[near] = saved[at : at + len(near)]
+                at += len(near)
+                yield out
+            waiting.clear()
+            parts.clear()
+
+        for text in texts:
+            n, near, own = self.near(text)
+            waiting.append((n, near))
+            parts += own
+            if len(parts) >= TOGETHER:
+                yield from closed()
+        yield from closed()
+
+    def gains(self, text: str | None) -> np.ndarray:
+        return next(self.many([text]))
+
     def __call__(self, text: str | None) -> np.ndarray:
+        return self.described(self.gains(text))
+
+    @staticmethod
+    def described(gains: np.ndarray) -> np.ndarray:
         """The numbers that describe a document's gains."""
-        parts = windows(text, self.spelled)
-        if not parts:
+        gains = np.sort(gains)[::-1]
+        if not len(gains):
             return np.zeros(GAINS)
-
-        def lengths(c: zstandard.ZstdCompressor) -> np.ndarray:
-            return np.fromiter(map(len, c.multi_compress_to_buffer(parts, threads=1)), np.int64, len(parts))
-
-        gains = np.sort(lengths(self.plain) - lengths(self.both))[::-1]
         over = (gains >= GAIN).sum()
         return np.array([gains[0] / 4, gains[:3].mean() / 4, gains.mean() * 4, 4 * over / len(gains), np.log1p(over), np.log1p(len(gains)) / 4])
 
@@ -220,9 +292,16 @@ def _sampled(rows: DataFrame, n: int) -> DataFrame:
     return rows.orderBy(F.xxhash64("l_id"), "l_id").limit(n)
 
 
+def _bounded(rows: DataFrame, n: int) -> DataFrame:
+    """All rows, or a share of them by hash of the id that stays under ``n``
+    (aimed at 95 % of it, eleven standard deviations below for ``LEARNED``)."""
+    share = min(1.0, 0.95 * n / max(rows.count(), 1))
+    return rows if share == 1.0 else rows.where(F.pmod(F.xxhash64("l_id"), F.lit(STEPS)) < int(share * STEPS))
+
+
 def dictionaries(docs: DataFrame, known: DataFrame) -> tuple[bytes, Marks] | None:
     """The ordinary dictionary, from a bounded sample, and the marks of toxic
-    text, from all rows; ``known`` has l_id, toxic (boolean) and fold."""
+    text, from the learning rows; ``known`` has l_id, toxic (boolean) and fold."""
     pool, texts = known.where("fold < 2"), docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     chosen = _sampled(pool.where("not toxic"), SAMPLE).select("l_id")
     rows = texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("l_id"))
@@ -236,7 +315,8 @@ def dictionaries(docs: DataFrame, known: DataFrame) -> tuple[bytes, Marks] | Non
     ordinary = [[bytes(p) for p in r["parts"]] for r in rows.select("text").mapInArrow(run, "parts array<binary>").collect()]
     if not ordinary or not pool.where("toxic").limit(1).count():
         return None
-    learned = texts.where(remainder("doc_id", FOLDS) < HELD).join(pool, F.col("doc_id") == F.col("l_id"))
+    ids = _bounded(pool.where("toxic"), LEARNED).union(_bounded(pool.where("not toxic"), LEARNED))
+    learned = texts.where(remainder("doc_id", FOLDS) < HELD).join(F.broadcast(ids), F.col("doc_id") == F.col("l_id"))
     return train(ORDINARY_BYTES, [p for doc in ordinary for p in doc]), toxic_marks(learned.select("toxic", "text"))
 
 
@@ -253,7 +333,7 @@ def scores(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         distance = Distance(*content)
         for batch in batches:
-            gains = [distance(t.as_py()) for t in batch["text"]]
+            gains = [distance.described(g) for g in distance.many(t.as_py() for t in batch["text"])]
             yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"], "gains": pa.array(gains, pa.list_(pa.float64()))})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, gains array<double>")
