@@ -3,13 +3,15 @@
 The documents of a task form one stream of token ids in their order.  Windows
 of at most ``limit`` ids may end at a document's end (free), at a sentence end
 inside a document (a small truncation penalty) or, where sentences are long,
-at a hard cut (a larger one).  ``best_cuts`` finds the cuts of least padding
-plus penalties: with f(j) the least cost of a stream cut at boundary j,
+at a hard cut (a larger one).  A sequence is padded to ``limit`` unless its length is
+a power of two.  ``best_cuts`` finds the cuts of least padding plus penalties:
+with f(j) the least cost of a stream cut at boundary j,
 
-    f(j) = limit - b(j) + penalty(j) + min { f(i) + b(i) : b(j) - b(i) <= limit }
+    f(j) = penalty(j) + min { limit - (b(j) - b(i)) + f(i) : b(j) - b(i) <= limit }
+                    or, if less, min { f(i) : b(j) - b(i) = 1, 2, 4, ... <= limit }
 
-and a monotone queue holds the window's minimum, so that each boundary costs
-constant time.  Streams are worked off in blocks of ``BLOCK`` ids; the last,
+A monotone queue holds the first minimum and the second has at most one
+boundary for each power, so that each boundary costs constant time.  Streams are worked off in blocks of ``BLOCK`` ids; the last,
 open window of a block begins the next one, so only the last sequence of a
 task is cut short.  Nothing is shuffled.
 
@@ -66,6 +68,8 @@ class Encoder:
         self.plain, self.vocabulary, self.slow = rank.encode_ordinary, vocabulary, None
         self.spaces = re.compile(r"\s\s")
         self.known: dict[str, bytes] = {}
+        self.opens = np.zeros(max(self.tokens.values()) + 1, bool)  # tokens that begin with a space
+        self.opens[[i for token, i in self.tokens.items() if token.startswith(b" ")]] = True
 
     def ends(self) -> np.ndarray:
         """By id: whether a sentence can end after it."""
@@ -80,11 +84,13 @@ class Encoder:
         self.slow = self.slow or Tokenizer.from_file(self.vocabulary)
         return np.array(self.slow.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def learn(self, piece: str) -> bytes:
-        if len(self.known) >= REMEMBERED:
-            self.known.clear()
-        out = self.known[piece] = np.array(self.plain(" " + piece), "<u4").tobytes()
-        return out
+    def learn(self, pieces: list[str]) -> None:
+        """Remember the ids of pieces, encoded as one text: pieces hold no space,
+        so each one's ids begin at the next token that begins with a space."""
+        ids = np.array(self.plain(" " + " ".join(pieces)), "<u4")
+        at = [*(4 * np.flatnonzero(self.opens[ids])).tolist(), 4 * len(ids)]
+        data = ids.tobytes()
+        self.known.update(zip(pieces, (data[a:b] for a, b in zip(at, at[1:]))))
 
     def __call__(self, text: str) -> np.ndarray:
         if SPECIAL in text:
@@ -93,26 +99,58 @@ class Encoder:
             data = np.array(self.plain(text), "<u4").tobytes()
         else:
             first, *pieces = text.split(" ")
-            known, learn = self.known.get, self.learn
-            data = np.array(self.plain(first), "<u4").tobytes() + b"".join([known(p) or learn(p) for p in pieces])
+            if len(self.known) >= REMEMBERED:
+                self.known.clear()
+            found = list(map(self.known.get, pieces))
+            if None in found:
+                new = {p for p, ids in zip(pieces, found) if ids is None}
+                if "" in new:  # a space that ends the text
+                    new.remove("")
+                    self.known[""] = np.array(self.plain(" "), "<u4").tobytes()
+                if new:
+                    self.learn(list(new))
+                found = map(self.known.__getitem__, pieces)
+            data = np.array(self.plain(first), "<u4").tobytes() + b"".join(found)
         return np.frombuffer(data + END_ID.to_bytes(4, "little"), "<u4")
 
 
+def _powers(bounds: np.ndarray, limit: int) -> tuple[list[int], list[int], list[int]]:
+    """For all j, the boundaries i with b(j) - b(i) = 1, 2, 4, ..., by j, those
+    differences, and where the ones of each j begin."""
+    place = np.full(int(bounds[-1]) + 1, -1, np.int32)
+    place[bounds] = np.arange(len(bounds), dtype=np.int32)
+    steps = 1 << np.arange(limit.bit_length())
+    back = bounds[:, None] - steps
+    found = np.where(back >= 0, place[np.maximum(back, 0)], -1)
+    j, k = np.nonzero(found >= 0)
+    return found[j, k].tolist(), steps[k].tolist(), np.searchsorted(j, np.arange(len(bounds) + 1)).tolist()
+
+
 def best_cuts(bounds: np.ndarray, penalties: np.ndarray, limit: int) -> np.ndarray:
     """Indices into ``bounds`` (ascending, from 0, no step over ``limit``) of
     the cuts of least padding plus penalties, the last bound included."""
     b, pen, m = bounds.tolist(), penalties.tolist(), len(bounds)
-    least, back, queue, head = [0] * m, [0] * m, [0], 0  # least[j]: f(j) + b(j)
-    for j in range(1, m):
-        at = b[j]
-        while b[queue[head]] < at - limit:
+    least, back = [0] * m, [0] * m  # least[j]: f(j) + b(j)
+    queue, head, tail = [0] * m, 0, 0
+    exact, steps, begin = _powers(bounds, limit)
+    first = begin[1]
+    for j, (reach, penalty, last) in enumerate(zip((bounds[1:] - limit).tolist(), pen[1:], begin[2:]), 1):
+        while b[queue[head]] < reach:
             head += 1
         i = queue[head]
+        cost = least[i] + limit
+        if first < last:
+            for e in range(first, last):
+                other = least[exact[e]] + steps[e]
+                if other < cost:
+                    cost, i = other, exact[e]
+            first = last
         back[j] = i
-        cost = least[j] = least[i] + limit + pen[j]
-        while len(queue) > head and least[queue[-1]] > cost:
-            queue.pop()
-        queue.append(j)
+        least[j] = cost = cost + penalty
+        while tail >= head and least[queue[tail]] > cost:
+            tail -= 1
+        tail += 1
+        queue[tail] = j
     cuts, j = [], m - 1
     while j > 0:
         cuts.append(j)

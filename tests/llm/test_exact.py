@@ -219,7 +219,8 @@ def test_op9_round_trip(spark, texts):
             assert r.offset == at
             at += r.length
         assert at <= 1024
-    assert sum(r.length for r in rows) / (1024 * len(sequences)) > 0.97
+    used = [sum(r.length for r in s) for s in sequences.values()]
+    assert sum(1024 - n for n in used if n & (n - 1)) / sum(used) < 0.02
 
 
 def test_op9_cuts_are_optimal():
@@ -227,11 +228,12 @@ def test_op9_cuts_are_optimal():
     for _ in range(200):
         bounds = np.cumsum([0, *[draw.randint(1, 9) for _ in range(draw.randint(1, 12))]])
         penalties = np.array([draw.randint(0, 3) for _ in bounds])
+        padding = lambda n: 0 if n in (1, 2, 4, 8) else 12 - n
         least = {0: 0}
         for j in range(1, len(bounds)):
-            least[j] = penalties[j] + min(least[i] + 12 - (bounds[j] - bounds[i]) for i in range(j) if bounds[j] - bounds[i] <= 12)
+            least[j] = penalties[j] + min(least[i] + padding(bounds[j] - bounds[i]) for i in range(j) if bounds[j] - bounds[i] <= 12)
         cuts = [0, *packing.best_cuts(bounds, penalties, 12).tolist()]
-        cost = sum(12 - (bounds[b] - bounds[a]) + penalties[b] for a, b in zip(cuts, cuts[1:]))
+        cost = sum(padding(bounds[b] - bounds[a]) + penalties[b] for a, b in zip(cuts, cuts[1:]))
         assert cost == least[len(bounds) - 1]
 
 
