@@ -291,7 +291,7 @@ class Encoder:
             new = set().union(*(w for _, w in waiting))
             if len(self.known) + len(new) > REMEMBERED:
                 self.known.clear()
-            self.learn(list(new - self.known.keys()))
+            self.learn(list(new.difference(self.known)))
             known = self.known
             for i, words in waiting:
                 outs[i].append(b"".join([known[w] for w in words]))
