@@ -88,6 +88,26 @@ def test_the_fit_does_not_follow_the_files(spark):
     assert a.keys() == b.keys() and all(a[i] == pytest.approx(b[i], rel=1e-9) for i in a)
 
 
+def test_rows_are_dealt_before_their_vectors_and_once(spark, monkeypatch):
+    """A selection's rows cross the shuffle without the vector of all features;
+    the folds of a training share one deal."""
+    from flowbook.operators import models as MO
+    seen, deal = [], MO.dealt
+
+    def watched(df, keys, n):
+        seen.append(df.columns)
+        return deal(df, keys, n)
+
+    monkeypatch.setattr(MO, "dealt", watched)
+    monkeypatch.setattr(PL, "dealt", watched)
+    rows = PL.boosted_tree_rows(V.market_signals(spark, SF)).select("row_id", "ts", "label", *PL.MARKET)
+    PL.shap_selection(rows, PL.MARKET, max_iter=1, max_depth=1)
+    assert len(seen) == 1 and "features" not in seen[0]
+    seen.clear()
+    run = PL.oof_training(rows, PL.MARKET, k=3, gbt_iter=1, gbt_depth=1, forest_trees=2, forest_depth=2)
+    assert len(seen) == 1 and run.oof.count() == rows.count() and len(run.models) == 3
+
+
 def test_profile_drops_elements(spark):
     inf = float("inf")
     rows = [(1, [1.0, None, inf, None], "a"), (2, [2.0, 5.0, 1.0, None], None), (3, None, "b"), (4, [1.0], "c")]
