@@ -128,3 +128,13 @@ def test_every_stateless_map_takes_a_stream(spark, tmp_path):
     batch = stream_features(stream_features(stream_features(rows, "b"), "row_stats"), "interactions")
     assert spark.table("mapped").orderBy("row_id").first() == batch.orderBy("row_id").first()
     assert spark.table("mapped").count() == batch.count()
+
+
+def test_only_numbers_are_stored_for_the_loss(spark, tmp_path, monkeypatch):
+    """The split's scored rows are stored and shuffled without their arrays."""
+    kept, store = {}, PL.stored
+    monkeypatch.setattr(PL, "stored", lambda df, name: (kept.setdefault(name, df.dtypes), store(df, name))[1])
+    valid = V.market_signals(spark, SF)
+    template = V.table(spark, SF, "events").select((F.col("event_id") + 1).alias("ID"), F.col("value").alias("prediction"))
+    PL.latent_flow(valid, valid, template, str(tmp_path), k=4)
+    assert not [c for c, t in kept["latent-scored"] if t.startswith("array")]
