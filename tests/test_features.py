@@ -100,3 +100,17 @@ def test_streaming_parity(spark, tmp_path):
     got = spark.table("parity_b").orderBy("bid_qty").collect()
     want = add_features_b(batch).orderBy("bid_qty").collect()
     assert [tuple(r) for r in got] == [tuple(r) for r in want]
+
+
+def test_stream_batches_do_not_grow_with_the_files(spark, monkeypatch):
+    from pathlib import Path
+
+    from flowbook import session
+    from flowbook.plans import queries as Q
+    paths, scratch, events = {}, session.scratch_path, Q.V.market_events
+    monkeypatch.setattr(session, "scratch_path", lambda s, name: paths.setdefault(name, scratch(s, name)))
+    monkeypatch.setattr(Q.V, "market_events", lambda s, sf: events(s, sf).repartition(12))
+    out = Q.q_features_a_stream(spark, "/root/testdata/sf0.001")
+    commits = [p for p in Path(paths["stream-ckpt"].removeprefix("file:"), "commits").iterdir() if p.name.isdigit()]
+    assert out.count() == events(spark, "/root/testdata/sf0.001").count()
+    assert 1 < len(commits) <= 4
