@@ -46,18 +46,28 @@ SIMILARITY = 0.5
 COVER = 0.7
 BLOCK_ITEMS = 5000
 MATCH, MISMATCH, GAP = 2, -1, -1
+#: Words other than the benchmark's that a task counts before it drops them.
+HELD_WORDS = 1 << 17
+
+
+#: The bytes of Latin-1 texts, spaces for what stands between words.
+WORD_BYTES = bytes(i if chr(i).isalnum() else 32 for i in range(256))
 
 
 def words_of(text: str | None) -> list[str]:
     """Lower-cased runs of letters and digits."""
-    return re.findall(r"[^\W_]+", (text or "").lower())
+    low = (text or "").lower()
+    try:
+        return low.encode("latin-1").translate(WORD_BYTES).decode("latin-1").split()
+    except UnicodeEncodeError:
+        return re.findall(r"[^\W_]+", low)
 
 
 Item = tuple[int | None, list[str]]
 
 
 class Index:
-    """Items and the words that are their seeds."""
+    """Items as codes of their words, and the words that are their seeds."""
 
     def __init__(self, items: list[Item], counts: dict[str, int]):
         self.items, places = items, defaultdict(list)
@@ -73,19 +83,22 @@ class Index:
                 places[w].append(number)
             self.need[number] = matched - (len(words) - covered)
             self.span[number] = math.floor((3 - 2 * SIMILARITY) * len(words))
-        self.code = {w: i for i, w in enumerate(places)}
-        self.size = np.array([len(p) for p in places.values()], np.int64)
+        self.code = {w: i for i, w in enumerate(dict.fromkeys(w for _, words in items for w in words))}
+        self.own = [np.array([self.code[w] for w in words], np.int64) for _, words in items]
+        self.bags = [np.unique(own, return_counts=True) for own in self.own]
+        self.size = np.array([len(places.get(w, ())) for w in self.code], np.int64)
         self.start = np.cumsum(self.size) - self.size
-        self.places = np.array([n for p in places.values() for n in p], np.int32)
+        self.places = np.array([n for w in self.code for n in places.get(w, ())], np.int32)
 
     def search(self, words: list[str]) -> list[tuple[int | None, float, int, int, int]]:
         """item_id, similarity, first and last word (exclusive), seeds: the best
         passage for each item that the document holds."""
-        codes = np.fromiter(map(self.code.get, words, repeat(-1)), np.int64, len(words))
-        at = np.flatnonzero(codes >= 0)
+        text = np.fromiter(map(self.code.get, words, repeat(-1)), np.int64, len(words))
+        at = np.flatnonzero(text >= 0)
+        at = at[self.size[text[at]] > 0]
         if not len(at):
             return []
-        codes = codes[at]
+        codes = text[at]
         size = self.size[codes]
         item = self.places[np.arange(size.sum()) + np.repeat(self.start[codes] - (np.cumsum(size) - size), size)]
         order = np.argsort(item, kind="stable")
@@ -102,10 +115,9 @@ class Index:
         final = np.r_[fresh[1:], len(item)] - 1
         best: dict[int, tuple] = {}
         for n, a, b, seeds in zip(item[fresh].tolist(), begin[fresh].tolist(), end[final].tolist(), (last[final] - first[fresh] + 1).tolist()):
-            item_id, own = self.items[n]
-            hit = align(own, words[a:b])
+            hit = _aligned(self.own[n], self.bags[n], text[a:b])
             if hit and (n not in best or hit[0] > best[n][1]):
-                best[n] = (item_id, hit[0], a + hit[1], a + hit[2], seeds)
+                best[n] = (self.items[n][0], hit[0], a + hit[1], a + hit[2], seeds)
         return list(best.values())
 
 
@@ -123,16 +135,18 @@ def _table(item: list[int], passage: np.ndarray) -> tuple[int, int, int]:
     return best
 
 
-def align(item: list[str], passage: list[str]) -> tuple[float, int, int] | None:
-    """Similarity (local score over the item's own) and the aligned part of the
-    passage, or None under ``SIMILARITY``."""
-    need = SIMILARITY * MATCH * len(item)
-    shared = Counter(item) & Counter(passage)
-    if MATCH * sum(shared.values()) < need:
+def _aligned(item: np.ndarray, bag: tuple[np.ndarray, np.ndarray], text: np.ndarray) -> tuple[float, int, int] | None:
+    """``align`` of codes; ``bag`` holds the item's codes, ascending, and how often it has each."""
+    need, (kinds, held) = SIMILARITY * MATCH * len(item), bag
+    at = np.minimum(np.searchsorted(kinds, text), len(kinds) - 1)
+    inside = kinds[at] == text
+    if MATCH * int(np.minimum(np.bincount(at[inside], minlength=len(kinds)), held).sum()) < need:
         return None
-    number: dict[str, int] = {}
-    coded = [number.setdefault(w, len(number)) for w in item]
-    text = np.array([number.get(w, -1) for w in passage], np.int64)
+    # No stretch scores more than its words would if each one that the item has were matched.
+    most = np.cumsum(np.r_[0, np.where(inside, MATCH, max(MISMATCH, GAP))])
+    if (most - np.minimum.accumulate(most)).max() < need:
+        return None
+    coded = item.tolist()
     score, end_i, end = _table(coded, text)
     if score < need:
         return None
@@ -140,6 +154,14 @@ def align(item: list[str], passage: list[str]) -> tuple[float, int, int] | None:
     return score / (MATCH * len(item)), end - back, end
 
 
+def align(item: list[str], passage: list[str]) -> tuple[float, int, int] | None:
+    """Similarity (local score over the item's own) and the aligned part of the
+    passage, or None under ``SIMILARITY``."""
+    number: dict[str, int] = {}
+    coded = np.array([number.setdefault(w, len(number)) for w in item], np.int64)
+    return _aligned(coded, np.unique(coded, return_counts=True), np.array([number.get(w, -1) for w in passage], np.int64))
+
+
 def blocks(docs: DataFrame, benchmark: DataFrame) -> Iterator[tuple[list[Item], dict[str, int]]]:
     """The benchmark's items by the block, with their words' counts over ``docs``."""
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
@@ -163,7 +185,10 @@ def _counts(docs: DataFrame, items: list[Item]) -> dict[str, int]:
         counts: Counter = Counter()
         for batch in batches:
             for text in batch["text"]:
-                counts.update(filter(number.__contains__, words_of(text.as_py())))
+                counts.update(words_of(text.as_py()))
+                if len(counts) > len(number) + HELD_WORDS:  # other words go at times, and at the end
+                    counts = Counter({w: n for w, n in counts.items() if w in number})
+        counts = Counter({w: n for w, n in counts.items() if w in number})
         yield pa.RecordBatch.from_pydict({"word": pa.array([number[w] for w in counts], pa.int32()), "n": pa.array(counts.values(), pa.int64())})
 
     counted = docs.select("text").mapInArrow(run, "word int, n long").groupBy("word").agg(F.sum("n").alias("n"))

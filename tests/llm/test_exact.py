@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import timeit
 import zlib
 from collections import Counter, defaultdict
 
@@ -275,6 +276,25 @@ def test_op10_against_unseeded_alignment(spark):
     assert left == set(range(len(docs))) - {d for d, _ in want}
 
 
+def test_op10_words_of_every_character():
+    chars = [chr(i) for i in range(0x3000) if not 0xD800 <= i < 0xE000]
+    texts = ["a" + "b".join(chars[i : i + n]) + "Z" for n in (1, 64, 256) for i in range(0, len(chars), n)]
+    for text in [None, "", "caf\u00e9_\u00b2x\u00a0y\x85z\x1cw", "\u0130 \u03a3", *texts]:
+        assert decontaminate.words_of(text) == re.findall(r"[^\W_]+", (text or "").lower())
+
+
+def test_op10_words_cost_less_than_matching():
+    text = " ".join(f"caf\u00e9{i} word, other-{i}" for i in range(2000))
+    least = lambda f: min(timeit.repeat(f, number=3, repeat=7))
+    assert least(lambda: decontaminate.words_of(text)) < 0.75 * least(lambda: re.findall(r"[^\W_]+", text.lower()))
+
+
+def test_op10_counts_drop_other_words(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "HELD_WORDS", 3)
+    frame = spark.createDataFrame([(i, f"one two two other{i} more{i} last{i}") for i in range(50)] + [(None, None)], "doc_id long, text string")
+    assert decontaminate._counts(frame, [(1, ["two", "one"]), (2, ["two", "never"])]) == {"one": 50, "two": 100}
+
+
 def test_pipeline_stages(spark, texts):
     import corpus_pipeline
 
