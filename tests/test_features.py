@@ -114,3 +114,13 @@ def test_stream_batches_do_not_grow_with_the_files(spark, monkeypatch):
     commits = [p for p in Path(paths["stream-ckpt"].removeprefix("file:"), "commits").iterdir() if p.name.isdigit()]
     assert out.count() == events(spark, "/root/testdata/sf0.001").count()
     assert 1 < len(commits) <= 4
+
+
+@pytest.mark.parametrize("limit,after", [("65535", "8000"), ("20000", "20000")])
+@pytest.mark.parametrize("add", [add_features_a, add_features_b])
+def test_maps_bound_the_size_of_generated_methods(spark, add, limit, after):
+    """HotSpot does not compile longer ones; a limit of the user's own stays."""
+    own = spark.newSession()
+    own.conf.set("spark.sql.codegen.hugeMethodLimit", limit)
+    add(_zero_frame(own))
+    assert own.conf.get("spark.sql.codegen.hugeMethodLimit") == after
