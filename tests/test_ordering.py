@@ -98,3 +98,18 @@ def test_top_k_ties(spark):
     df = spark.createDataFrame([(i, float(i % 4)) for i in range(20)], "row_id long, v double")
     got = [r["row_id"] for r in O.top_k(df, "v", 6, tiebreak="row_id").collect()]
     assert got == [3, 7, 11, 15, 19, 2]
+
+
+def test_bounds_hold_what_the_search_finds(spark):
+    rows = [(None if i % 7 == 0 else float("nan") if i % 5 == 0 else (i % 31) / 3, i) for i in range(500)]
+    df = spark.createDataFrame(rows, "x double, row_id long")
+    for buckets in (1, 4, 12):
+        b = O.bucketed(df, ["x", "row_id"], buckets=buckets)
+        every = range(len(b.offsets))
+        for r in df.select(b.bucket.alias("b"), *[b.holds(i).alias(f"h{i}") for i in every]).collect():
+            assert [r[f"h{i}"] for i in every] == [r.b == i for i in every]
+
+
+def test_split_filters_are_plain_comparisons(spark):
+    for part in O.chrono_split(_ordered(spark, 300), 0.8, ["ts", "row_id"], buckets=9)[:2]:
+        assert "lambda" not in part._jdf.queryExecution().optimizedPlan().toString()
