@@ -4,7 +4,7 @@ import inspect
 import random
 
 from flowbook.operators.models import final_gbt
-from flowbook.plans.pipelines import oof_training, refit_scaled, selection_and_oof
+from flowbook.plans.pipelines import OOFResult, oof_training, refit_scaled, selection_and_oof
 
 
 def test_selection_and_oof(spark):
@@ -31,3 +31,21 @@ def test_defaults_are_the_reference_s(spark):
     for flow in (oof_training, refit_scaled):
         given = inspect.signature(flow).parameters
         assert (given["gbt_iter"].default, given["gbt_depth"].default) == (1667, 20)
+
+
+def test_fold_queries_fit_all_rounds(monkeypatch):
+    """No query of whole folds passes fewer rounds than the reference's."""
+    from flowbook.plans import queries as Q
+    given = {}
+    monkeypatch.setattr(Q, "_market_b", lambda *_: None)
+    monkeypatch.setattr(Q, "_r6_all", lambda *_: None)
+
+    def run(name):
+        def training(df, features, *_, **kwargs):
+            given[name] = kwargs
+            return OOFResult(None, [], 0)
+        monkeypatch.setattr(Q.PL, "oof_training", training)
+        Q.REGISTRY[name](None, "")
+
+    run("regularised_folds")
+    assert given["regularised_folds"]["settings"].rounds == 1667 and given["regularised_folds"]["settings"].depth == 20
