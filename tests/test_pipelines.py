@@ -33,13 +33,16 @@ def test_defaults_are_the_reference_s(spark):
         assert (given["gbt_iter"].default, given["gbt_depth"].default) == (1667, 20)
 
 
-def test_fold_queries_fit_all_rounds(monkeypatch):
+def test_fold_queries_fit_all_rounds(spark, monkeypatch):
     """No query of whole folds passes fewer rounds than the reference's."""
     from flowbook.plans import queries as Q
     given = {}
     monkeypatch.setattr(Q, "_market_b", lambda *_: None)
     monkeypatch.setattr(Q, "_r6_all", lambda *_: None)
 
+    monkeypatch.setattr(Q, "_lineitem_b", lambda *_: None)
+    monkeypatch.setattr(Q.PL, "ensemble_scores", lambda *_: Q.SparkSession.getActiveSession().createDataFrame([], "l_returnflag string, prediction double"))
+
     def run(name):
         def training(df, features, *_, **kwargs):
             given[name] = kwargs
@@ -47,5 +50,8 @@ def test_fold_queries_fit_all_rounds(monkeypatch):
         monkeypatch.setattr(Q.PL, "oof_training", training)
         Q.REGISTRY[name](None, "")
 
+    for name in ("gbt_oof", "fold_ensemble"):
+        run(name)
+        assert not {"gbt_iter", "gbt_depth", "settings", "folds"} & set(given[name])  # the defaults, held below
     run("regularised_folds")
     assert given["regularised_folds"]["settings"].rounds == 1667 and given["regularised_folds"]["settings"].depth == 20
